@@ -31,6 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bound what goes to Python at once: rows hold whole texts, some of them very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,10 +46,6 @@ def utf8(text: str) -> Column:
     return F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
 
 
-def empty_like(batch: pa.RecordBatch | None = None) -> list:
-    return []
-
-
 def binary_values(col: pa.Array) -> list[bytes]:
     """Values of a binary or string column as bytes; null is empty."""
     if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):

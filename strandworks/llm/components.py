@@ -25,17 +25,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b), two long columns; root is the component's least node.
 
-    The links are rewritten until a round changes nothing, after which they are stars around the roots. A node's
+    The links are rewritten until they are stars: every node above has one node below it, which has none. A node's
     neighbours are only ever folded by min(), so one with very many of them is summed up before it is dealt. Loops and
     repeated links don't matter; without links the result is empty.
     """
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def is_stars(e: DataFrame) -> bool:
+        up = e.select(F.col("u").alias("n"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+        down = e.select(F.col("v").alias("n"), F.lit(0).alias("above"), F.lit(1).alias("below"))
+        seen = up.unionByName(down).groupBy("n").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+        return seen.where("above > 1 OR (above > 0 AND below > 0)").isEmpty()
 
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    was, new = None, state(now)
-    while was != new and new[0]:
+    while not is_stars(now):
         now = cut(_small_star(_large_star(now)))
-        was, new = new, state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -14,8 +14,7 @@
 5. Slots and packed blocks are joined by source and block number.
 
 Cases: a null text has no words, and documents without words take part with size 0 and are not taken; a null source
-is a source, the last one; rows that repeat a doc_id are documents of their own in packing, and their words count
-together in `taken`; an empty table gives no rows; further columns are left alone. Equal seeds give equal mixes.
+is a source, the last one; rows that repeat a doc_id are documents of their own; an empty table gives no rows; further columns are left alone. Equal seeds give equal mixes.
 """
 
 from __future__ import annotations
@@ -87,23 +86,26 @@ def _draws(sources: DataFrame, total: int, seed: int) -> DataFrame:
     return kept.select("k", "shard", "base", "n").unionByName(short).where("n > 0")
 
 
-def permuted(df: DataFrame, x: str, size: str, key: Column, seed: int) -> DataFrame:
-    """df with x, a number below size, replaced by its image under the permutation of 0 .. size - 1 that key chooses.
+def permuted(x: Column, size: Column, key: Column, seed: int) -> Column:
+    """The image of x under the permutation of 0 .. size - 1 that key chooses.
 
-    Swap-or-not: each round pairs every number with its mirror image round a secret centre and swaps some pairs.
+    Swap-or-not: each round pairs every number with its mirror image round a secret centre and swaps some pairs. It is
+    a fold, so that the rounds' expressions aren't put into each other.
     """
-    df = df.withColumn("_key", F.xxhash64(key, F.lit(seed)))
-    for i in range(ROUNDS):
-        df = df.withColumn("_mirror", F.pmod(F.pmod(F.xxhash64("_key", F.lit(i)), F.col(size)) - F.col(x), F.col(size)))
-        swap = F.xxhash64("_key", F.lit(i), F.greatest(x, "_mirror")) % 2 == 0
-        df = df.withColumn(x, F.when(swap, F.col("_mirror")).otherwise(F.col(x)))
-    return df.drop("_key", "_mirror")
+    secret = F.xxhash64(key, F.lit(seed))
+
+    def one_round(now: Column, i: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(secret, i), size) - now, size)
+        return F.when(F.xxhash64(secret, i, F.greatest(now, mirror)) % 2 == 0, mirror).otherwise(now)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, one_round)
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     cols = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("_s"), size.alias("size"), F.xxhash64(text_col).alias("row"))
-    return cols.select("doc", "row", "size", F.coalesce("_s", F.lit("")).alias("source"), F.col("_s").isNotNull().alias("has_source"))
+    copy = F.row_number().over(Window.partitionBy("doc", "row").orderBy("_s"))
+    return cols.select("doc", F.struct("row", copy.alias("copy")).alias("row"), "size", F.coalesce("_s", F.lit("")).alias("source"), F.col("_s").isNotNull().alias("has_source"))
 
 
 class Mix:
@@ -121,7 +123,7 @@ class Mix:
         runs = draws.select("k", "shard", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1, F.lit(step).cast("long"))).alias("from"), (F.col("base") + F.col("n")).alias("end"))
         numbers = runs.select("k", "shard", F.explode(F.sequence("from", F.least(F.col("from") + step, "end") - 1)).alias("number"))
         slots = numbers.join(self.sources.select("k", "blocks"), "k").withColumn("pass", F.floor(F.col("number") / F.col("blocks"))).withColumn("block", F.col("number") % F.col("blocks"))
-        self.slots = permuted(slots, "block", "blocks", F.struct("k", "pass"), seed)
+        self.slots = slots.withColumn("block", permuted(F.col("block"), F.col("blocks"), F.struct("k", "pass"), seed))
         self.taken = self.slots.join(_packed(self.sized), ["k", "block"])
 
 
@@ -140,8 +142,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     mix = Mix(docs, id_col, text_col, source_col, seed)
     spans = mix.taken.groupBy("doc", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_spans")).withColumnsRenamed({"doc": "_d", "row": "_r", "pass": "_pass"})
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"))
-    joined = keyed.join(spans, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_r")))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.xxhash64(text_col).alias("_h"))
+    keyed = keyed.withColumn("_c", F.row_number().over(Window.partitionBy("_i", "_h").orderBy("_s")))
+    spans = spans.select("_d", "_pass", "_spans", F.col("_r")["row"].alias("_r"), F.col("_r")["copy"].alias("_rc"))
+    joined = keyed.join(spans, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_r")) & (F.col("_c") == F.col("_rc")))
     words = joined.withColumn("_words", F.regexp_extract_all(f"_doc.{text_col}", F.lit(WORD), F.lit(0)))
     text = F.concat_ws(" ", F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["first"] + 1).cast("int"), s["words"].cast("int")))))
     return words.select(*[text.alias(c) if c == text_col else F.col(f"_doc.{c}").alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, cut, parts
+from .common import binary_values, cut, parts, small_batches
 from .components import components
 
 #: Buckets of up to this many fingerprints are compared shift by shift; larger ones look up each near fingerprint.
@@ -155,6 +155,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 hex digits), component_id (the least id that links reach)."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.col(text_col), "UTF-8").alias("_text"))
     each = cut(source.mapInArrow(_fingerprints(words), "_id long, fp long"))
     distinct = cut(each.groupBy("fp").agg(F.min("_id").alias("least")))

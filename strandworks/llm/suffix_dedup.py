@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, parts, utf8
+from .common import binary_values, parts, small_batches, utf8
 
 MATCH = 100
 TRIGGER = 32
@@ -407,6 +407,7 @@ def _remainders(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, marks): packed runs of the window starts in each doc that also start earlier, in several pieces."""
+    small_batches(docs.sparkSession)
     n = parts(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     found = texts.where("doc_id IS NOT NULL").mapInArrow(_deal_triggers(n), "bucket int, data binary")
