@@ -120,8 +120,8 @@ class Mix:
         if draws is None:
             draws = self.sources.where("false").select("k", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("n"))
         step = 4096
-        runs = draws.select("k", "shard", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1, F.lit(step).cast("long"))).alias("from"), (F.col("base") + F.col("n")).alias("end"))
-        numbers = runs.select("k", "shard", F.explode(F.sequence("from", F.least(F.col("from") + step, "end") - 1)).alias("number"))
+        runs = draws.where("n > 0").select("k", "shard", F.explode(F.sequence("base", F.greatest("base", F.col("base") + F.col("n") - 1), F.lit(step).cast("long"))).alias("from"), (F.col("base") + F.col("n")).alias("end"))
+        numbers = runs.select("k", "shard", F.explode(F.sequence("from", F.greatest("from", F.least(F.col("from") + step, "end") - 1))).alias("number"))
         slots = numbers.join(self.sources.select("k", "blocks"), "k").withColumn("pass", F.floor(F.col("number") / F.col("blocks"))).withColumn("block", F.col("number") % F.col("blocks"))
         self.slots = slots.withColumn("block", permuted(F.col("block"), F.col("blocks"), F.struct("k", "pass"), seed))
         self.taken = self.slots.join(_packed(self.sized), ["k", "block"])
