@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .mixing import mix_digest
+from .ogg import media_digest
 from .simhash import near_groups
 from .suffix_dedup import removal_digest
+from .toxicity import toxicity
+from .url_filter import judged
+from .warc import archived
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +29,28 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"))
+
+
+def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_mixing, op3_exact_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_mixing, op3_exact_dedup, op5_url_filter, op6_ogg_media, op7_toxicity, op8_warc, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -45,4 +65,39 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm.t) AS text_sha256
             FROM norm JOIN grp ON norm.t = grp.t
         """,
+        "op5_url_filter": r"""
+            WITH rest AS (
+                SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+            ), cut AS (
+                SELECT page_id, url, regexp_extract(coalesce(r, ''), '^[^/?#]*') AS h, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+            ), low AS (
+                SELECT page_id, url, path, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM cut
+            ), tagged AS (
+                SELECT host, path, max(coalesce(regexp_matches(url, '[?&]utm_'), false)) AS listed FROM low GROUP BY host, path
+            ), ruled AS (
+                SELECT page_id, host, path, CASE
+                    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+                    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+                    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+                    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+                    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM low
+            )
+            SELECT page_id, ruled.host, ruled.path, rule, CASE
+                WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+            FROM ruled JOIN tagged ON ruled.host = tagged.host AND ruled.path = tagged.path
+        """,
+        "op8_warc": r"""
+            WITH sized AS (
+                SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+            ), bits AS (
+                SELECT page_id, t, payload_bytes, list_aggregate(list_transform(range(40), lambda i: lpad(bin(('0x' || substr(h, i + 1, 1))::INT), 4, '0')), 'string_agg', '') AS b FROM sized
+            ), first AS (
+                SELECT t, max(page_id) AS keep FROM sized GROUP BY t
+            )
+            SELECT page_id, payload_bytes,
+                list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CASE WHEN substr(b, 5 * i + j + 1, 1) = '1' THEN 1 << (4 - j) ELSE 0 END))::INT, 1)), 'string_agg', '') AS payload_digest,
+                CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+                CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+            FROM bits JOIN first ON bits.t = first.t
+        """,
     }
