@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, parts
 
 BLOCK = 32
 SHARDS = 256
@@ -86,19 +86,22 @@ def _draws(sources: DataFrame, total: int, seed: int) -> DataFrame:
     return kept.select("k", "shard", "base", "n").unionByName(short).where("n > 0")
 
 
-def permuted(x: Column, size: Column, key: Column, seed: int) -> Column:
-    """The image of x under the permutation of 0 .. size - 1 that key chooses.
+def centres(size: Column, key: Column, seed: int) -> Column:
+    """Secret centres of the rounds of a permutation of 0 .. size - 1 that key chooses."""
+    return F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda i: F.pmod(F.xxhash64(key, F.lit(seed), i), size))
 
-    Swap-or-not: each round pairs every number with its mirror image round a secret centre and swaps some pairs. It is
-    a fold, so that the rounds' expressions aren't put into each other.
+
+def permuted(x: Column, size: Column, rounds: Column) -> Column:
+    """The image of x, below size, under the permutation that the centres `rounds` make.
+
+    Swap-or-not: each round pairs every number with its mirror image round the round's centre and swaps some pairs.
     """
-    secret = F.xxhash64(key, F.lit(seed))
 
-    def one_round(now: Column, i: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(secret, i), size) - now, size)
-        return F.when(F.xxhash64(secret, i, F.greatest(now, mirror)) % 2 == 0, mirror).otherwise(now)
+    def one_round(now: Column, centre: Column) -> Column:
+        mirror = F.pmod(centre - now, size)
+        return F.when(F.xxhash64(centre, F.greatest(now, mirror)) % 2 == 0, mirror).otherwise(now)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, one_round)
+    return F.aggregate(rounds, x, one_round)
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -121,9 +124,14 @@ class Mix:
             draws = self.sources.where("false").select("k", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("n"))
         step = 4096
         runs = draws.where("n > 0").select("k", "shard", F.explode(F.sequence("base", F.greatest("base", F.col("base") + F.col("n") - 1), F.lit(step).cast("long"))).alias("from"), (F.col("base") + F.col("n")).alias("end"))
-        numbers = runs.select("k", "shard", F.explode(F.sequence("from", F.greatest("from", F.least(F.col("from") + step, "end") - 1))).alias("number"))
-        slots = numbers.join(self.sources.select("k", "blocks"), "k").withColumn("pass", F.floor(F.col("number") / F.col("blocks"))).withColumn("block", F.col("number") % F.col("blocks"))
-        self.slots = slots.withColumn("block", permuted(F.col("block"), F.col("blocks"), F.struct("k", "pass"), seed))
+        # few rows that become very many: dealt out before they do
+        dealt = runs.repartition(parts(docs.sparkSession), "k", "from")
+        numbers = dealt.select("k", "shard", F.explode(F.sequence("from", F.greatest("from", F.least(F.col("from") + step, "end") - 1))).alias("number"))
+        passes = self.sources.where("blocks > 0").select("k", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(REPEATS)).cast("long"))).alias("pass"))
+        rounds = passes.select("k", "blocks", "pass", centres(F.col("blocks"), F.struct("k", "pass"), seed).alias("rounds"))
+        slots = numbers.join(self.sources.select("k", "blocks"), "k").withColumn("pass", F.floor(F.col("number") / F.col("blocks"))).withColumn("at", F.col("number") % F.col("blocks")).drop("blocks")
+        slots = slots.join(rounds, ["k", "pass"])
+        self.slots = slots.select("k", "shard", "number", "pass", permuted(F.col("at"), F.col("blocks"), F.col("rounds")).alias("block"))
         self.taken = self.slots.join(_packed(self.sized), ["k", "block"])
 
 
