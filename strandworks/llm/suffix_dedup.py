@@ -141,15 +141,37 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
-def _by_doc(doc: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each doc with the bytes of its values; doc ascending, values of one or more columns."""
-    edges = _runs(doc)
-    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    for i in range(0, len(edges) - 1, 16384):
-        e = edges[i : i + 16385]
-        offsets = ((e - e[0]) * width).astype(np.int32)
-        column = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values[e[0] : e[-1]]).tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[e[:-1]]), column], schema=_MARKS)
+def _by_doc(doc: np.ndarray, values: np.ndarray, n: int) -> pa.RecordBatch:
+    """Values of docs, one or more columns of uint32, packed by bucket of docs."""
+    bucket = doc % n
+    order = np.argsort(bucket, kind="stable")
+    edges = _runs(bucket[order])
+    own = [order[a:b] for a, b in zip(edges[:-1], edges[1:])]
+    return _rows([int(bucket[o[0]]) for o in own], [_pack(doc[o], values[o].ravel()) for o in own])
+
+
+def _merged(width: int):
+    """What _by_doc packs, as a row for each doc."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _grouped(it):
+            pieces = [_unpack(x, [np.int64, np.uint32]) for x in held]
+            doc, values = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]).reshape(-1, width)
+            order = np.argsort(doc, kind="stable")
+            doc, values = doc[order], values[order]
+            edges = _runs(doc)
+            for i in range(0, len(edges) - 1, 16384):
+                e = edges[i : i + 16385]
+                offsets = ((e - e[0]) * 4 * width).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values[e[0] : e[-1]]).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[e[:-1]]), column], schema=_MARKS)
+
+    return run
+
+
+def _of_docs(packed: DataFrame, width: int, n: int) -> DataFrame:
+    """(doc_id, marks) from rows of (bucket, data)."""
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(width), "doc_id long, marks binary")
 
 
 def _rows(buckets: list[int], data: list[bytes]) -> pa.RecordBatch:
@@ -213,7 +235,7 @@ def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _repeated_triggers(most: int):
+def _repeated_triggers(most: int, n: int):
     """Places of the triggers that occur more than once: 2 * place, plus 1 if there are over `most`."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +255,7 @@ def _repeated_triggers(most: int):
                 more = own > 1
                 docs += [doc[more], doc2]
                 marks += [place[more] * np.uint32(2) + (own[more] > most), place2 * np.uint32(2) + (own[of] > most)]
-            doc, mark = np.concatenate(docs), np.concatenate(marks).astype(np.uint32)
-            order = np.lexsort((mark, doc))
-            yield from _by_doc(doc[order], mark[order])
+            yield _by_doc(np.concatenate(docs), np.concatenate(marks).astype(np.uint32), n)
 
     return run
 
@@ -291,7 +311,7 @@ def _deal_phrases(n: int):
         for batch in it:
             batch = batch.filter(pc.is_valid(batch.column(2)))
             ids, texts = batch.column(0).to_pylist(), binary_values(batch.column(1))
-            marks = [np.concatenate([np.frombuffer(x, np.uint32) for x in m]) for m in batch.column(2).to_pylist()]
+            marks = [np.frombuffer(m, np.uint32) for m in batch.column(2).to_pylist()]
             for rows, starts, data in _blocks(list(range(len(ids))), texts):
                 lo, hi, at, h = parse(data, np.diff(starts).tolist())
                 text = np.searchsorted(starts, lo, "right") - 1
@@ -332,57 +352,61 @@ def window_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.unique(rank[starts] << np.uint64(32) | rank[starts + MATCH - 64], return_inverse=True)[1]
 
 
-def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(n: int):
     """(first, last) of the runs of window starts that repeat, by doc."""
-    for rows in _grouped(it):
-        held = _Dictionary()
-        flags = []
-        for row in rows:
-            if row[:1] == b"F":
-                flags.append(np.stack([x.astype(np.int64) for x in _unpack(row[1:], _FLAGS)], 1))
-                continue
-            trigger, doc, lo, length, data = _unpack(row[1:], _PHRASES)
-            text, at = data.tobytes(), 0
-            for t, d, s, k in zip(trigger.tolist(), doc.tolist(), lo.tolist(), length.tolist()):
-                held.add(text[at : at + k], (d, s), t)
-                at += k
-        if held.flags:
-            flags.append(np.array(held.flags, np.int64))
-        per: dict[int, int] = {}
-        for t in held.trigger.values():
-            per[t] = per.get(t, 0) + 1
-        shared = [p for p, t in held.trigger.items() if per[t] > 1]
-        if shared:
-            data = np.frombuffer(b"".join(shared), np.uint8)
-            sizes = np.array([len(p) for p in shared])
-            windows = sizes - MATCH + 1
-            of = np.repeat(np.arange(len(shared)), windows)
-            inside = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-            rank = window_ranks(data, (np.cumsum(sizes) - sizes)[of] + inside)
-            places = np.array([held.first[p] for p in shared], np.int64)
-            doc, start = places[of, 0], places[of, 1] + inside
-            order = np.lexsort((start, doc, rank))  # the suffix array, places of equal windows in the parse's order
-            rank, doc, start = rank[order], doc[order], start[order]
-            first = _runs(rank)[:-1]
-            again = np.ones(len(rank), bool)
-            again[first] = False
-            lead = np.repeat(first, np.diff(np.append(first, len(rank))))
-            again &= (doc != doc[lead]) | (start != start[lead])  # a row that repeats a doc_id is not earlier
-            flags.append(np.stack([doc[again], start[again], start[again]], 1))
-        if flags:
-            found = np.concatenate(flags)
-            found = found[np.lexsort((found[:, 1], found[:, 0]))]
-            new = np.concatenate([[True], (found[1:, 0] != found[:-1, 0]) | (found[1:, 1] > found[:-1, 2] + 1)])  # joins most; the rest meet later
-            head = np.flatnonzero(new)
-            last = np.maximum.reduceat(found[:, 2], head) if len(head) else head
-            yield from _by_doc(found[head, 0], np.stack([found[head, 1], last], 1).astype(np.uint32))
-
-
-def spans_of(pieces: list[bytes] | None, size: int) -> list[tuple[int, int]]:
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(it):
+            held = _Dictionary()
+            flags = []
+            for row in rows:
+                if row[:1] == b"F":
+                    flags.append(np.stack([x.astype(np.int64) for x in _unpack(row[1:], _FLAGS)], 1))
+                    continue
+                trigger, doc, lo, length, data = _unpack(row[1:], _PHRASES)
+                text, at = data.tobytes(), 0
+                for t, d, s, k in zip(trigger.tolist(), doc.tolist(), lo.tolist(), length.tolist()):
+                    held.add(text[at : at + k], (d, s), t)
+                    at += k
+            if held.flags:
+                flags.append(np.array(held.flags, np.int64))
+            per: dict[int, int] = {}
+            for t in held.trigger.values():
+                per[t] = per.get(t, 0) + 1
+            shared = [p for p, t in held.trigger.items() if per[t] > 1]
+            if shared:
+                data = np.frombuffer(b"".join(shared), np.uint8)
+                sizes = np.array([len(p) for p in shared])
+                windows = sizes - MATCH + 1
+                of = np.repeat(np.arange(len(shared)), windows)
+                inside = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+                rank = window_ranks(data, (np.cumsum(sizes) - sizes)[of] + inside)
+                places = np.array([held.first[p] for p in shared], np.int64)
+                doc, start = places[of, 0], places[of, 1] + inside
+                order = np.lexsort((start, doc, rank))  # the suffix array, places of equal windows in the parse's order
+                rank, doc, start = rank[order], doc[order], start[order]
+                first = _runs(rank)[:-1]
+                again = np.ones(len(rank), bool)
+                again[first] = False
+                lead = np.repeat(first, np.diff(np.append(first, len(rank))))
+                again &= (doc != doc[lead]) | (start != start[lead])  # a row that repeats a doc_id is not earlier
+                flags.append(np.stack([doc[again], start[again], start[again]], 1))
+            if flags:
+                found = np.concatenate(flags)
+                found = found[np.lexsort((found[:, 1], found[:, 0]))]
+                new = np.concatenate([[True], (found[1:, 0] != found[:-1, 0]) | (found[1:, 1] > found[:-1, 2] + 1)])  # joins most; the rest meet later
+                head = np.flatnonzero(new)
+                last = np.maximum.reduceat(found[:, 2], head) if len(head) else head
+                yield _by_doc(found[head, 0], np.stack([found[head, 1], last], 1).astype(np.uint32), n)
+
+    return run
+
+
+def spans_of(runs_of: bytes | None, size: int) -> list[tuple[int, int]]:
     """Maximal removed runs of bytes, (begin, end), from packed runs of window starts."""
-    if not pieces:
+    if not runs_of:
         return []
-    runs = np.concatenate([np.frombuffer(x, np.uint32) for x in pieces]).reshape(-1, 2).astype(np.int64)
+    runs = np.frombuffer(runs_of, np.uint32).reshape(-1, 2).astype(np.int64)
     runs = runs[np.argsort(runs[:, 0], kind="stable")]
     out: list[list[int]] = []
     for lo, hi in runs.tolist():
@@ -397,8 +421,8 @@ def spans_of(pieces: list[bytes] | None, size: int) -> list[tuple[int, int]]:
 def _remainders(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         texts, begin, end, rest = binary_values(batch.column(1)), [], [], []
-        for t, pieces in zip(texts, batch.column(2).to_pylist()):
-            spans = spans_of(pieces, len(t))
+        for t, runs_of in zip(texts, batch.column(2).to_pylist()):
+            spans = spans_of(runs_of, len(t))
             begin.append([a for a, _ in spans])
             end.append([b for _, b in spans])
             rest.append(b"".join(t[a:b] for a, b in zip([0, *end[-1]], [*begin[-1], len(t)])))
@@ -406,23 +430,21 @@ def _remainders(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, marks): packed runs of the window starts in each doc that also start earlier, in several pieces."""
+    """(doc_id, marks): packed runs of the window starts in each doc that also start earlier; runs may touch."""
     small_batches(docs.sparkSession)
     n = parts(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     found = texts.where("doc_id IS NOT NULL").mapInArrow(_deal_triggers(n), "bucket int, data binary")
-    places = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_triggers(hot), "doc_id long, marks binary")
+    places = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_triggers(hot, n), "bucket int, data binary")
     # left, like the join in without_repeats, so that both read one exchange of the texts
-    marked = texts.join(places.groupBy("doc_id").agg(F.collect_list("marks").alias("marks")), "doc_id", "left")
-    phrases = marked.mapInArrow(_deal_phrases(n), "bucket int, data binary")
-    return phrases.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "doc_id long, marks binary")
+    phrases = texts.join(_of_docs(places, 1, n), "doc_id", "left").mapInArrow(_deal_phrases(n), "bucket int, data binary")
+    return _of_docs(phrases.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(n), "bucket int, data binary"), 2, n)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, begins and ends of the removed runs of bytes, kept (the bytes left)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    spans = repeated_spans(docs, id_col, text_col, hot).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    return texts.join(spans, "doc_id", "left").mapInArrow(_remainders, "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary")
+    return texts.join(repeated_spans(docs, id_col, text_col, hot), "doc_id", "left").mapInArrow(_remainders, "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary")
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
