@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .language import languages
 from .mixing import mix_digest
 from .ogg import media_digest
+from .pieces import piece_digest
 from .simhash import near_groups
 from .suffix_dedup import removal_digest
 from .toxicity import toxicity
@@ -29,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"))
 
@@ -45,12 +51,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_mixing, op3_exact_dedup, op5_url_filter, op6_ogg_media, op7_toxicity, op8_warc, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_mixing, op3_exact_dedup, op4_sentencepiece, op5_url_filter, op6_ogg_media, op7_toxicity, op8_warc, op9_language_id, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
