@@ -44,7 +44,9 @@ TRIGGER = 32
 #: Places of one trigger in the corpus from which its phrases are cut into single windows.
 HOT = 4096
 #: Bytes parsed at once; text and phrases that a task holds before it hands on what it has collapsed.
-BLOCK, TASK_TEXT, TASK_PHRASES = 1 << 18, 1 << 25, 1 << 24
+BLOCK, TASK_TEXT, TASK_PHRASES = 1 << 18, 1 << 23, 1 << 25
+#: Bytes of phrases whose windows are ranked at once.
+TASK_RANKED = 1 << 20
 _LONGEST = 1 << 23
 
 _BUCKET = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
@@ -277,12 +279,12 @@ class _Dictionary:
         old = self.first.get(phrase)
         if old is None:
             self.first[phrase], self.trigger[phrase] = place, trigger
-            self.size += len(phrase) + 200
+            self.size += len(phrase) + 400
         elif old != place:
             low, high = (old, place) if old < place else (place, old)
             self.first[phrase] = low
             self.flags.append((high[0], high[1], high[1] + len(phrase) - MATCH))
-            self.size += 100
+            self.size += 170
 
 
 def _deal_phrases(n: int):
@@ -329,7 +331,7 @@ def _deal_phrases(n: int):
                             held.add(w, (doc, s - base), xxhash.xxh64_intdigest(w))
                     else:
                         held.add(data[a : b + MATCH], (doc, a - base), int(h[k]))
-                if held.size > TASK_PHRASES * 4:
+                if held.size > TASK_PHRASES:
                     yield flush(held)
                     held = _Dictionary()
         if held.first:
@@ -352,6 +354,40 @@ def window_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.unique(rank[starts] << np.uint64(32) | rank[starts + MATCH - 64], return_inverse=True)[1]
 
 
+def _batched(held: _Dictionary, phrases: list[bytes]) -> Iterator[list[bytes]]:
+    """Phrases, sorted by trigger, about TASK_RANKED bytes at once; those of one trigger, at most HOT, stay together."""
+    own: list[bytes] = []
+    size = 0
+    for p in phrases:
+        if size > TASK_RANKED and held.trigger[p] != held.trigger[own[-1]]:
+            yield own
+            own, size = [], 0
+        own.append(p)
+        size += len(p)
+    if own:
+        yield own
+
+
+def _ranked(held: _Dictionary, shared: list[bytes]) -> np.ndarray:
+    """Windows of the phrases that repeat, (doc, start, start), by the suffix array of the phrases."""
+    data = np.frombuffer(b"".join(shared), np.uint8)
+    sizes = np.array([len(p) for p in shared])
+    windows = sizes - MATCH + 1
+    of = np.repeat(np.arange(len(shared)), windows)
+    inside = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    rank = window_ranks(data, (np.cumsum(sizes) - sizes)[of] + inside)
+    places = np.array([held.first[p] for p in shared], np.int64)
+    doc, start = places[of, 0], places[of, 1] + inside
+    order = np.lexsort((start, doc, rank))  # the suffix array, places of equal windows in the parse's order
+    rank, doc, start = rank[order], doc[order], start[order]
+    first = _runs(rank)[:-1]
+    again = np.ones(len(rank), bool)
+    again[first] = False
+    lead = np.repeat(first, np.diff(np.append(first, len(rank))))
+    again &= (doc != doc[lead]) | (start != start[lead])  # a row that repeats a doc_id is not earlier
+    return np.stack([doc[again], start[again], start[again]], 1)
+
+
 def _repeats(n: int):
     """(first, last) of the runs of window starts that repeat, by doc."""
 
@@ -373,24 +409,8 @@ def _repeats(n: int):
             per: dict[int, int] = {}
             for t in held.trigger.values():
                 per[t] = per.get(t, 0) + 1
-            shared = [p for p, t in held.trigger.items() if per[t] > 1]
-            if shared:
-                data = np.frombuffer(b"".join(shared), np.uint8)
-                sizes = np.array([len(p) for p in shared])
-                windows = sizes - MATCH + 1
-                of = np.repeat(np.arange(len(shared)), windows)
-                inside = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-                rank = window_ranks(data, (np.cumsum(sizes) - sizes)[of] + inside)
-                places = np.array([held.first[p] for p in shared], np.int64)
-                doc, start = places[of, 0], places[of, 1] + inside
-                order = np.lexsort((start, doc, rank))  # the suffix array, places of equal windows in the parse's order
-                rank, doc, start = rank[order], doc[order], start[order]
-                first = _runs(rank)[:-1]
-                again = np.ones(len(rank), bool)
-                again[first] = False
-                lead = np.repeat(first, np.diff(np.append(first, len(rank))))
-                again &= (doc != doc[lead]) | (start != start[lead])  # a row that repeats a doc_id is not earlier
-                flags.append(np.stack([doc[again], start[again], start[again]], 1))
+            shared = sorted((p for p, t in held.trigger.items() if per[t] > 1), key=held.trigger.__getitem__)
+            flags += [_ranked(held, own) for own in _batched(held, shared)]
             if flags:
                 found = np.concatenate(flags)
                 found = found[np.lexsort((found[:, 1], found[:, 0]))]
