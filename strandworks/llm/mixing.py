@@ -154,6 +154,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = keyed.withColumn("_c", F.row_number().over(Window.partitionBy("_i", "_h").orderBy("_s")))
     spans = spans.select("_d", "_pass", "_spans", F.col("_r")["row"].alias("_r"), F.col("_r")["copy"].alias("_rc"))
     joined = keyed.join(spans, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_r")) & (F.col("_c") == F.col("_rc")))
-    words = joined.withColumn("_words", F.regexp_extract_all(f"_doc.{text_col}", F.lit(WORD), F.lit(0)))
-    text = F.concat_ws(" ", F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["first"] + 1).cast("int"), s["words"].cast("int")))))
-    return words.select(*[text.alias(c) if c == text_col else F.col(f"_doc.{c}").alias(c) for c in docs.columns])
+    # the words are a lambda's variable, so that they are found once for a row, not again for every span
+    found = F.array(F.regexp_extract_all(f"_doc.{text_col}", F.lit(WORD), F.lit(0)))
+    text = F.transform(found, lambda w: F.concat_ws(" ", F.flatten(F.transform("_spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["words"].cast("int"))))))[0]
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"_doc.{c}").alias(c) for c in docs.columns])
