@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def cohens_d(value: Column, in_a: Column, kind: str = "sample") -> Column:
@@ -58,7 +59,7 @@ def _student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(t == 0, 1.0, np.where(low, front * _betacf(a, b, x) / a, 1 - front * _betacf(b, a, 1 - x) / b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t; null below one degree of freedom."""
     good = t.notna() & (df >= 1)
@@ -68,7 +69,7 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return out.where(out.notna(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided p of Fisher's exact test on a 2 x 2 table: the sum over tables no likelier than the given one."""
 

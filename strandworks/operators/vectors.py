@@ -43,7 +43,7 @@ def best_match(left: DataFrame, right: DataFrame, key: str, vec: str, block: int
     # every block of one side goes to every block of the other: the block numbers meet, not the rows
     grid = a.select("_b").distinct().join(F.broadcast(b.select(F.col("_b").alias("_c")).distinct()))
     dealt = a.join(grid, "_b").withColumnRenamed("_c", "_other").select("_b", "_other", key, vec)
-    facing = b.withColumnRenamed("_b", "_other").join(grid.withColumnRenamed("_c", "_other"), "_other").select("_b", "_other", key, vec)
+    facing = b.withColumnRenamed("_b", "_other").join(grid.withColumnRenamed("_c", "_other"), "_other").select(F.col("_b").alias("_fb"), F.col("_other").alias("_fo"), key, vec)
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
@@ -58,7 +58,5 @@ def best_match(left: DataFrame, right: DataFrame, key: str, vec: str, block: int
         at = s.argmax(1)
         return pd.DataFrame({key: x[key].to_numpy(), "match": y[key].to_numpy()[at], "cosine": s[np.arange(len(s)), at]})
 
-    best = dealt.groupBy("_b", "_other").cogroup(facing.groupBy("_b", "_other")).applyInPandas(product, width)
+    best = dealt.groupBy("_b", "_other").cogroup(facing.groupBy("_fb", "_fo")).applyInPandas(product, width)
     return best.groupBy(key).agg(F.max_by("match", F.struct(F.round("cosine", 9), -F.col("match"))).alias("match"), F.max("cosine").alias("cosine"))
-
-
