@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions import stats
-from strandworks.operators import concepts, contacts, graphs, vectors
+from strandworks.operators import concepts, contacts, graphs, layers, vectors
 from strandworks.plans import bindings as B
 from strandworks.plans.registry import query, rounded
 
@@ -130,6 +130,12 @@ def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(means.groupBy("depth").agg(F.sum(up).alias("up"), F.count(F.lit(1)).alias("n"), (F.max(up) != F.min(up)).alias("flips")))
 
 
+@query("WITH m AS (SELECT l_returnflag AS g, year(l_shipdate) AS depth, CAST(avg(l_quantity) AS DOUBLE) - 25.5 AS d FROM lineitem GROUP BY ALL), p AS (SELECT g, depth AS low, d AS a, lead(depth) OVER w AS high, lead(d) OVER w AS b FROM m WINDOW w AS (PARTITION BY g ORDER BY depth)), c AS (SELECT g, low, high, low + a / (a - b) * (high - low) AS crossing, row_number() OVER (PARTITION BY g ORDER BY low) AS k FROM p WHERE (a > 0 AND b < 0) OR (a < 0 AND b > 0)) SELECT g, low, high, round(crossing, 6) + 0.0 AS crossing FROM c WHERE k = 1")
+def sign_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.year("l_shipdate").alias("depth")).agg((F.avg("l_quantity").cast("double") - 25.5).alias("d"))
+    return rounded(layers.sign_crossings(means, ["g"], "depth", "d"))
+
+
 @query(B.sql("vectors", then="u AS (SELECT uid, position, vec, sqrt(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM vectors), s AS (SELECT a.uid, a.position AS i, b.position AS j, list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (a.n * b.n + 1e-12) AS s FROM u a JOIN u b ON a.uid = b.uid), c AS (SELECT uid, i, j, s - avg(s) OVER (PARTITION BY uid, i) * avg(s) OVER (PARTITION BY uid, j) / (avg(s) OVER (PARTITION BY uid) + 1e-8) AS score FROM s) SELECT uid, i, j, round(score, 5) + 0.0 AS score FROM c WHERE i < j"))
 def apc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(contacts.apc_scores(B.vectors(spark, sf_dir).select("uid", "position", "vec")), 5)
