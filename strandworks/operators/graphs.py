@@ -53,11 +53,15 @@ def weighted(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     return edges.join(edges.groupBy(*keys).agg((1 / F.count(F.lit(1))).alias("w")), keys)
 
 
-def neighbour_means(residues: DataFrame, edges: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """(uid, position, smoothed): mean of the neighbours' values, 0 without neighbours."""
-    own = edges.join(values.select("uid", F.col("position").alias("dst"), F.col(value).alias("_v")), ["uid", "dst"])
-    mean = own.groupBy("uid", F.col("src").alias("position")).agg(F.avg("_v").alias("smoothed"))
-    return residues.select("uid", "position").join(mean, ["uid", "position"], "left").withColumn("smoothed", F.coalesce("smoothed", F.lit(0.0)))
+def neighbour_means(residues: DataFrame, edges: DataFrame, values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(uid, position, by, smoothed): mean of the neighbours' values, 0 without neighbours; for each of `by` that has values."""
+    keys = ["uid", "position", *(by or [])]
+    own = edges.join(values.select("uid", F.col("position").alias("dst"), *(by or []), F.col(value).alias("_v")), ["uid", "dst"])
+    mean = own.groupBy("uid", F.col("src").alias("position"), *(by or [])).agg(F.avg("_v").alias("smoothed"))
+    places = residues.select("uid", "position")
+    if by:
+        places = places.crossJoin(F.broadcast(values.select(*by).distinct()))  # a result row each
+    return places.join(mean, keys, "left").withColumn("smoothed", F.coalesce("smoothed", F.lit(0.0)))
 
 
 def degree_matched_null(residues: DataFrame, edges: DataFrame, seed: int) -> DataFrame:

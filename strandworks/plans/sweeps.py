@@ -25,6 +25,14 @@ def neighbor_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graphs.neighbour_means(places, graphs.band_edges(places, 2), own, "z"))
 
 
+@query(B.sql("dense", "places", "band", then="f AS (SELECT DISTINCT feature FROM dense) SELECT p.uid, p.position, f.feature, round(coalesce(avg(d.z), 0), 6) + 0.0 AS smoothed FROM places p CROSS JOIN f LEFT JOIN band b ON p.uid = b.uid AND p.position = b.src LEFT JOIN dense d ON d.uid = b.uid AND d.position = b.dst AND d.feature = f.feature GROUP BY p.uid, p.position, f.feature"))
+def neighbor_mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """neighbor_mean for every feature."""
+    places = B.places(spark, sf_dir)
+    own = B.values(spark, sf_dir).withColumn("z", F.greatest("z", F.lit(0.0)))
+    return rounded(graphs.neighbour_means(places, graphs.band_edges(places, 2), own, "z", ["feature"]))
+
+
 @query(B.sql("coords", "contact", then=f"c AS (SELECT unnest({list(CUTOFFS)}::DOUBLE[]) AS cutoff) SELECT c.cutoff, count(*) AS edges, count(DISTINCT uid) AS chains, round(avg(sep), 6) AS mean_sep FROM contact JOIN c ON dist <= c.cutoff GROUP BY c.cutoff"))
 def cutoff_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graphs.contact_edges(B.coords(spark, sf_dir), max(CUTOFFS), 3)  # found once, at the widest cutoff
