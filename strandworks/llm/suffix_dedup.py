@@ -5,8 +5,9 @@ window's trigger. Windows in a row with one trigger make a phrase; phrases overl
 lies in exactly one phrase, and equal windows lie at the same place before equal triggers wherever they occur. The
 corpus is thereby parsed into phrases, of which the repeated ones make a dictionary.
 
-1. Each task parses its texts and deals out the triggers' hashes. A trigger that occurs once in the corpus has phrases
-   with no repeated window; only the places of the others go back to their texts.
+1. Each task parses its texts in stretches and deals out each stretch's distinct triggers, once each with their count.
+   A trigger that occurs once in the corpus has phrases with no repeated window; the stretches are told which of their
+   triggers occur more often, and send the places of those to their texts.
 2. The texts are parsed again, and phrases at those places go to the bucket of their trigger. A bucket's dictionary
    has each distinct phrase with its first place in the parse; at all later places every window is a repeat.
 3. Phrases that share a trigger but differ are told apart by the suffix array of the bucket's dictionary, to the depth
@@ -20,15 +21,20 @@ A task collapses what repeats inside it before anything is dealt, so a passage t
 task. A trigger with more than HOT places, before which many different passages may stand, has its phrases cut into
 single windows, each dealt by its own bytes.
 
+This departs from suffix arrays of the whole dictionary and parse: no order of the whole corpus is built, and windows are
+ranked to MATCH bytes inside a bucket. What is removed is the same, as equal windows always meet in one bucket.
+
 Cases: a null or empty text gives zero lengths and the hash of no bytes; texts shorter than MATCH lose nothing; rows
-that repeat a doc_id don't count as earlier than each other at the same start, and what is found in one of them holds
-for the others with that doc_id; rows with a null doc_id lose nothing and take nothing from others; an empty table
-gives no rows; further columns are left alone.
+that repeat a doc_id don't count as earlier than each other at the same start; where their texts differ each has its own
+spans, and where they are equal what is found in one holds for the others; rows with a null doc_id lose nothing and take
+nothing from others; an empty table gives no rows; further columns are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +56,8 @@ TASK_RANKED = 1 << 20
 _LONGEST = 1 << 23
 
 _BUCKET = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-_MARKS = pa.schema([("doc_id", pa.int64()), ("marks", pa.binary())])
+_STRETCH = pa.schema([("bucket", pa.int32()), ("stretch", pa.int64()), ("data", pa.binary())])
+_MARKS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("marks", pa.binary())])
 
 
 def _byte_values() -> np.ndarray:
@@ -143,86 +150,187 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
-def _by_doc(doc: np.ndarray, values: np.ndarray, n: int) -> pa.RecordBatch:
-    """Values of docs, one or more columns of uint32, packed by bucket of docs."""
+def _by_doc(doc: np.ndarray, part: np.ndarray, values: np.ndarray, n: int) -> pa.RecordBatch:
+    """Values of rows, one or more columns of uint32, packed by bucket of docs. A row's part is a hash of its text."""
     bucket = doc % n
     order = np.argsort(bucket, kind="stable")
     edges = _runs(bucket[order])
     own = [order[a:b] for a, b in zip(edges[:-1], edges[1:])]
-    return _rows([int(bucket[o[0]]) for o in own], [_pack(doc[o], values[o].ravel()) for o in own])
+    return _rows([int(bucket[o[0]]) for o in own], [_pack(doc[o], part[o].astype(np.int32), values[o].ravel()) for o in own])
 
 
 def _merged(width: int):
-    """What _by_doc packs, as a row for each doc."""
+    """What _by_doc packs, as a row for each doc and part."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _grouped(it):
-            pieces = [_unpack(x, [np.int64, np.uint32]) for x in held]
-            doc, values = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]).reshape(-1, width)
-            order = np.argsort(doc, kind="stable")
-            doc, values = doc[order], values[order]
-            edges = _runs(doc)
+            pieces = [_unpack(x, [np.int64, np.int32, np.uint32]) for x in held]
+            doc, part, values = (np.concatenate(x) for x in zip(*pieces))
+            values = values.reshape(-1, width)
+            order = np.lexsort((part, doc))
+            doc, part, values = doc[order], part[order], values[order]
+            edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]), [True]])) if len(doc) else np.zeros(1, np.int64)
             for i in range(0, len(edges) - 1, 16384):
                 e = edges[i : i + 16385]
                 offsets = ((e - e[0]) * 4 * width).astype(np.int32)
                 column = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values[e[0] : e[-1]]).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(doc[e[:-1]]), column], schema=_MARKS)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[e[:-1]]), pa.array(part[e[:-1]]), column], schema=_MARKS)
 
     return run
 
 
 def _of_docs(packed: DataFrame, width: int, n: int) -> DataFrame:
-    """(doc_id, marks) from rows of (bucket, data)."""
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(width), "doc_id long, marks binary")
+    """(doc_id, part, marks) from rows of (bucket, data)."""
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(width), "doc_id long, part int, marks binary")
 
 
 def _rows(buckets: list[int], data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], schema=_BUCKET)
 
 
-_TRIGGERS = [np.uint64, np.uint32, np.int64, np.uint32, np.uint32, np.int64, np.uint32]
+def _stretch_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STRETCH.types)], schema=_STRETCH)
+
+
+#: Packed: a bucket's triggers of a stretch; a stretch's places, those at which a trigger comes again, and where it was first.
+_TRIGGERS = [np.uint64, np.uint32, np.uint32]
+_PLACES = [np.int64, np.int32, np.uint32, np.uint8, np.uint32, np.uint32]
+
+
+def _even(h: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of triggers. A trigger is the least hash of its window, so its leading bits are nearly always zero."""
+    return ((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _deal_triggers(n: int):
-    """Texts to packed (hash, count, first place) of their distinct triggers, with further places inside the task."""
+    """Texts to the distinct triggers of stretches, (hash, first place, count) by bucket of the hash, and each stretch's places.
+
+    A place is a number in the order of the stretch's text. Triggers of one text lie less than MATCH bytes apart, so
+    offsets are kept as steps of a byte.
+    """
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h, doc, at = (np.concatenate(x) for x in zip(*held))
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, part, count, step, h = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h, kind="stable")
-        h, doc, at = h[order], doc[order], at[order]
-        edges = _runs(h)
-        first, count = edges[:-1], np.diff(edges)
-        bucket = (h[first] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)  # ascends with h
+        edges = _runs(h[order])
+        first, times = order[edges[:-1]], np.diff(edges)
         again = np.ones(len(h), bool)
         again[first] = False
         again = np.flatnonzero(again)
-        of = np.repeat(np.arange(len(first)), count)[again]
-        cuts = _runs(bucket)
-        buckets, data = [], []
+        of = np.empty(len(h), np.int64)
+        of[order] = np.repeat(first, times)
+        data = _pack(doc, part, count, step, again.astype(np.uint32), of[again].astype(np.uint32))
+        # from the content alone, so that a task run again names its stretches alike
+        stretch = int(np.uint64(xxhash.xxh64_intdigest(data, xxhash.xxh64_intdigest(h.tobytes()))).view(np.int64))
+        own = h[first]
+        bucket = _even(own, n)
+        order = np.argsort(bucket, kind="stable")
+        cuts = _runs(bucket[order])
+        rows = [(stretch % n, stretch, b"P" + data)]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            x, y = np.searchsorted(of, [a, b])
-            f = first[a:b]
-            buckets.append(int(bucket[a]))
-            data.append(_pack(h[f], count[a:b].astype(np.uint32), doc[f], at[f].astype(np.uint32), (of[x:y] - a).astype(np.uint32), doc[again[x:y]], at[again[x:y]].astype(np.uint32)))
-        return _rows(buckets, data)
+            o = order[a:b]
+            rows.append((int(bucket[o[0]]), 0, b"T" + np.int64(stretch).tobytes() + _pack(own[o], first[o].astype(np.uint32), times[o].astype(np.uint32))))
+        return _stretch_rows(rows)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in it:
-            for ids, starts, data in _blocks(batch.column(0).to_pylist(), binary_values(batch.column(1))):
+            doc, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for rows, starts, data in _blocks(list(range(batch.num_rows)), binary_values(batch.column(2))):
                 lo, _, at, h = parse(data, np.diff(starts).tolist())
                 text = np.searchsorted(starts, lo, "right") - 1
-                held.append((h, ids[text], at - starts[text]))
+                new = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+                step = np.diff(at, prepend=0)
+                step[new] = at[new] - starts[text[new]]
+                held.append((doc[rows[text[new]]], part[rows[text[new]]], np.diff(np.append(new, len(text))).astype(np.uint32), step.astype(np.uint8), h))
                 size += len(data)
                 if size > TASK_TEXT:
                     yield flush(held)
                     held, size = [], 0
-        if held and sum(len(x[0]) for x in held):
+        if held:
             yield flush(held)
 
     return run
 
 
+def _answer(most: int):
+    """Which triggers occur more than once in the corpus, told to the stretches that have them; places pass through.
+
+    A stretch's answer is a first place, and half of uint32's range more if the trigger has over `most` places.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            pieces = [_unpack(x[9:], _TRIGGERS) for x in held]
+            h = np.concatenate([p[0] for p in pieces])
+            order = np.argsort(h, kind="stable")
+            edges = _runs(h[order])
+            sums = np.add.reduceat(np.concatenate([p[2] for p in pieces]).astype(np.int64)[order], edges[:-1])
+            total = np.empty(len(h), np.int64)
+            total[order] = np.repeat(sums, np.diff(edges))
+            at, rows = 0, []
+            for x, (own, first, _) in zip(held, pieces):
+                sum_ = total[at : at + len(own)]
+                at += len(own)
+                more = sum_ > 1
+                if more.any():
+                    stretch = int(np.frombuffer(x, np.int64, 1, 1)[0])
+                    rows.append((stretch, b"R" + (first[more] | (sum_[more] > most).astype(np.uint32) << np.uint32(31)).tobytes()))
+            for i in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 4096]], pa.int64()), pa.array([r[1] for r in rows[i : i + 4096]], pa.binary())], names=["stretch", "data"])
+
+        for rows in _by_bucket(it):
+            held = []
+            for stretch, data in rows:
+                if data[:1] == b"P":
+                    yield pa.RecordBatch.from_arrays([pa.array([stretch], pa.int64()), pa.array([data], pa.binary())], names=["stretch", "data"])
+                else:
+                    held.append(data)
+            if held:
+                yield from told(held)
+
+    return run
+
+
+def _by_bucket(it: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[int, bytes]]]:
+    """Rows of (stretch, data) for each bucket of sorted batches, read as they are asked for."""
+    rows = ((b, s, d) for batch in it for b, s, d in zip(*[c.to_pylist() for c in batch.columns]))
+    for _, own in groupby(rows, itemgetter(0)):
+        yield ((s, d) for _, s, d in own)
+
+
+def _repeated_places(n: int):
+    """Places of the triggers that occur more than once: 2 * place, plus 1 if there are many. Rows come sorted by stretch."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((s, d) for batch in it for s, d in zip(*[c.to_pylist() for c in batch.columns]))
+        for _, own in groupby(rows, itemgetter(0)):
+            places, told = None, []
+            for _, data in own:
+                if data[:1] == b"P":
+                    places = data  # a stretch that comes twice has the same places
+                else:
+                    told.append(np.frombuffer(data, np.uint32, -1, 1))
+            if not told:
+                continue
+            if places is None:
+                raise RuntimeError("a stretch of texts was read in another order when it was read again")
+            doc, part, count, step, again, of = _unpack(places[1:], _PLACES)
+            answer = np.concatenate(told)
+            kind = np.zeros(len(step), np.uint8)  # 1: repeated, 2: and of many places
+            kind[answer & np.uint32(0x7FFFFFFF)] = 1 + (answer >> np.uint32(31))
+            kind[again] = kind[of]
+            end = np.cumsum(count.astype(np.int64))
+            upto = np.cumsum(step.astype(np.int64))
+            row = np.repeat(np.arange(len(doc)), count)
+            first = end - count
+            at = upto - (upto[first] - step[first])[row]
+            on = np.flatnonzero(kind)
+            yield _by_doc(doc[row[on]], part[row[on]], (at[on] * 2 + (kind[on] == 2)).astype(np.uint32), n)
+
+    return run
+
+
 def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     """The data of each bucket; rows come sorted by bucket."""
     now, held = None, []
@@ -237,53 +345,28 @@ def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _repeated_triggers(most: int, n: int):
-    """Places of the triggers that occur more than once: 2 * place, plus 1 if there are over `most`."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _grouped(it):
-            docs, marks = [], []
-            pieces = [_unpack(x, _TRIGGERS) for x in held]
-            h = np.concatenate([p[0] for p in pieces])
-            order = np.argsort(h, kind="stable")
-            edges = _runs(h[order])
-            sums = np.add.reduceat(np.concatenate([p[1] for p in pieces]).astype(np.int64)[order], edges[:-1])
-            total = np.empty(len(h), np.int64)
-            total[order] = np.repeat(sums, np.diff(edges))
-            at = 0
-            for _, count, doc, place, of, doc2, place2 in pieces:
-                own = total[at : at + len(count)]
-                at += len(count)
-                more = own > 1
-                docs += [doc[more], doc2]
-                marks += [place[more] * np.uint32(2) + (own[more] > most), place2 * np.uint32(2) + (own[of] > most)]
-            yield _by_doc(np.concatenate(docs), np.concatenate(marks).astype(np.uint32), n)
-
-    return run
-
-
-_PHRASES = [np.uint64, np.int64, np.uint32, np.uint8, np.uint8]
-_FLAGS = [np.int64, np.uint32, np.uint32]
+_PHRASES = [np.uint64, np.int64, np.int32, np.uint32, np.uint8, np.uint8]
+_FLAGS = [np.int64, np.int32, np.uint32, np.uint32]
 
 
 class _Dictionary:
     """Distinct phrases, the first place of each, and the places at which phrases are known to repeat."""
 
     def __init__(self) -> None:
-        self.first: dict[bytes, tuple[int, int]] = {}
+        self.first: dict[bytes, tuple[int, int, int]] = {}  # doc, start, part
         self.trigger: dict[bytes, int] = {}
-        self.flags: list[tuple[int, int, int]] = []
+        self.flags: list[tuple[int, int, int, int]] = []  # doc, part, first and last start
         self.size = 0
 
-    def add(self, phrase: bytes, place: tuple[int, int], trigger: int) -> None:
+    def add(self, phrase: bytes, place: tuple[int, int, int], trigger: int) -> None:
         old = self.first.get(phrase)
         if old is None:
             self.first[phrase], self.trigger[phrase] = place, trigger
             self.size += len(phrase) + 400
-        elif old != place:
+        elif old[:2] != place[:2]:
             low, high = (old, place) if old < place else (place, old)
             self.first[phrase] = low
-            self.flags.append((high[0], high[1], high[1] + len(phrase) - MATCH))
+            self.flags.append((high[0], high[2], high[1], high[1] + len(phrase) - MATCH))
             self.size += 170
 
 
@@ -298,22 +381,22 @@ def _deal_phrases(n: int):
         for b, phrases in by.items():
             places = [held.first[p] for p in phrases]
             buckets.append(b)
-            data.append(b"P" + _pack(np.array([held.trigger[p] for p in phrases], np.uint64), np.array([x[0] for x in places], np.int64), np.array([x[1] for x in places], np.uint32), np.array([len(p) for p in phrases], np.uint8), np.frombuffer(b"".join(phrases), np.uint8)))
+            data.append(b"P" + _pack(np.array([held.trigger[p] for p in phrases], np.uint64), np.array([x[0] for x in places], np.int64), np.array([x[2] for x in places], np.int32), np.array([x[1] for x in places], np.uint32), np.array([len(p) for p in phrases], np.uint8), np.frombuffer(b"".join(phrases), np.uint8)))
         if held.flags:
-            doc, lo, hi = (np.array(x, np.int64) for x in zip(*held.flags))
+            doc, part, lo, hi = (np.array(x, np.int64) for x in zip(*held.flags))
             bucket = doc % n
             for b in np.unique(bucket).tolist():
                 own = bucket == b
                 buckets.append(b)
-                data.append(b"F" + _pack(doc[own], lo[own].astype(np.uint32), hi[own].astype(np.uint32)))
+                data.append(b"F" + _pack(doc[own], part[own].astype(np.int32), lo[own].astype(np.uint32), hi[own].astype(np.uint32)))
         return _rows(buckets, data)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Dictionary()
         for batch in it:
-            batch = batch.filter(pc.is_valid(batch.column(2)))
-            ids, texts = batch.column(0).to_pylist(), binary_values(batch.column(1))
-            marks = [np.frombuffer(m, np.uint32) for m in batch.column(2).to_pylist()]
+            batch = batch.filter(pc.is_valid(batch.column(3)))
+            ids, parts_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_values(batch.column(2))
+            marks = [np.frombuffer(m, np.uint32) for m in batch.column(3).to_pylist()]
             for rows, starts, data in _blocks(list(range(len(ids))), texts):
                 lo, hi, at, h = parse(data, np.diff(starts).tolist())
                 text = np.searchsorted(starts, lo, "right") - 1
@@ -324,13 +407,13 @@ def _deal_phrases(n: int):
                 where = np.minimum(np.searchsorted(place, at), len(place) - 1)
                 on = np.flatnonzero(place[where] == at)
                 for k, t, is_hot in zip(on.tolist(), text[on].tolist(), hot[where[on]].tolist()):
-                    doc, base, a, b = ids[int(rows[t])], int(starts[t]), int(lo[k]), int(hi[k])
+                    doc, part, base, a, b = ids[int(rows[t])], parts_[int(rows[t])], int(starts[t]), int(lo[k]), int(hi[k])
                     if is_hot:
                         for s in range(a, b + 1):
                             w = data[s : s + MATCH]
-                            held.add(w, (doc, s - base), xxhash.xxh64_intdigest(w))
+                            held.add(w, (doc, s - base, part), xxhash.xxh64_intdigest(w))
                     else:
-                        held.add(data[a : b + MATCH], (doc, a - base), int(h[k]))
+                        held.add(data[a : b + MATCH], (doc, a - base, part), int(h[k]))
                 if held.size > TASK_PHRASES:
                     yield flush(held)
                     held = _Dictionary()
@@ -369,7 +452,7 @@ def _batched(held: _Dictionary, phrases: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def _ranked(held: _Dictionary, shared: list[bytes]) -> np.ndarray:
-    """Windows of the phrases that repeat, (doc, start, start), by the suffix array of the phrases."""
+    """Windows of the phrases that repeat, (doc, part, start, start), by the suffix array of the phrases."""
     data = np.frombuffer(b"".join(shared), np.uint8)
     sizes = np.array([len(p) for p in shared])
     windows = sizes - MATCH + 1
@@ -377,15 +460,15 @@ def _ranked(held: _Dictionary, shared: list[bytes]) -> np.ndarray:
     inside = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     rank = window_ranks(data, (np.cumsum(sizes) - sizes)[of] + inside)
     places = np.array([held.first[p] for p in shared], np.int64)
-    doc, start = places[of, 0], places[of, 1] + inside
+    doc, start, part = places[of, 0], places[of, 1] + inside, places[of, 2]
     order = np.lexsort((start, doc, rank))  # the suffix array, places of equal windows in the parse's order
-    rank, doc, start = rank[order], doc[order], start[order]
+    rank, doc, start, part = rank[order], doc[order], start[order], part[order]
     first = _runs(rank)[:-1]
     again = np.ones(len(rank), bool)
     again[first] = False
     lead = np.repeat(first, np.diff(np.append(first, len(rank))))
     again &= (doc != doc[lead]) | (start != start[lead])  # a row that repeats a doc_id is not earlier
-    return np.stack([doc[again], start[again], start[again]], 1)
+    return np.stack([doc[again], part[again], start[again], start[again]], 1)
 
 
 def _repeats(n: int):
@@ -399,10 +482,10 @@ def _repeats(n: int):
                 if row[:1] == b"F":
                     flags.append(np.stack([x.astype(np.int64) for x in _unpack(row[1:], _FLAGS)], 1))
                     continue
-                trigger, doc, lo, length, data = _unpack(row[1:], _PHRASES)
+                trigger, doc, part, lo, length, data = _unpack(row[1:], _PHRASES)
                 text, at = data.tobytes(), 0
-                for t, d, s, k in zip(trigger.tolist(), doc.tolist(), lo.tolist(), length.tolist()):
-                    held.add(text[at : at + k], (d, s), t)
+                for t, d, p, s, k in zip(trigger.tolist(), doc.tolist(), part.tolist(), lo.tolist(), length.tolist()):
+                    held.add(text[at : at + k], (d, s, p), t)
                     at += k
             if held.flags:
                 flags.append(np.array(held.flags, np.int64))
@@ -413,11 +496,11 @@ def _repeats(n: int):
             flags += [_ranked(held, own) for own in _batched(held, shared)]
             if flags:
                 found = np.concatenate(flags)
-                found = found[np.lexsort((found[:, 1], found[:, 0]))]
-                new = np.concatenate([[True], (found[1:, 0] != found[:-1, 0]) | (found[1:, 1] > found[:-1, 2] + 1)])  # joins most; the rest meet later
+                found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+                new = np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1) | (found[1:, 2] > found[:-1, 3] + 1)])  # joins most; the rest meet later
                 head = np.flatnonzero(new)
-                last = np.maximum.reduceat(found[:, 2], head) if len(head) else head
-                yield _by_doc(found[head, 0], np.stack([found[head, 1], last], 1).astype(np.uint32), n)
+                last = np.maximum.reduceat(found[:, 3], head) if len(head) else head
+                yield _by_doc(found[head, 0], found[head, 1], np.stack([found[head, 2], last], 1).astype(np.uint32), n)
 
     return run
 
@@ -440,8 +523,8 @@ def spans_of(runs_of: bytes | None, size: int) -> list[tuple[int, int]]:
 
 def _remainders(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        texts, begin, end, rest = binary_values(batch.column(1)), [], [], []
-        for t, runs_of in zip(texts, batch.column(2).to_pylist()):
+        texts, begin, end, rest = binary_values(batch.column(2)), [], [], []
+        for t, runs_of in zip(texts, batch.column(3).to_pylist()):
             spans = spans_of(runs_of, len(t))
             begin.append([a for a, _ in spans])
             end.append([b for _, b in spans])
@@ -449,22 +532,27 @@ def _remainders(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(begin, pa.list_(pa.int64())), pa.array(end, pa.list_(pa.int64())), pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "begins", "ends", "kept"])
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("part"), utf8(text_col).alias("text"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, marks): packed runs of the window starts in each doc that also start earlier; runs may touch."""
+    """(doc_id, part, marks): packed runs of the window starts in each doc that also start earlier; runs may touch."""
     small_batches(docs.sparkSession)
     n = parts(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    found = texts.where("doc_id IS NOT NULL").mapInArrow(_deal_triggers(n), "bucket int, data binary")
-    places = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_triggers(hot, n), "bucket int, data binary")
+    texts = _texts(docs, id_col, text_col)
+    dealt = texts.where("doc_id IS NOT NULL").mapInArrow(_deal_triggers(n), "bucket int, stretch long, data binary")
+    answers = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(hot), "stretch long, data binary")
+    places = answers.repartition(n, "stretch").sortWithinPartitions("stretch").mapInArrow(_repeated_places(n), "bucket int, data binary")
     # left, like the join in without_repeats, so that both read one exchange of the texts
-    phrases = texts.join(_of_docs(places, 1, n), "doc_id", "left").mapInArrow(_deal_phrases(n), "bucket int, data binary")
+    phrases = texts.join(_of_docs(places, 1, n), ["doc_id", "part"], "left").mapInArrow(_deal_phrases(n), "bucket int, data binary")
     return _of_docs(phrases.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(n), "bucket int, data binary"), 2, n)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, begins and ends of the removed runs of bytes, kept (the bytes left)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return texts.join(repeated_spans(docs, id_col, text_col, hot), "doc_id", "left").mapInArrow(_remainders, "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary")
+    joined = _texts(docs, id_col, text_col).join(repeated_spans(docs, id_col, text_col, hot), ["doc_id", "part"], "left")
+    return joined.mapInArrow(_remainders, "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary")
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:

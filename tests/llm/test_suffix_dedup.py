@@ -93,3 +93,19 @@ def test_ranks_are_those_of_the_suffixes():
     windows = [data[s : s + S.MATCH] for s in starts]
     order = {w: i for i, w in enumerate(sorted(set(windows)))}
     assert rank.tolist() == [order[w] for w in windows]
+
+
+def test_one_id_on_different_texts(spark):
+    t, short = "".join(f"word{i} " for i in range(30)), "thirty bytes of something else"
+    rows = [(1, t), (3, "zzzz" + t), (3, short), (3, "yy" + t)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in S.removal_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(t)
+    assert got == sorted([(1, n, 0, 0), (3, n + 4, n, 1), (3, 30, 0, 0), (3, n + 2, n, 1)])
+
+
+def test_buckets_are_even_on_plain_text():
+    r = random.Random(9)
+    text = bytes(r.choices(b"abcdefgh ", k=300_000))
+    h = np.unique(S.parse(text, [len(text)])[3])
+    sizes = np.bincount(S._even(h, 50), minlength=50)
+    assert len(h) > 5000 and sizes.max() < 1.5 * sizes.mean() and sizes.min() > 0.5 * sizes.mean()
