@@ -31,9 +31,22 @@ def within_group_permutation(rows: DataFrame, group: list[str], position: str, p
     return same.unionByName(moved)
 
 
+def hashed_index(rows: DataFrame, key: str, seed: int, by: list[str] | None = None, out: str = "_index") -> DataFrame:
+    """rows with their number, from 0, in the pseudorandom order of key, of the whole or of each group.
+
+    Counts over 4096 ranges of the hash tell where a range begins, and rows are numbered inside their range: no task
+    puts a group in order. Equal keys are numbered in any order.
+    """
+    by = by or []
+    keyed = rows.withColumn("_hash", shuffle_key(seed, key)).withColumn("_range", F.substring("_hash", 1, 3))
+    counts = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    ends = F.sum("_c").over(Window.partitionBy(*by).orderBy("_range"))
+    begins = counts.select(*by, "_range", (ends - F.col("_c")).alias("_begin"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_hash", key)) - 1
+    joined = keyed.join(begins if by else F.broadcast(begins), [*by, "_range"])  # without groups, 4096 rows at most
+    return joined.withColumn(out, F.col("_begin") + inside).select(*rows.columns, out)
+
+
 def first_hashed(rows: DataFrame, key: str, n: int | Column, seed: int, by: list[str] | None = None) -> DataFrame:
     """n rows chosen without replacement by the pseudorandom order, of the whole or of each group."""
-    order = [shuffle_key(seed, key), F.col(key)]
-    if not by and isinstance(n, int):
-        return rows.orderBy(*order).limit(n)
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+    return hashed_index(rows, key, seed, by, "_rank").where(F.col("_rank") < n).drop("_rank")

@@ -89,16 +89,22 @@ def average_rank(by: list[str], value: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def with_bh(rows: DataFrame, p: str, by: list[str], key: str, out: str = "q") -> DataFrame:
-    """rows with Benjamini-Hochberg q inside groups: n p / rank, made monotone from the largest p down, at most 1."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(p, key))
-    raw = rows.withColumn("_raw", F.col(p) * F.count(F.lit(1)).over(Window.partitionBy(*by)) / rank)
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn(out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min("_raw").over(down)))).drop("_raw")
+def with_bh(rows: DataFrame, p: str, by: list[str], out: str = "q") -> DataFrame:
+    """rows with Benjamini-Hochberg q inside groups: n p / rank, made monotone from the largest p down, from 0 to 1.
+
+    Equal p have one q, that of the last of them in rank, so the windows run over a group's distinct p. A null p has a
+    null q and doesn't count.
+    """
+    counted = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_m"))
+    order = Window.partitionBy(*by).orderBy(p)
+    raw = counted.withColumn("_raw", F.col(p) * F.sum("_m").over(Window.partitionBy(*by)) / F.sum("_m").over(order))
+    down = Window.partitionBy(*by).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    q = raw.select(*by, p, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min("_raw").over(down))).alias(out))
+    return rows.join(q, [*by, p], "left")
 
 
 def mann_whitney(rows: DataFrame, value: str, in_a: Column, by: list[str]) -> DataFrame:
-    """by, n_a, n_b, u, z, p_greater, p_two_sided: normal approximation with tie and continuity corrections.
+    """by, n_a, n_b, u, z, p_greater, p_less, p_two_sided: normal approximation with tie and continuity corrections.
 
     Ranks come from counts of each distinct value, so equal values never meet as rows: the windows run over distinct
     values of a group.
@@ -114,8 +120,10 @@ def mann_whitney(rows: DataFrame, value: str, in_a: Column, by: list[str]) -> Da
     spread = F.sqrt(pairs / 12 * (n + 1 - F.col("_ties") / F.nullif(n * (n - 1.0), F.lit(0.0))))
     out = sums.withColumn("u", u).withColumn("_s", spread)
     z = F.when(F.col("_s") > 0, (F.col("u") - pairs / 2 - 0.5) / F.col("_s"))
+    below = F.when(F.col("_s") > 0, (F.col("u") - pairs / 2 + 0.5) / F.col("_s"))
     z2 = F.when(F.col("_s") > 0, (F.abs(F.col("u") - pairs / 2) - 0.5) / F.col("_s"))
-    return out.select(*by, "n_a", "n_b", "u", z.alias("z"), normal_tail(z).alias("p_greater"), F.least(F.lit(1.0), 2 * normal_tail(z2)).alias("p_two_sided"))
+    sides = [normal_tail(z).alias("p_greater"), normal_tail(-below).alias("p_less"), F.least(F.lit(1.0), 2 * normal_tail(z2)).alias("p_two_sided")]
+    return out.select(*by, "n_a", "n_b", "u", z.alias("z"), *sides)
 
 
 def wilcoxon(pairs: DataFrame, difference: str, by: list[str]) -> DataFrame:
@@ -136,8 +144,8 @@ def wilcoxon(pairs: DataFrame, difference: str, by: list[str]) -> DataFrame:
 def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 3) -> DataFrame:
     """by, n, rho: correlation of average ranks over the rows with both values; null below `least` rows."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumn("_x", average_rank(by, x)).withColumn("_y", average_rank(by, y))
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+    own = ranked(ranked(both, x, by, "_x"), y, by, "_y")
+    out = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
     return out.withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
 
 
@@ -179,3 +187,102 @@ def design_effect(rows: DataFrame, cluster: str, value: str) -> DataFrame:
     out = s.select("n", "clusters", icc.alias("icc"), (n / F.nullif(k, F.lit(0))).alias("mean_size"))
     deff = F.when(F.col("icc").isNotNull(), 1 + (F.col("mean_size") - 1) * F.greatest(F.lit(0.0), F.col("icc")))
     return out.withColumn("deff", deff).withColumn("n_eff", F.when(F.col("deff") > 0, F.col("n") / F.col("deff")).otherwise(F.col("n").cast("double")))
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, fractions: list[float], bins: int = 1024, places: DataFrame | None = None) -> DataFrame:
+    """by, frac, n, value: exact percentiles with linear interpolation; null and NaN are left out.
+
+    Counts over `bins` ranges of a group's values tell which range holds a rank; ranks are then found among the distinct
+    values of that range alone, so no task puts a group in order. places: one row with a column `_places`; if given,
+    groups have so many values, the rows being those above 0 and the rest 0.
+    """
+    keys = by or ["_all"]
+    own = rows.select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    if places is not None:
+        own = own.where("_v > 0")
+    ends = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    slot = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int"))).otherwise(0)
+    dealt = own.join(ends.select(*keys, "_lo", "_hi"), keys).withColumn("_bin", slot).select(*keys, "_bin", "_v")
+    counts = dealt.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_c"))
+    n = F.col("_n")
+    wanted = ends.select(*keys, "_n") if places is None else ends.select(*keys, "_n").join(F.broadcast(places))  # one row
+    whole = n if places is None else F.col("_places")
+    wanted = wanted.withColumn("_whole", whole).withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    at = (F.col("_whole") - 1) * F.col("frac")
+    # the fraction of a whole number of ranks is one, whatever its rounding
+    wanted = wanted.withColumn("_at", F.when(F.abs(at - F.round(at)) < 1e-9, F.round(at)).otherwise(at)).withColumn("_zeros", F.col("_whole") - n)
+    ranks = wanted.select(*keys, "frac", "_n", "_whole", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank"), "_zeros").distinct()
+    inside = ranks.withColumn("_r", F.col("_rank") - F.col("_zeros")).where("_r >= 0").join(counts, keys).where("_r >= _before AND _r < _before + _c").withColumn("_r", F.col("_r") - F.col("_before"))
+    distinct = dealt.join(inside.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    ranked = distinct.withColumn("_upto", upto)
+    found = inside.select(*keys, "_bin", "frac", "_rank", "_r").join(ranked, [*keys, "_bin"]).where("_r < _upto AND _r >= _upto - _m").select(*keys, "frac", "_rank", "_v")
+    both = ranks.join(found, [*keys, "frac", "_rank"], "left").withColumn("_v", F.coalesce("_v", F.lit(0.0)))
+    low, high = F.min(F.struct("_rank", "_v"))["_v"], F.max(F.struct("_rank", "_v"))["_v"]
+    out = both.groupBy(*keys, "frac", "_at").agg(F.max("_whole").alias("n"), low.alias("_zl"), high.alias("_zh"))
+    return out.select(*by, "frac", "n", (F.col("_zl") + (F.col("_zh") - F.col("_zl")) * (F.col("_at") - F.floor("_at"))).alias("value"))
+
+
+def compare(rows: DataFrame, value: str, in_a: Column, by: list[str], direction: str = "greater") -> DataFrame:
+    """by, n_a, n_b, median_a, median_b, u, p, d: one-sided (or two-sided) rank test with medians and the population effect size.
+
+    direction: `greater` (a lies above b), `less` or `two_sided`. p is the normal approximation with tie and continuity
+    corrections.
+    """
+    named = rows.withColumn("_in_a", in_a)
+    test = mann_whitney(named, value, F.col("_in_a"), by)
+    middle = percentiles(named.where(F.col("_in_a").isNotNull()), [*by, "_in_a"], value, [0.5]).groupBy(*by).agg(F.max(F.when(F.col("_in_a"), F.col("value"))).alias("median_a"), F.max(F.when(~F.col("_in_a"), F.col("value"))).alias("median_b"))
+    effect = named.groupBy(*by).agg(cohens_d(F.col(value), F.col("_in_a"), "population").alias("d")) if by else named.agg(cohens_d(F.col(value), F.col("_in_a"), "population").alias("d"))
+    p = {"greater": "p_greater", "less": "p_less", "two_sided": "p_two_sided"}[direction]
+    if not by:  # a row each
+        return test.crossJoin(middle).crossJoin(effect).select("n_a", "n_b", "median_a", "median_b", "u", F.col(p).alias("p"), "d")
+    return test.join(middle, by).join(effect, by).select(*by, "n_a", "n_b", "median_a", "median_b", "u", F.col(p).alias("p"), "d")
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation by Student's t; 1 where the correlation is null."""
+    return F.coalesce(student_p(correlation_t(r, n), (n - 2).cast("double")), F.lit(1.0))
+
+
+def ranked(rows: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """rows with average ranks from 1 in `out`. Ranks are found among a group's distinct values, not its rows."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*by).orderBy(value))
+    return rows.join(counted.select(*by, value, (upto - (F.col("_m") - 1) / 2).alias(out)), [*by, value], "left")
+
+
+def rank_correlations(rows: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """by, a, b, n, rho: Spearman's correlation of every two of the columns, over rows that have all of them."""
+    own = rows.dropna(subset=values).select(*by, *values)
+    for v in values:
+        own = ranked(own, v, by, f"_rank_{v}")
+    pairs = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :]]
+    wide = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"_rank_{a}", f"_rank_{b}").alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("rho")) for i, (a, b) in enumerate(pairs)])).alias("_p")
+    return wide.select(*by, "n", each).select(*by, "_p.a", "_p.b", "n", "_p.rho")
+
+
+def summarize(rows: DataFrame, by: list[str], values: list[str], population: bool = False) -> DataFrame:
+    """by, and for each value its mean, std and count, named value_mean, value_std, value_count. population: std with n, not n - 1."""
+    std = F.stddev_pop if population else F.stddev_samp
+    return rows.groupBy(*by).agg(*[f(v).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("std", std), ("count", F.count))])
+
+
+def mean_of_present(*values: Column) -> Column:
+    """Mean of those values that are there; null if none is."""
+    there = F.filter(F.array(*values), lambda x: x.isNotNull() & ~F.isnan(x))
+    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda s, x: s + x) / F.size(there))
+
+
+def mean_pm_std(mean: Column, std: Column, places: int = 3) -> Column:
+    return F.format_string(f"%.{places}f±%.{places}f", mean, F.coalesce(std, F.lit(0.0)))
+
+
+def significant(p: Column, d: Column, level: float = 0.05) -> Column:
+    return (p < level) & (d > 0)
+
+
+def verdict(low: Column, high: Column) -> Column:
+    """What an interval says: positive, negative, or inconclusive where it holds 0."""
+    return F.when(low > 0, "positive").when(high < 0, "negative").otherwise("inconclusive")

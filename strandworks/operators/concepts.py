@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.operators.graphs import islands
+
 THRESHOLDS = (0.0, 0.15, 0.5, 0.6, 0.8)
 
 
@@ -18,6 +20,21 @@ def hierarchy_concepts(places: DataFrame, path: DataFrame, depth: int) -> DataFr
     return places.join(levels, "uid").select("concept", "uid", "position", F.concat_ws("/", F.lit("chain"), "uid").alias("domain"))
 
 
+def segment_concepts(marks: DataFrame, concept: str = "concept") -> DataFrame:
+    """(concept, uid, position, domain): marked places, each unbroken stretch of a concept in a chain being a domain.
+
+    marks: (concept, uid, position), a place once for each concept it has.
+    """
+    found = islands(marks.select("uid", "position", F.col(concept).alias("concept")), ["uid"], "position", "concept")
+    return found.select("concept", "uid", "position", F.concat_ws("/", F.lit("run"), "uid", "run").alias("domain"))
+
+
+def frequent(concepts: DataFrame, least: int = 10) -> DataFrame:
+    """concepts of those concepts only that have `least` domains or more."""
+    kept = concepts.groupBy("concept").agg(F.count_distinct("domain").alias("_d")).where(F.col("_d") >= least).select("concept")
+    return concepts.join(kept, "concept", "left_semi")
+
+
 def scaled(acts: DataFrame) -> DataFrame:
     """acts with z over its feature's maximum; a maximum of 0 or less counts as 1."""
     top = acts.groupBy("feature").agg(F.max("z").alias("_m")).withColumn("_m", F.when(F.col("_m") <= 0, 1.0).otherwise(F.col("_m")))
@@ -63,3 +80,27 @@ def tested(selected: DataFrame, test_scores: DataFrame) -> DataFrame:
     other = test_scores.select("concept", "feature", "threshold", F.col("f1").alias("test_f1"), F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"))
     out = selected.withColumnsRenamed({"f1": "val_f1", "precision": "val_precision", "recall": "val_recall"}).join(other, ["concept", "feature", "threshold"], "left")
     return out.fillna(0.0, ["test_f1", "test_precision", "test_recall"])
+
+
+def select_and_test(acts: DataFrame, concepts: DataFrame, validation: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, least: int = 1) -> DataFrame:
+    """(concept, feature, threshold, val_..., test_...): each concept's best feature and threshold on the validation chains,
+    with precision, recall and f1 on the others.
+
+    acts: scaled over all chains; validation: (uid); concepts with fewer than `least` domains are left out, and those
+    that the validation chains or the others don't have.
+    """
+    own = frequent(concepts, least) if least > 1 else concepts
+
+    def part(df: DataFrame, how: str) -> DataFrame:
+        return df.join(validation.select("uid").distinct(), "uid", how)
+
+    test = part(own, "left_anti")
+    chosen = best_feature(scores(part(acts, "left_semi"), part(own, "left_semi"), thresholds))
+    chosen = chosen.join(test.select("concept").distinct(), "concept", "left_semi")
+    return tested(chosen, scores(part(acts, "left_anti"), test, thresholds))
+
+
+def aligned(tested_: DataFrame, least: float = 0.5) -> DataFrame:
+    """One row: rows, aligned: how many have an f1 above the bound on both splits."""
+    both = (F.col("val_f1") > least) & (F.col("test_f1") > least)
+    return tested_.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(both.cast("int")), F.lit(0)).alias("aligned"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandworks.functions.ordering import shuffle_key
+from strandworks.functions.ordering import hash_number, hashed_index, shuffle_key
 
 
 def band_edges(residues: DataFrame, width: int) -> DataFrame:
@@ -75,6 +75,33 @@ def degree_matched_null(residues: DataFrame, edges: DataFrame, seed: int) -> Dat
     return pairs.withColumn("_r", rank).where("_r <= degree").select("uid", "src", "dst")
 
 
+def global_null(residues: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
+    """(uid, src, other, dst): for every edge a partner from the places of all chains, drawn with replacement."""
+    n = residues.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    numbered = hashed_index(residues.select(F.struct("uid", "position").alias("place"), F.concat_ws(":", "uid", "position").alias("_k")), "_k", seed)
+    drawn = edges.join(F.broadcast(n)).select("uid", "src", (hash_number(seed + 1, "uid", "src", "dst") % F.col("_n")).alias("_index"))
+    return drawn.join(numbered, "_index").select("uid", "src", F.col("place.uid").alias("other"), F.col("place.position").alias("dst"))
+
+
+def matched_controls(residues: DataFrame, contacts: DataFrame, seed: int) -> DataFrame:
+    """(uid, src, dst, c_src, c_dst) for contacts with src < dst: a pair of the chain with the same separation and out of
+    contact, drawn with replacement; null where there is none."""
+    true = contacts.where("src < dst").select("uid", "src", "dst", (F.col("dst") - F.col("src")).alias("sep")).distinct()
+    places = residues.select("uid", "position")
+    wanted = true.select("uid", "sep").distinct().join(places, "uid").select("uid", "sep", F.col("position").alias("c_src"), (F.col("position") + F.col("sep")).alias("c_dst"))
+    there = wanted.join(places.withColumnRenamed("position", "c_dst"), ["uid", "c_dst"], "left_semi")
+    free = there.join(true.select("uid", F.col("src").alias("c_src"), F.col("dst").alias("c_dst")), ["uid", "c_src", "c_dst"], "left_anti")
+    numbered = free.withColumn("_i", F.row_number().over(Window.partitionBy("uid", "sep").orderBy("c_src")) - 1)
+    sizes = free.groupBy("uid", "sep").agg(F.count(F.lit(1)).alias("_m"))
+    picked = true.join(sizes, ["uid", "sep"], "left").withColumn("_i", hash_number(seed, "uid", "src", "dst") % F.col("_m"))
+    return picked.join(numbered, ["uid", "sep", "_i"], "left").select("uid", "src", "dst", "c_src", "c_dst")
+
+
+def best_chain(scores: DataFrame, by: list[str], chain: str, score: str, ordinal: str) -> DataFrame:
+    """(by, chain): the chain of each group with the best score, the first of equal ones."""
+    return scores.groupBy(*by).agg(F.max_by(chain, F.struct(F.col(score), -F.col(ordinal))).alias(chain))
+
+
 def islands(rows: DataFrame, group: list[str], position: str, mark: str) -> DataFrame:
     """rows with `run`: the first place of the stretch of places in a row that share group and mark."""
     order = F.row_number().over(Window.partitionBy(*group, mark).orderBy(position))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.functions.stats import correlation_p, spearman
+
 
 def sign_crossings(rows: DataFrame, by: list[str], layer: str, value: str) -> DataFrame:
     """(by, low, high, crossing): the first two layers in a row between which the value changes sign, and where it is 0.
@@ -17,3 +19,59 @@ def sign_crossings(rows: DataFrame, by: list[str], layer: str, value: str) -> Da
     changed = pairs.where(~F.isnan("_a") & ~F.isnan("_b") & (((a > 0) & (b < 0)) | ((a < 0) & (b > 0))))
     first = changed.groupBy(*by).agg(F.min(F.struct("low", "high", (low + a / (a - b) * (high - low)).alias("crossing"))).alias("_c"))
     return first.select(*by, "_c.low", "_c.high", "_c.crossing")
+
+
+def relative_depth(layer: str, blocks: str) -> Column:
+    """A layer's place from 0 to 1 among a model's blocks."""
+    return F.col(layer) / F.greatest(F.col(blocks) - 1, F.lit(1))
+
+
+def matched_depths(layers: DataFrame, a: str, b: str) -> DataFrame:
+    """(layer_a, layer_b, depth_a, depth_b): each layer of model a with the nearest one of model b by relative depth.
+
+    layers: (model, layer, blocks); ties to the lower layer. There are few layers, so the pairs are few.
+    """
+    own = layers.select("model", "layer", relative_depth("layer", "blocks").alias("depth"))
+    x = own.where(F.col("model") == a).select(F.col("layer").alias("layer_a"), F.col("depth").alias("depth_a"))
+    y = own.where(F.col("model") == b).select(F.col("layer").alias("layer_b"), F.col("depth").alias("depth_b"))
+    near = F.min_by(F.struct("layer_b", "depth_b"), F.struct(F.round(F.abs(F.col("depth_a") - F.col("depth_b")), 9), F.col("layer_b")))
+    return x.crossJoin(F.broadcast(y)).groupBy("layer_a", "depth_a").agg(near.alias("_n")).select("layer_a", "_n.layer_b", "depth_a", "_n.depth_b")
+
+
+def largest_change(rows: DataFrame, by: list[str], layer: str, value: str) -> DataFrame:
+    """(by, low, high, change): the two layers in a row between which the value changes most, the first of equal ones."""
+    w = Window.partitionBy(*by).orderBy(layer)
+    pairs = rows.select(*by, F.col(layer).alias("low"), F.lead(layer).over(w).alias("high"), (F.lead(value).over(w) - F.col(value)).alias("change")).where("change IS NOT NULL AND NOT isnan(change)")
+    most = F.max_by(F.struct("low", "high", "change"), F.struct(F.abs("change"), -F.col("low")))
+    return pairs.groupBy(*by).agg(most.alias("_m")).select(*by, "_m.low", "_m.high", "_m.change")
+
+
+def near_neighbours(rows: DataFrame, by: list[str], layer: str, value: str, within: float) -> DataFrame:
+    """(by, layer, value, smooth): whether a layer's value is within a bound of both the layer before and the one after.
+
+    The first and the last layer have no row.
+    """
+    w = Window.partitionBy(*by).orderBy(layer)
+    beside = rows.select(*by, layer, value, F.lag(value).over(w).alias("_a"), F.lead(value).over(w).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    return beside.select(*by, layer, value, ((F.abs(F.col(value) - F.col("_a")) <= within) & (F.abs(F.col(value) - F.col("_b")) <= within)).alias("smooth"))
+
+
+def depth_trends(values: DataFrame, model: str, layer: str, value: str, layers: int = 3, pairs: int = 10, level: float = 0.05) -> DataFrame:
+    """(model, n_layers, macro_rho, n_pairs, feature_rho, feature_p, significant): does the value rise with depth?
+
+    macro: over the layers' means; feature: over every feature's value against its layer. Null rho below `layers` layers
+    or `pairs` pairs. values: a row for each feature and layer.
+    """
+    means = values.groupBy(model, layer).agg(F.avg(value).alias("_mean"))
+    macro = spearman(means, layer, "_mean", [model], layers).select(model, F.col("n").alias("n_layers"), F.col("rho").alias("macro_rho"))
+    each = spearman(values, layer, value, [model], pairs).select(model, F.col("n").alias("n_pairs"), F.col("rho").alias("feature_rho"))
+    out = macro.join(each, model).where(F.col("n_layers") >= layers).withColumn("feature_p", F.when(F.col("feature_rho").isNotNull(), correlation_p(F.col("feature_rho"), F.col("n_pairs"))))
+    return out.withColumn("significant", F.coalesce((F.col("feature_p") < level) & (F.col("feature_rho") > 0), F.lit(False)))
+
+
+def shape(rows: DataFrame, by: list[str], layer: str, value: str, turn: float) -> DataFrame:
+    """(by, r, peak, trough, early, late): correlation with depth, layers of the largest and least value, means up to and after `turn`."""
+    early = F.col(layer) <= turn
+    return rows.groupBy(*by).agg(
+        F.corr(F.col(layer).cast("double"), value).alias("r"), F.max_by(layer, value).alias("peak"), F.min_by(layer, value).alias("trough"), F.avg(F.when(early, F.col(value))).alias("early"), F.avg(F.when(~early, F.col(value))).alias("late")
+    )

@@ -14,52 +14,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.functions.stats import percentiles, spearman
+from strandworks.operators.graphs import matched_controls
+from strandworks.operators.vectors import dot, norm
+
 
 def feature_stats(acts: DataFrame, places: DataFrame, fractions: list[float]) -> DataFrame:
     """(feature, frac, n, mean, std, threshold): per feature over all places, zeros included.
 
-    threshold: the exact percentile 1 - frac with linear interpolation. Only the ranks beside it are kept, by a window
-    that can spill, so no feature's values are held in memory.
+    threshold: the exact percentile 1 - frac with linear interpolation.
     """
     total = places.agg(F.count(F.lit(1)).alias("_places"))
-    own = acts.where("z > 0")
-    sums = own.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("_s1"), F.sum(F.col("z") * F.col("z")).alias("_s2"))
-    sums = sums.join(F.broadcast(total))  # one row
-    sums = sums.withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-    at = (F.col("_places") - 1) * (1 - F.col("frac"))
-    sums = sums.withColumn("_at", F.when(F.abs(at - F.round(at)) < 1e-9, F.round(at)).otherwise(at)).withColumn("_zeros", F.col("_places") - F.col("n"))
-    low, high = F.floor("_at"), F.ceil("_at")
-    ranked = own.select("feature", "z", F.row_number().over(Window.partitionBy("feature").orderBy("z")).alias("_r"))
-    both = sums.withColumn("_l", low).withColumn("_h", high)
-    picked = ranked.join(both, "feature").where("_r - 1 + _zeros = _l OR _r - 1 + _zeros = _h")
-    ends = picked.groupBy("feature", "frac").agg(
-        F.max(F.when(F.col("_r") - 1 + F.col("_zeros") == F.col("_l"), F.col("z"))).alias("_zl"), F.max(F.when(F.col("_r") - 1 + F.col("_zeros") == F.col("_h"), F.col("z"))).alias("_zh")
-    )
-    out = both.join(ends, ["feature", "frac"], "left")
-    zl, zh = F.coalesce("_zl", F.lit(0.0)), F.coalesce("_zh", F.lit(0.0))
+    cuts = percentiles(acts, ["feature"], "z", [1 - f for f in fractions], places=total)
+    cuts = cuts.select("feature", F.round(1 - F.col("frac"), 12).alias("frac"), F.col("value").alias("threshold"))
+    return spread_stats(acts, places).join(cuts, "feature").select("feature", "frac", "n", "mean", "std", "threshold")
+
+
+def spread_stats(acts: DataFrame, places: DataFrame) -> DataFrame:
+    """(feature, n, mean, std): active places, mean and population deviation over all places."""
+    total = places.agg(F.count(F.lit(1)).alias("_places"))
+    sums = acts.where("z > 0").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("_s1"), F.sum(F.col("z") * F.col("z")).alias("_s2")).join(F.broadcast(total))  # one row
     mean = F.col("_s1") / F.col("_places")
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("_s2") / F.col("_places") - mean * mean))
-    return out.select("feature", "frac", "n", mean.alias("mean"), std.alias("std"), (zl + (zh - zl) * (F.col("_at") - F.col("_l"))).alias("threshold"))
+    return sums.select("feature", "n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("_s2") / F.col("_places") - mean * mean)).alias("std"))
+
+
+def fixed_stats(acts: DataFrame, places: DataFrame, factors: list[float]) -> DataFrame:
+    """As feature_stats, with thresholds that are factors of the median of all activations above 0; frac is the factor."""
+    middle = percentiles(acts.where("z > 0"), [], "z", [0.5]).select(F.col("value").alias("_s"))  # one row
+    steps = F.explode(F.array(*[F.lit(float(f)) for f in factors])).alias("frac")
+    return spread_stats(acts, places).join(F.broadcast(middle)).select("*", steps).select("feature", "frac", "n", "mean", "std", (F.col("frac") * F.col("_s")).alias("threshold"))
 
 
 def locality(acts: DataFrame, places: DataFrame, edges: DataFrame, stats: DataFrame, min_active: int = 5) -> DataFrame:
     """(perm, kind, feature, frac, n_active, d).
 
-    acts: (perm, uid, position, feature, z > 0); edges: (kind, uid, src, dst, w) with w = 1 / degree; stats as above,
-    fixed over permutations. Every join is on a chain's places, dealt by their keys.
+    acts: (perm, uid, position, feature, z > 0); edges: (kind, uid, src, dst, w) with w = 1 / degree, and `other`, the
+    chain of dst, where edges leave their chain; stats as above, fixed over permutations. Every join is on a chain's
+    places, dealt by their keys.
     """
     total = places.agg(F.count(F.lit(1)).alias("_places"))
-    pull = edges.groupBy("kind", "uid", F.col("dst").alias("position")).agg(F.sum("w").alias("_c"))
+    edges = edges if "other" in edges.columns else edges.withColumn("other", F.col("uid"))
+    pull = edges.groupBy("kind", F.col("other").alias("uid"), F.col("dst").alias("position")).agg(F.sum("w").alias("_c"))
     everywhere = acts.join(pull, ["uid", "position"]).groupBy("perm", "kind", "feature").agg(F.sum(F.col("z") * F.col("_c")).alias("_all"))
-    active = acts.join(stats.select("feature", "frac", "threshold"), "feature").where("z > threshold")
-    n_active = active.groupBy("perm", "feature", "frac").agg(F.count(F.lit(1)).alias("n_active"))
-    pushed = active.select("perm", "uid", F.col("position").alias("src"), "feature", "frac").join(edges, ["uid", "src"])
-    beside = acts.select("perm", "uid", F.col("position").alias("dst"), "feature", "z")
-    near = pushed.join(beside, ["perm", "uid", "dst", "feature"]).groupBy("perm", "kind", "feature", "frac").agg(F.sum(F.col("z") * F.col("w")).alias("_near"))
+    judged = acts.join(stats.select("feature", "frac", "threshold", "std"), "feature")
+    # no place is left out here, so that features which are nowhere active keep their row
+    n_active = judged.groupBy("perm", "feature", "frac").agg(F.count(F.when(F.col("z") > F.col("threshold"), 1)).alias("n_active"), F.max("std").alias("std"))
+    pushed = judged.where("z > threshold").select("perm", "uid", F.col("position").alias("src"), "feature", "frac").join(edges, ["uid", "src"])
+    beside = acts.select("perm", F.col("uid").alias("other"), F.col("position").alias("dst"), "feature", "z")
+    near = pushed.join(beside, ["perm", "other", "dst", "feature"]).groupBy("perm", "kind", "feature", "frac").agg(F.sum(F.col("z") * F.col("w")).alias("_near"))
     kinds = edges.select("kind").distinct()
-    perms = acts.select("perm").distinct()
-    grid = stats.select("feature", "frac", "std").join(F.broadcast(kinds)).join(F.broadcast(perms))  # one row a graph or permutation
-    out = grid.join(everywhere, ["perm", "kind", "feature"], "left").join(near, ["perm", "kind", "feature", "frac"], "left").join(n_active, ["perm", "feature", "frac"], "left").join(F.broadcast(total))
+    grid = n_active.join(F.broadcast(kinds))  # one row a graph
+    out = grid.join(everywhere, ["perm", "kind", "feature"], "left").join(near, ["perm", "kind", "feature", "frac"], "left").join(F.broadcast(total))
     n = F.coalesce("n_active", F.lit(0))
     d = (F.coalesce("_near", F.lit(0.0)) / F.greatest(n, F.lit(1)) - F.coalesce("_all", F.lit(0.0)) / F.col("_places")) / (F.col("std") + 1e-6)
     return out.select("perm", "kind", "feature", "frac", n.alias("n_active"), F.when(n < min_active, 0.0).otherwise(d).alias("d"))
@@ -77,15 +82,68 @@ def deltas(scores: DataFrame) -> DataFrame:
     return out.withColumn("delta", F.col("observed") - F.coalesce("shuffled", F.lit(0.0)))
 
 
+def score_table(scores: DataFrame, kinds: tuple[str, ...] = ("struct", "seq")) -> DataFrame:
+    """A row for each feature: observed, shuffled mean and delta of each kind of graph, in columns named by kind."""
+    own = deltas(scores)
+    cells = [F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in kinds for c in ("observed", "shuffled", "delta")]
+    return own.groupBy("feature").agg(*cells)
+
+
+def setting_stability(values: DataFrame, setting: str, key: str, value: str) -> DataFrame:
+    """(low, high, n, rho): rank correlation of the keys' values between each setting and the next one."""
+    steps = values.select(setting).distinct().select(F.col(setting).alias("low"), F.lead(setting).over(Window.orderBy(setting)).alias("high")).where("high IS NOT NULL")  # a row for each setting
+    a = values.join(F.broadcast(steps), F.col(setting) == F.col("low")).select("low", "high", key, F.col(value).alias("_a"))
+    both = a.join(values.select(F.col(setting).alias("high"), key, F.col(value).alias("_b")), ["high", key])
+    return spearman(both, "_a", "_b", ["low", "high"])
+
+
+def deviation(values: DataFrame, by: list[str], base: str, others: list[str], floor: float = 0.01) -> DataFrame:
+    """by and max_dev_pct: how far the others lie at most from the base, in per cent of its size, which is `floor` at least."""
+    far = F.greatest(*[F.abs(F.col(o) - F.col(base)) for o in others]) if len(others) > 1 else F.abs(F.col(others[0]) - F.col(base))
+    return values.select(*by, base, *others, (100 * far / F.greatest(F.abs(base), F.lit(floor))).alias("max_dev_pct"))
+
+
+def null_summary(deltas_: DataFrame, by: str, value: str, base: str) -> DataFrame:
+    """(by, n, mean, median, frac_pos, p95, ratio): deltas under each graph; ratio: their mean over that of the graph `base`."""
+    ends = percentiles(deltas_, [by], value, [0.5, 0.95]).groupBy(by).agg(*[F.max(F.when(F.col("frac") == f, F.col("value"))).alias(n) for f, n in ((0.5, "median"), (0.95, "p95"))])
+    sums = deltas_.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.avg((F.col(value) > 0).cast("double")).alias("frac_pos"))
+    whole = deltas_.where(F.col(by) == base).agg(F.avg(value).alias("_base"))  # one row
+    return sums.join(ends, by).join(F.broadcast(whole)).select(by, "n", "mean", "median", "frac_pos", "p95", (F.col("mean") / F.nullif("_base", F.lit(0.0))).alias("ratio"))
+
+
 def dense_scores(values: DataFrame, edges: DataFrame, frac: float) -> DataFrame:
     """(feature, d) where values may be negative and so no zero is left out: values (uid, position, feature, z)."""
-    stat = values.groupBy("feature").agg(F.stddev_pop("z").alias("std"), F.percentile("z", F.lit(1 - frac)).alias("threshold"), F.count(F.lit(1)).alias("_n"))
+    cuts = percentiles(values, ["feature"], "z", [1 - frac]).select("feature", F.col("value").alias("threshold"))
+    stat = values.groupBy("feature").agg(F.stddev_pop("z").alias("std")).join(cuts, "feature")
     near = edges.join(values.select("uid", F.col("position").alias("dst"), "feature", "z"), ["uid", "dst"]).groupBy("uid", F.col("src").alias("position"), "feature").agg(F.avg("z").alias("s"))
     own = values.join(near, ["uid", "position", "feature"], "left").join(stat, "feature").withColumn("s", F.coalesce("s", F.lit(0.0)))
     on = F.col("z") > F.col("threshold")
     return own.groupBy("feature").agg(F.coalesce((F.avg(F.when(on, F.col("s"))) - F.avg("s")) / (F.max("std") + 1e-6), F.lit(0.0)).alias("d"))
 
 
+def chain_cosine(vectors: DataFrame, contacts: DataFrame, seed: int, least: int = 5) -> DataFrame:
+    """(uid, contact, control, locality): mean cosine of a chain's contacts less that of as many pairs out of contact.
+
+    vectors: (uid, position, vec); each contact is matched by a pair of the same separation. Chains shorter than `least`,
+    without contacts or without controls have no row.
+    """
+    unit = vectors.select("uid", "position", "vec", norm("vec").alias("n"))
+    pairs = matched_controls(vectors, contacts, seed)
+    both = pairs.select("uid", "src", "dst", F.lit(1).alias("true")).unionByName(pairs.where("c_src IS NOT NULL").select("uid", F.col("c_src").alias("src"), F.col("c_dst").alias("dst"), F.lit(0).alias("true")))
+    a = unit.select("uid", F.col("position").alias("src"), F.col("vec").alias("va"), F.col("n").alias("na"))
+    b = unit.select("uid", F.col("position").alias("dst"), F.col("vec").alias("vb"), F.col("n").alias("nb"))
+    cosine = both.join(a, ["uid", "src"]).join(b, ["uid", "dst"]).select("uid", "true", (dot("va", "vb") / ((F.col("na") + 1e-12) * (F.col("nb") + 1e-12))).alias("s"))
+    means = cosine.groupBy("uid").agg(F.avg(F.when(F.col("true") == 1, F.col("s"))).alias("contact"), F.avg(F.when(F.col("true") == 0, F.col("s"))).alias("control"))
+    long = vectors.groupBy("uid").agg(F.count(F.lit(1)).alias("_l")).where(F.col("_l") >= least).select("uid")
+    return means.where("contact IS NOT NULL AND control IS NOT NULL").join(long, "uid", "left_semi").withColumn("locality", F.col("contact") - F.col("control"))
+
+
+def group_ratios(values: DataFrame, group: str) -> DataFrame:
+    """(group, feature, enrichment): mean of a feature over a group's rows, over its mean over all rows + 1e-6."""
+    inside, whole = values.groupBy(group, "feature").agg(F.avg("z").alias("_m")), values.groupBy("feature").agg(F.avg("z").alias("_w"))
+    return inside.join(whole, "feature").select(group, "feature", (F.col("_m") / (F.col("_w") + 1e-6)).alias("enrichment"))
+
+
 def enrichment(acts: DataFrame, places: DataFrame, groups: DataFrame, least: int = 50, above: float = 5.0, top: int = 50) -> DataFrame:
     """(fold, feature, enrichment): mean in a group over the global mean + 1e-6, where above the bound.
 

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandworks.functions.ordering import hash_number, shuffle_key
+from strandworks.functions.ordering import hash_number, hashed_index, shuffle_key
+from strandworks.functions.stats import cohens_d, percentiles, ranked
 
 
 def validation_split(units: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """units with `is_val`: max(1, round(n * share)) of them by the pseudorandom order.
-
-    The order's first n are found by a limit, so no task puts all units in order.
-    """
-    n = units.count()
-    chosen = units.select(key).orderBy(shuffle_key(seed, key), key).limit(max(1, int(n * share + 0.5)) if n else 0).withColumn("is_val", F.lit(True))
-    return units.join(chosen, key, "left").withColumn("is_val", F.coalesce("is_val", F.lit(False)))
+    """units with `is_val`: the first max(1, round(n * share)) of them in the pseudorandom order."""
+    n = units.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    first = F.col("_index") < F.greatest(F.lit(1), F.floor(F.col("_n") * share + 0.5))
+    return hashed_index(units, key, seed).join(F.broadcast(n)).withColumn("is_val", first).drop("_index", "_n")
 
 
 def grouped_split(units: DataFrame, key: str, group: str, share: float, seed: int, rounded: bool = True) -> DataFrame:
@@ -53,8 +51,8 @@ def cluster_weights(units: DataFrame, key: str, cluster: str, resamples: int, se
     """
     clusters = units.groupBy(cluster).agg(F.count(F.lit(1)).alias("m"))
     k = clusters.count()
-    numbered = clusters.withColumn("_c", F.row_number().over(Window.orderBy(cluster)) - 1)
-    draws = units.sparkSession.range(1, resamples + 1).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(0, k - 1)))).alias("slot")).where(F.lit(k > 0))
+    numbered = hashed_index(clusters, cluster, seed, out="_c")
+    draws = units.sparkSession.range(resamples * k).select((F.floor(F.col("id") / max(1, k)) + 1).cast("int").alias("b"), (F.col("id") % max(1, k)).alias("slot"))
     drawn = draws.withColumn("_c", hash_number(seed, "b", "slot") % max(1, k)).join(numbered, "_c")
     if not two_stage:
         times = drawn.groupBy("b", cluster).agg(F.count(F.lit(1)).alias("w"))
@@ -85,19 +83,96 @@ def contributions(acts: DataFrame, edges: DataFrame, stats: DataFrame, places: D
 def weighted_scores(contrib: DataFrame, weights: DataFrame, stats: DataFrame, sizes: DataFrame) -> DataFrame:
     """(b, perm, kind, feature, d): scores of all resamples in one grouped plan.
 
-    weights: (b, uid, w); sizes: (uid, length). Denominators are at least 1; without active places d is 0.
+    weights: (b, uid, w); sizes: (uid, length). Denominators are at least 1; without active places their mean is 0.
     """
     n = weights.join(sizes, "uid").groupBy("b").agg(F.sum(F.col("w") * F.col("length")).alias("_n"))
     sums = contrib.join(weights, "uid").groupBy("b", "perm", "kind", "feature").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("active_sum", "active_n", "all_sum")])
     out = sums.join(F.broadcast(n), "b").join(stats.select("feature", "std"), "feature")  # one row a resample
     d = (F.col("active_sum") / F.greatest("active_n", F.lit(1)) - F.col("all_sum") / F.greatest("_n", F.lit(1))) / (F.col("std") + 1e-6)
-    return out.select("b", "perm", "kind", "feature", F.when(F.col("active_n") > 0, d).otherwise(0.0).alias("d"))
+    return out.select("b", "perm", "kind", "feature", d.alias("d"))
+
+
+def unit_weights(units: DataFrame, key: str, resamples: int, seed: int) -> DataFrame:
+    """(b, key, w) for w > 0: units drawn one by one with replacement, as many as there are."""
+    own = units.select(key, F.col(key).alias("_unit"))
+    return cluster_weights(own, key, "_unit", resamples, seed)
+
+
+def least_active(contrib: DataFrame, least: int) -> DataFrame:
+    """contrib with the active sums of the observed rows (perm 0) set to 0 where a chain has fewer than `least` active places.
+
+    Shuffled rows stay as they are: they are what is subtracted.
+    """
+    few = (F.col("perm") == 0) & (F.col("active_n") < least)
+    return contrib.withColumn("active_sum", F.when(few, 0.0).otherwise(F.col("active_sum"))).withColumn("active_n", F.when(few, F.lit(0)).otherwise(F.col("active_n")))
+
+
+def weighted_deltas(contrib: DataFrame, weights: DataFrame, stats: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(b, kind, feature, delta): observed score less the mean over permutations, of all resamples in one grouped plan.
+
+    A feature that none of the drawn chains adds to has delta 0. All permutations count, those without a row as 0.
+    """
+    perms = F.count_distinct(F.when(F.col("perm") > 0, F.col("perm")))
+    many = contrib.agg(F.greatest(perms, F.lit(1)).alias("_perms"))  # one row
+    scores = weighted_scores(contrib, weights, stats, sizes)
+    observed, shuffled = F.sum(F.when(F.col("perm") == 0, F.col("d"))), F.sum(F.when(F.col("perm") > 0, F.col("d")))
+    found = scores.groupBy("b", "kind", "feature").agg(F.coalesce(observed, F.lit(0.0)).alias("_o"), F.coalesce(shuffled, F.lit(0.0)).alias("_s"))
+    cells = weights.select("b").distinct().join(F.broadcast(contrib.select("kind").distinct())).crossJoin(stats.select("feature").distinct())  # a result row each
+    out = cells.join(found, ["b", "kind", "feature"], "left").join(F.broadcast(many))
+    return out.select("b", "kind", "feature", F.coalesce(F.col("_o") - F.col("_s") / F.col("_perms"), F.lit(0.0)).alias("delta"))
+
+
+def group_effects(values: DataFrame, value: str, in_a: Column, by: list[str]) -> DataFrame:
+    """(by, d): effect size between two groups of features in each resample."""
+    return values.groupBy(*by).agg(cohens_d(F.col(value), in_a).alias("d"))
+
+
+def weighted_means(values: DataFrame, key: str, value: str, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(b, by, mean): mean of the drawn units' values in each resample; units without a value don't count."""
+    own = values.where(F.col(value).isNotNull() & ~F.isnan(value)).join(weights, key)
+    return own.groupBy("b", *(by or [])).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+
+
+def paired_differences(values: DataFrame, key: str, kind: str, value: str, a: str, b: str, weights: DataFrame) -> DataFrame:
+    """(b, mean_a, mean_b, difference) of each resample, over units that have both kinds: the same draws for both."""
+    wide = values.groupBy(key).agg(*[F.avg(F.when(F.col(kind) == k, F.col(value))).alias(n) for k, n in ((a, "_x"), (b, "_y"))]).where("_x IS NOT NULL AND _y IS NOT NULL")
+    means = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(n) for c, n in (("_x", "mean_a"), ("_y", "mean_b"))]
+    return wide.join(weights, key).groupBy("b").agg(*means).withColumn("difference", F.col("mean_a") - F.col("mean_b"))
+
+
+def correlation_trace(values: DataFrame, key: str, layer: str, value: str, against: DataFrame, weights: DataFrame) -> DataFrame:
+    """(b, rho): in each resample the rank correlation over layers of the drawn units' means with `against` (layer, score).
+
+    Draws are shared by the layers.
+    """
+    means = weighted_means(values, key, value, weights, [layer]).join(against, layer)
+    both = ranked(ranked(means, "mean", ["b"], "_x"), "score", ["b"], "_y")
+    return both.groupBy("b").agg(F.corr("_x", "_y").alias("rho"))
 
 
 def intervals(trace: DataFrame, by: list[str], value: str, point: Column) -> DataFrame:
-    """by, point, boot_mean, boot_sd, normal and percentile 95 % bounds, share above 0, of resampled values."""
-    out = trace.groupBy(*by).agg(
-        point.alias("point"), F.avg(value).alias("boot_mean"), F.stddev_samp(value).alias("boot_sd"), F.percentile(value, F.lit(0.025)).alias("pct_lo"), F.percentile(value, F.lit(0.975)).alias("pct_hi"),
-        F.avg((F.col(value) > 0).cast("double")).alias("frac_pos"),
-    )
+    """by, point, boot_mean, boot_sd, normal and percentile 95 % bounds, share above 0 and share not above 0, of resampled values."""
+    sums = trace.groupBy(*by).agg(
+        point.alias("point"), F.avg(value).alias("boot_mean"), F.stddev_samp(value).alias("boot_sd"), F.avg((F.col(value) > 0).cast("double")).alias("frac_pos"), F.avg((F.col(value) <= 0).cast("double")).alias("p_le_0")
+    )
+    ends = percentiles(trace, by, value, [0.025, 0.975])
+    at = [F.max(F.when(F.col("frac") == f, F.col("value"))).alias(n) for f, n in ((0.025, "pct_lo"), (0.975, "pct_hi"))]
+    ends = ends.groupBy(*by).agg(*at)
+    out = sums.join(ends, by) if by else sums.crossJoin(ends)  # without groups, a row each
     return out.withColumn("normal_lo", F.col("point") - 1.96 * F.col("boot_sd")).withColumn("normal_hi", F.col("point") + 1.96 * F.col("boot_sd"))
+
+
+def cluster_keys(units: DataFrame, key: str, paths: DataFrame, depth: int) -> DataFrame:
+    """(key, cluster): the first `depth` dotted parts of a unit's path; a unit without one is a cluster of its own.
+
+    paths: (key, path).
+    """
+    known = paths.select(key, F.concat_ws(".", F.slice(F.split("path", r"\."), 1, depth)).alias("cluster"))
+    return units.select(key).join(known, key, "left").withColumn("cluster", F.coalesce("cluster", F.concat(F.lit("__singleton__"), F.col(key).cast("string"))))
+
+
+def cluster_stats(units: DataFrame, cluster: str) -> DataFrame:
+    """One row: clusters, units, and least, most, mean and middle of the clusters' sizes."""
+    sizes = units.groupBy(cluster).agg(F.count(F.lit(1)).alias("m"))
+    middle = percentiles(sizes, [], "m", [0.5]).select(F.col("value").alias("middle"))
+    return sizes.agg(F.count(F.lit(1)).alias("clusters"), F.sum("m").alias("units"), F.min("m").alias("least"), F.max("m").alias("most"), F.avg("m").alias("mean")).crossJoin(middle)  # a row each

@@ -22,8 +22,12 @@ def first_per_key(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, group: str, ordinal: str, n: int) -> DataFrame:
-    """n rows, taking the first of every group in name order, then the second, and so on."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(ordinal))).orderBy("turn", group).limit(n)
+    """n rows, taking the first of every group in name order, then the second, and so on.
+
+    No row after a group's nth can be among them, so groups are cut to n rows before they are put in order.
+    """
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(ordinal))
+    return rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", group).limit(n)
 
 
 def first_failing(checks: list[tuple[str, Column]]) -> Column:

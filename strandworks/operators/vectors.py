@@ -31,19 +31,22 @@ def norm_scale(rows: DataFrame, vec: str, train: Column) -> DataFrame:
 def best_match(left: DataFrame, right: DataFrame, key: str, vec: str, block: int = 1024, skip_same: bool = False) -> DataFrame:
     """(key, match, cosine): for each left vector the right one with the largest cosine, then the least key.
 
-    Both sides are dealt into blocks; each pair of blocks is one product of matrices in a task, which hands on a row
-    for each left vector, and max_by() takes the best over blocks. Nothing of either side is gathered whole.
+    Both sides are dealt by a hash into blocks of about `block` vectors; each pair of blocks is one product of matrices
+    in a task, which hands on a row for each left vector, and max_by() takes the best over blocks. An exact best match
+    takes all products; nothing of either side is gathered whole.
     """
     width = f"{key} long, match long, cosine double"
 
-    def blocks(df: DataFrame) -> DataFrame:
-        return df.select(F.col(key).cast("long").alias(key), F.col(vec).alias(vec), F.floor(F.col(key) / block).alias("_b"))
+    m, n = (max(1, -(-df.count() // block)) for df in (left, right))
 
-    a, b = blocks(left), blocks(right)
-    # every block of one side goes to every block of the other: the block numbers meet, not the rows
-    grid = a.select("_b").distinct().join(F.broadcast(b.select(F.col("_b").alias("_c")).distinct()))
-    dealt = a.join(grid, "_b").withColumnRenamed("_c", "_other").select("_b", "_other", key, vec)
-    facing = b.withColumnRenamed("_b", "_other").join(grid.withColumnRenamed("_c", "_other"), "_other").select(F.col("_b").alias("_fb"), F.col("_other").alias("_fo"), key, vec)
+    def blocks(df: DataFrame, own: int) -> DataFrame:
+        return df.select(F.col(key).cast("long").alias(key), F.col(vec).alias(vec), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(own)).alias("_own"))
+
+    def numbers(k: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("_n")
+
+    dealt = blocks(left, m).select(F.col("_own").alias("_b"), numbers(n).alias("_other"), key, vec)
+    facing = blocks(right, n).select(numbers(m).alias("_fb"), F.col("_own").alias("_fo"), key, vec)
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.functions import stats
-from strandworks.operators import contacts, graphs, locality, resampling, sequences, vectors
+from strandworks.operators import graphs, locality, resampling, sequences, vectors
 from strandworks.plans import bindings as B
 from strandworks.plans.registry import query, rounded
 
@@ -76,7 +76,10 @@ def coverage_by_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(B.sql("domains", then="SELECT count(*) AS n, count(DISTINCT fold) AS folds, CAST(sum(length(sequence)) AS BIGINT) AS total, min(length(sequence)) AS least, max(length(sequence)) AS most, round(avg(length(sequence)), 6) AS mean, round(median(length(sequence)), 6) AS middle FROM domains"))
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("sequence")
-    return rounded(B.domains(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"), F.sum(n).alias("total"), F.min(n).alias("least"), F.max(n).alias("most"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("middle")))
+    own = B.domains(spark, sf_dir)
+    middle = stats.percentiles(own.select(n.alias("n")), [], "n", [0.5]).select(F.col("value").alias("middle"))
+    sums = own.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"), F.sum(n).alias("total"), F.min(n).alias("least"), F.max(n).alias("most"), F.avg(n).alias("mean"))
+    return rounded(sums.crossJoin(middle))  # a row each
 
 
 @query(B.sql("places", "band", then="SELECT uid, src, dst FROM band"))
@@ -135,11 +138,6 @@ def locality_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_scores(spark, sf_dir, 0).select("feature", "n_active", "d"))
 
 
-@query()
-def locality_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(locality.deltas(_scores(spark, sf_dir, 3)))
-
-
 @query(f"WITH {_LINES} SELECT g, round({_D} / sqrt((var_samp(v) FILTER (WHERE a) + var_samp(v) FILTER (WHERE NOT a)) / 2 + 1e-12), 6) + 0.0 AS d FROM l GROUP BY g")
 def cohens_d_samp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_lines(spark, sf_dir).groupBy("g").agg(stats.cohens_d(F.col("v"), F.col("a")).alias("d")))
@@ -180,7 +178,7 @@ def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = B.table(spark, sf_dir, "part")
     top = part.agg((F.max("p_retailprice") + 1).alias("_m"))  # one row
     rows = part.join(F.broadcast(top)).select(F.col("p_partkey").alias("k"), F.col("p_size").alias("g"), (F.col("p_retailprice") / F.col("_m")).alias("p"))
-    return rounded(stats.with_bh(rows, "p", ["g"], "k").select("k", "g", "q"))
+    return rounded(stats.with_bh(rows, "p", ["g"]).select("k", "g", "q"))
 
 
 @query("SELECT o_orderstatus AS g, round(regr_slope(o_totalprice, o_custkey), 6) + 0.0 AS slope FROM orders GROUP BY 1")
@@ -188,15 +186,10 @@ def ols_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("g")).agg(F.regr_slope("o_totalprice", "o_custkey").alias("slope")))
 
 
-@query()
-def design_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.design_effect(B.customers(spark, sf_dir), "cluster", "value"))
-
-
 @query(
     B.sql(
         "units",
-        then="c AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS c, count(*) OVER () AS k FROM (SELECT DISTINCT cluster FROM units)), s AS (SELECT b, slot, ('0x' || substr(md5(concat_ws(':', 5, b, slot)), 1, 8))::BIGINT % k AS c FROM (SELECT unnest(range(1, 21)) AS b), (SELECT c AS slot, k FROM c)) "
+        then="c AS (SELECT cluster, row_number() OVER (ORDER BY md5(concat_ws(':', 5, cluster)), cluster) - 1 AS c, count(*) OVER () AS k FROM (SELECT DISTINCT cluster FROM units)), s AS (SELECT b, slot, ('0x' || substr(md5(concat_ws(':', 5, b, slot)), 1, 8))::BIGINT % k AS c FROM (SELECT unnest(range(1, 21)) AS b), (SELECT c AS slot, k FROM c)) "
         "SELECT CAST(s.b AS BIGINT) AS b, uid, count(*) AS w FROM s JOIN c ON s.c = c.c JOIN units u ON u.cluster = c.cluster GROUP BY ALL",
     )
 )
@@ -222,18 +215,6 @@ def firing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.acts(spark, sf_dir).groupBy("feature").agg(F.count(F.lit(1)).alias("f")).join(F.broadcast(n)).select("feature", (F.col("f") / F.col("_n")).alias("rate")))
 
 
-@query()
-def precision_topl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = B.vectors(spark, sf_dir)
-    return rounded(contacts.top_precision(contacts.apc_scores(own.select("uid", "position", "vec")), _contacts(spark, sf_dir), own.groupBy("uid").agg(F.count(F.lit(1)).alias("length")), gap=3))
-
-
-@query()
-def cosine_topmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return rounded(vectors.best_match(own, own, "vec_id", "embedding", skip_same=True))
-
-
 @query("SELECT g, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT o_custkey AS g, count(*) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) FULL JOIN (SELECT o_custkey AS g, count(*) AS b FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) USING (g)")
 def full_outer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = B.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "g")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.functions import stats
-from strandworks.operators import concepts, contacts, graphs, layers, vectors
+from strandworks.operators import concepts, contacts, graphs, layers, locality, vectors
 from strandworks.plans import bindings as B
 from strandworks.plans.registry import query, rounded
 
@@ -18,16 +18,17 @@ def residue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.places(spark, sf_dir).join(B.vectors(spark, sf_dir).select("uid", "position", "label"), ["uid", "position"]))
 
 
-@query(B.sql("dense", "places", "band", then="SELECT p.uid, p.position, round(coalesce(avg(d.z), 0), 6) + 0.0 AS smoothed FROM places p LEFT JOIN band b ON p.uid = b.uid AND p.position = b.src LEFT JOIN dense d ON d.uid = b.uid AND d.position = b.dst AND d.feature = 0 GROUP BY p.uid, p.position"))
+@query(B.sql("dense", "places", "band", then="SELECT p.uid, p.position, round(coalesce(avg(d.z), 0), 6) + 0.0 AS smoothed FROM places p LEFT JOIN band b ON p.uid = b.uid AND p.position = b.src LEFT JOIN (SELECT uid, position, sum(z) AS z FROM dense GROUP BY ALL) d ON d.uid = b.uid AND d.position = b.dst GROUP BY p.uid, p.position"))
 def neighbor_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbour means of each place's activation summed over all features."""
     places = B.places(spark, sf_dir)
-    own = B.values(spark, sf_dir).where("feature = 0").withColumn("z", F.greatest("z", F.lit(0.0)))
+    own = B.values(spark, sf_dir).groupBy("uid", "position").agg(F.sum(F.greatest("z", F.lit(0.0))).alias("z"))
     return rounded(graphs.neighbour_means(places, graphs.band_edges(places, 2), own, "z"))
 
 
 @query(B.sql("dense", "places", "band", then="f AS (SELECT DISTINCT feature FROM dense) SELECT p.uid, p.position, f.feature, round(coalesce(avg(d.z), 0), 6) + 0.0 AS smoothed FROM places p CROSS JOIN f LEFT JOIN band b ON p.uid = b.uid AND p.position = b.src LEFT JOIN dense d ON d.uid = b.uid AND d.position = b.dst AND d.feature = f.feature GROUP BY p.uid, p.position, f.feature"))
 def neighbor_mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """neighbor_mean for every feature."""
+    """Neighbour means of every feature on its own."""
     places = B.places(spark, sf_dir)
     own = B.values(spark, sf_dir).withColumn("z", F.greatest("z", F.lit(0.0)))
     return rounded(graphs.neighbour_means(places, graphs.band_edges(places, 2), own, "z", ["feature"]))
@@ -56,7 +57,7 @@ def gap_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fixed_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places above 0.5, 1 and 2 times the median of all activations above 0."""
     acts = B.acts(spark, sf_dir)
-    middle = acts.agg(F.percentile("z", F.lit(0.5)).alias("_s"))  # one row
+    middle = stats.percentiles(acts, [], "z", [0.5]).select(F.col("value").alias("_s"))  # one row
     n = B.places(spark, sf_dir).agg(F.count(F.lit(1)).alias("_n"))  # one row
     many = acts.withColumn("factor", F.explode(F.array(*map(F.lit, (0.5, 1.0, 2.0))))).join(F.broadcast(middle)).where("z > _s * factor")
     counts = many.groupBy("feature", "factor").agg(F.count(F.lit(1)).alias("active")).join(F.broadcast(n))
@@ -69,13 +70,11 @@ _ENRICHED = "m AS (SELECT label, feature, avg(z) AS mean FROM dense GROUP BY ALL
 @query(B.sql("dense", then=f"{_ENRICHED} SELECT CAST(label AS BIGINT) AS label, feature, round(mean / (whole + 1e-6), 6) AS enrichment FROM m JOIN g USING (feature) WHERE mean / (whole + 1e-6) > 1.1"))
 def fold_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = B.values(spark, sf_dir).withColumn("z", F.greatest("z", F.lit(0.0)))
-    inside, whole = own.groupBy("label", "feature").agg(F.avg("z").alias("mean")), own.groupBy("feature").agg(F.avg("z").alias("whole"))
-    ratio = inside.join(whole, "feature").select("label", "feature", (F.col("mean") / (F.col("whole") + 1e-6)).alias("enrichment"))
-    return rounded(ratio.where("enrichment > 1.1"))
+    return rounded(locality.group_ratios(own, "label").where("enrichment > 1.1"))
 
 
 _PRF = (
-    "a AS (SELECT feature, label, position, uid, z / max(z) OVER (PARTITION BY feature) AS z FROM dense), t AS (SELECT unnest([0.0, 0.15, 0.5]::DOUBLE[]) AS threshold), o AS (SELECT a.*, threshold FROM a JOIN t ON z > threshold), "
+    "a AS (SELECT feature, label, position, uid, z / max(z) OVER (PARTITION BY feature) AS z FROM dense), t AS (SELECT unnest([0.0, 0.15, 0.5, 0.6, 0.8]::DOUBLE[]) AS threshold), o AS (SELECT a.*, threshold FROM a JOIN t ON z > threshold), "
     "f AS (SELECT feature, threshold, count(*) AS fired FROM o GROUP BY ALL), d AS (SELECT label, count(DISTINCT uid) AS domains FROM dense GROUP BY label), h AS (SELECT label, feature, threshold, count(*) AS hit, count(DISTINCT uid) AS found FROM o GROUP BY ALL), "
     "s AS (SELECT label, feature, threshold, hit / fired AS p, found / domains AS r FROM h JOIN f USING (feature, threshold) JOIN d USING (label)), prf AS (SELECT *, 2 * p * r / (p + r) AS f1 FROM s)"
 )
@@ -83,7 +82,7 @@ _PRF = (
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = B.vectors(spark, sf_dir).select(F.col("label").alias("concept"), "uid", "position", F.col("uid").alias("domain"))
-    return concepts.scores(concepts.scaled(B.acts(spark, sf_dir)), marks, (0.0, 0.15, 0.5))
+    return concepts.scores(concepts.scaled(B.acts(spark, sf_dir)), marks)
 
 
 @query(B.sql("dense", then=f"{_PRF} SELECT CAST(label AS BIGINT) AS concept, feature, threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM prf"))
@@ -127,8 +126,7 @@ def q_threshold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH m AS (SELECT l_returnflag AS g, year(l_shipdate) AS depth, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL) SELECT g, round(corr(depth, v), 6) + 0.0 AS r, CAST(arg_max(depth, v) AS BIGINT) AS peak, CAST(arg_min(depth, v) AS BIGINT) AS trough, round(avg(v) FILTER (WHERE depth <= 1994), 6) AS early, round(avg(v) FILTER (WHERE depth > 1994), 6) AS late FROM m GROUP BY g")
 def depth_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.year("l_shipdate").alias("depth")).agg(F.avg("l_extendedprice").cast("double").alias("v"))
-    early = F.col("depth") <= 1994
-    return rounded(means.groupBy("g").agg(F.corr(F.col("depth").cast("double"), "v").alias("r"), F.max_by("depth", "v").alias("peak"), F.min_by("depth", "v").alias("trough"), F.avg(F.when(early, F.col("v"))).alias("early"), F.avg(F.when(~early, F.col("v"))).alias("late")))
+    return rounded(layers.shape(means, ["g"], "depth", "v", 1994))
 
 
 @query("WITH y AS (SELECT l_returnflag AS g, year(l_shipdate) AS depth, avg(l_quantity) - 25.5 AS d FROM lineitem GROUP BY ALL) SELECT depth, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS up, count(*) AS n, max(CASE WHEN d > 0 THEN 1 ELSE 0 END) <> min(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS flips FROM y GROUP BY depth")
@@ -157,8 +155,10 @@ def norm_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT year(l_shipdate) AS layer, round(avg(l_discount - 0.05), 6) + 0.0 AS mean, round(stddev_pop(l_discount), 6) AS sd, round(median(CAST(l_quantity AS DOUBLE)), 6) AS middle, round(avg(CAST(l_quantity > 25 AS INT)), 6) AS above, count(DISTINCT l_suppkey) AS enriched FROM lineitem GROUP BY 1")
 def layer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = B.table(spark, sf_dir, "lineitem")
-    return rounded(own.groupBy(F.year("l_shipdate").alias("layer")).agg(F.avg(F.col("l_discount") - 0.05).alias("mean"), F.stddev_pop("l_discount").alias("sd"), F.percentile("l_quantity", F.lit(0.5)).alias("middle"), F.avg((F.col("l_quantity") > 25).cast("int")).alias("above"), F.count_distinct("l_suppkey").alias("enriched")))
+    own = B.table(spark, sf_dir, "lineitem").withColumn("layer", F.year("l_shipdate"))
+    middle = stats.percentiles(own, ["layer"], "l_quantity", [0.5]).select("layer", F.col("value").alias("middle"))
+    sums = own.groupBy("layer").agg(F.avg(F.col("l_discount") - 0.05).alias("mean"), F.stddev_pop("l_discount").alias("sd"), F.avg((F.col("l_quantity") > 25).cast("int")).alias("above"), F.count_distinct("l_suppkey").alias("enriched"))
+    return rounded(sums.join(middle, "layer").select("layer", "mean", "sd", "middle", "above", "enriched"))
 
 
 @query("WITH c AS (SELECT l_returnflag AS g, l_linenumber AS seed, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL) SELECT g, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd, count(*) AS seeds FROM c GROUP BY g")
@@ -197,6 +197,4 @@ _GATE = "m AS (SELECT l_returnflag AS g, year(l_shipdate) AS depth, avg(l_quanti
 @query(f"WITH {_GATE} SELECT g, depth, round(v, 6) AS v, abs(v - before) <= 0.1 AND abs(v - after) <= 0.1 AS smooth FROM n WHERE before IS NOT NULL AND after IS NOT NULL")
 def neighbor_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.year("l_shipdate").alias("depth")).agg(F.avg("l_quantity").cast("double").alias("v"))
-    w = Window.partitionBy("g").orderBy("depth")
-    beside = means.withColumn("_a", F.lag("v").over(w)).withColumn("_b", F.lead("v").over(w)).where("_a IS NOT NULL AND _b IS NOT NULL")
-    return rounded(beside.select("g", "depth", "v", ((F.abs(F.col("v") - F.col("_a")) <= 0.1) & (F.abs(F.col("v") - F.col("_b")) <= 0.1)).alias("smooth")))
+    return rounded(layers.near_neighbours(means, ["g"], "depth", "v", 0.1))

@@ -17,7 +17,7 @@ def test_cohens_d_by_hand(spark):
 
 def test_bh_with_ties(spark):
     rows = spark.createDataFrame([(i, 1, p) for i, p in enumerate([0.01, 0.01, 0.03, 0.2, 0.9])], "k int, g int, p double")
-    q = [r.q for r in stats.with_bh(rows, "p", ["g"], "k").orderBy("k").collect()]
+    q = [r.q for r in stats.with_bh(rows, "p", ["g"]).orderBy("k").collect()]
     assert np.allclose(q, [0.025, 0.025, 0.05, 0.25, 0.9])
 
 

@@ -6,7 +6,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from strandworks.plans import core, registry, sweeps  # noqa: F401
+import __spark_entry__  # noqa: F401 (registers the queries)
+from strandworks.plans import registry
 
 SMALL = Path("/root/testdata/sf0.001")
 
