@@ -111,6 +111,8 @@ def greedy_controls(anchors: DataFrame, candidates: DataFrame, group: str, key:
     """
 
     def pick(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:  # a group that one side lacks has no columns there
+            return pd.DataFrame(columns=[group, "anchor", "control", "gap"])
         free = sorted(y[key].tolist())
         out = []
         for a in sorted(x[key].tolist()):
@@ -122,4 +124,6 @@ def greedy_controls(anchors: DataFrame, candidates: DataFrame, group: str, key:
         return pd.DataFrame(out, columns=[group, "anchor", "control", "gap"])
 
     kind = anchors.schema[group].dataType.simpleString()
-    return anchors.groupBy(group).cogroup(candidates.groupBy(group)).applyInPandas(pick, f"{group} {kind}, anchor double, control double, gap double")
+    # new columns on both sides: they may come from one table
+    own, other = (df.select(F.col(group).alias(group), F.col(key).cast("double").alias(key)) for df in (anchors, candidates))
+    return own.groupBy(group).cogroup(other.groupBy(group)).applyInPandas(pick, f"{group} {kind}, anchor double, control double, gap double")
