@@ -3,15 +3,17 @@
 1. Targets: sources share a budget by weight; none gets more than REPEATS times what it has, and what is above goes to
    the others by weight.
 2. Packing: a source's documents make one stream of words, cut into blocks of BLOCK words (the last may be shorter).
-   A stream's order is by a hash of the document, then by its id, and its offsets are sums over SPREAD ranges of that
-   hash, so that no source is put in order by one task.
-3. Draws: every output shard draws how many blocks it takes from each source, a multinomial draw with the targets as
-   weights. What a source gets above its target over all shards is cut from its last shards; a last shard makes up for
-   sources that are short, so each source's blocks come to its target.
+   A stream's order is by a hash of the document, then by its id, and its offsets are sums over ranges of that hash, one
+   for about RANGE_WORDS words of the corpus, so that no source is put in order by one task.
+3. Draws: every output shard of SHARD_BLOCKS blocks draws how many it takes from each source, a multinomial draw with
+   the targets as weights. So that each source's blocks come to its target, what a source gets above it is cut from its
+   last shards, and a last shard makes up for sources that are short: the draws, given the sum of each source, decide
+   which shards have how many blocks of it.
 4. Slots: a source's slots are numbered over the shards. Number k belongs to pass k div B over its B blocks, and the
    pass's own pseudorandom permutation of the block numbers (a swap-or-not shuffle, which needs no table and no sort)
    gives the block.
-5. Slots and packed blocks are joined by source and block number.
+5. Slots and packed blocks are joined by source and block number. In a shard, blocks are in the order of a hash of
+   their slots.
 
 Cases: a null text has no words, and documents without words take part with size 0 and are not taken; a null source
 is a source, the last one; rows that repeat a doc_id are documents of their own; an empty table gives no rows; further columns are left alone. Equal seeds give equal mixes.
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, parts
 
 BLOCK = 32
-SHARDS = 256
-SPREAD = 1024
+SHARD_BLOCKS = 1 << 13
+RANGE_WORDS = 1 << 19
 ROUNDS = 12
 REPEATS = 2
 #: Weights of the sources in code point order, repeating, and the budget as a share of all words.
@@ -54,9 +56,12 @@ def _sources(sized: DataFrame, budget: float, repeats: float) -> DataFrame:
     return levelled.withColumn("target", target).select("source", "has_source", "k", "source_size", "target", blocks.alias("blocks"), F.least(slots, blocks * int(repeats)).alias("slots"))
 
 
-def _packed(sized: DataFrame) -> DataFrame:
-    """Pieces of documents in blocks: k, block, row, doc, first (word of the document), words."""
-    ranged = sized.where("size > 0").withColumn("range", F.pmod(F.xxhash64("doc", F.lit("range")), F.lit(SPREAD)))
+def _packed(sized: DataFrame, words: int) -> DataFrame:
+    """Pieces of documents in blocks: k, block, row, doc, begin (in the block), first (word of the document), words.
+
+    words: of all documents.
+    """
+    ranged = sized.where("size > 0").withColumn("range", F.pmod(F.xxhash64("doc", "row", F.lit("range")), F.lit(words // RANGE_WORDS + 1)))
     ends = ranged.groupBy("k", "range").agg(F.sum("size").alias("words"))
     base = ends.select("k", "range", (F.sum("words").over(Window.partitionBy("k").orderBy("range")) - F.col("words")).alias("base"))
     inside = Window.partitionBy("k", "range").orderBy("doc", "row").rowsBetween(Window.unboundedPreceding, 0)
@@ -65,24 +70,23 @@ def _packed(sized: DataFrame) -> DataFrame:
     pieces = placed.select("k", "doc", "row", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), last)).alias("block"))
     lo = F.greatest(F.col("begin"), F.col("block") * BLOCK)
     hi = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return pieces.select("k", "block", "doc", "row", (lo - F.col("begin")).alias("first"), (hi - lo).alias("words"))
+    return pieces.select("k", "block", "doc", "row", (lo - F.col("block") * BLOCK).alias("begin"), (lo - F.col("begin")).alias("first"), (hi - lo).alias("words"))
 
 
-def _draws(sources: DataFrame, total: int, seed: int) -> DataFrame:
-    """k, shard, base (of its slot numbers), n: how many blocks of each source every shard takes."""
-    bins = 4096
+def _draws(sources: DataFrame, total: int, bins: int, seed: int) -> DataFrame:
+    """k, shard, base (of its slot numbers), n: how many blocks of each source every shard takes. bins: for the look-up of draws."""
     ends = F.sum("slots").over(Window.orderBy("k"))
     spans = sources.where("slots > 0").select("k", ((ends - F.col("slots")) / total).alias("lo"), (ends / total).alias("hi"))
     spans = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.least(F.floor(F.col("hi") * bins), F.lit(bins - 1)))))
     u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    per = -(-total // SHARDS)
-    slots = sources.sparkSession.range(total).select(F.floor(F.col("id") / per).cast("int").alias("shard"), u.alias("u")).withColumn("bin", F.floor(F.col("u") * bins))
+    shards = -(-total // SHARD_BLOCKS)
+    slots = sources.sparkSession.range(total).select(F.floor(F.col("id") / SHARD_BLOCKS).cast("int").alias("shard"), u.alias("u")).withColumn("bin", F.floor(F.col("u") * bins))
     drawn = slots.join(spans, "bin").where("u >= lo AND u < hi").groupBy("k", "shard").agg(F.count(F.lit(1)).alias("drawn"))
     upto = F.sum("drawn").over(Window.partitionBy("k").orderBy("shard"))
     counted = drawn.join(sources.select("k", "slots"), "k").withColumn("base", upto - F.col("drawn"))
     kept = counted.withColumn("n", F.greatest(F.lit(0), F.least("drawn", F.col("slots") - F.col("base"))))
     got = kept.groupBy("k").agg(F.sum("n").alias("got"))
-    short = sources.join(got, "k", "left").withColumn("base", F.coalesce("got", F.lit(0))).select("k", F.lit(SHARDS).alias("shard"), "base", (F.col("slots") - F.col("base")).alias("n"))
+    short = sources.join(got, "k", "left").withColumn("base", F.coalesce("got", F.lit(0))).select("k", F.lit(shards).alias("shard"), "base", (F.col("slots") - F.col("base")).alias("n"))
     return kept.select("k", "shard", "base", "n").unionByName(short).where("n > 0")
 
 
@@ -118,8 +122,8 @@ class Mix:
         sized = _sized(docs, id_col, text_col, source_col)
         self.sources = cut(_sources(sized, BUDGET, REPEATS))
         self.sized = cut(sized.join(self.sources.select("source", "has_source", "k", "source_size", "target"), ["source", "has_source"]))
-        total = self.sources.agg(F.sum("slots")).first()[0] or 0
-        draws = _draws(self.sources, total, seed) if total else None
+        total, words, sources = self.sources.agg(F.sum("slots"), F.sum("source_size"), F.count(F.lit(1))).first()
+        draws = _draws(self.sources, total, 16 * sources, seed) if total else None
         if draws is None:
             draws = self.sources.where("false").select("k", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("n"))
         step = 4096
@@ -132,15 +136,48 @@ class Mix:
         slots = numbers.join(self.sources.select("k", "blocks"), "k").withColumn("pass", F.floor(F.col("number") / F.col("blocks"))).withColumn("at", F.col("number") % F.col("blocks")).drop("blocks")
         slots = slots.join(rounds, ["k", "pass"])
         self.slots = slots.select("k", "shard", "number", "pass", permuted(F.col("at"), F.col("blocks"), F.col("rounds")).alias("block"))
-        self.taken = self.slots.join(_packed(self.sized), ["k", "block"])
+        self.taken = self.slots.join(_packed(self.sized, words or 0), ["k", "block"])
 
 
 def mix_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, taken (words of the document in the mix, repeats counted)."""
+    """One row per row of docs: id, size, source_size, target, taken (words of the document in the mix, repeats counted),
+    first_shard (the first output shard that holds words of the document, null without one)."""
     mix = Mix(docs, id_col, text_col, source_col, seed)
-    taken = mix.taken.groupBy("doc", "row").agg(F.sum("words").alias("taken"))
+    taken = mix.taken.groupBy("doc", "row").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
     out = mix.sized.join(taken.withColumnsRenamed({"doc": "_d", "row": "_r"}), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
-    return out.select(F.col("doc").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return out.select(F.col("doc").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """_doc (all columns) with _i, _h and _c, which name a row as Mix does."""
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.xxhash64(text_col).alias("_h"))
+    return keyed.withColumn("_c", F.row_number().over(Window.partitionBy("_i", "_h").orderBy("_s")))
+
+
+def _spanned(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Rows of docs as _doc with the columns of spans, which has doc and row besides."""
+    renamed = spans.withColumn("_d", F.col("doc")).withColumn("_r", F.col("row")["row"]).withColumn("_rc", F.col("row")["copy"]).drop("doc", "row")
+    return _keyed(docs, id_col, text_col, source_col).join(renamed, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_r")) & (F.col("_c") == F.col("_rc")))
+
+
+def _words(text_col: str) -> Column:
+    """The words, wrapped for transform: as a lambda's variable they are found once for a row, not again for every span."""
+    return F.array(F.regexp_extract_all(f"_doc.{text_col}", F.lit(WORD), F.lit(0)))
+
+
+def _slice(words: Column, span: Column) -> Column:
+    return F.slice(words, (span["first"] + 1).cast("int"), span["words"].cast("int"))
+
+
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
+    """The mix as it is written out: shard, position (in the shard), source, pass, block, text (its words, joined by spaces)."""
+    mix = Mix(docs, id_col, text_col, source_col, seed)
+    spans = mix.taken.groupBy("doc", "row").agg(F.collect_list(F.struct("shard", "k", "number", "pass", "block", "begin", "first", "words")).alias("_spans"))
+    fragment = lambda w: F.transform("_spans", lambda s: F.struct("_s", s["shard"].alias("shard"), s["k"].alias("k"), s["number"].alias("number"), s["pass"].alias("pass"), s["block"].alias("block"), s["begin"].alias("begin"), F.concat_ws(" ", _slice(w, s)).alias("words")))
+    found = _spanned(docs, spans, id_col, text_col, source_col).select(F.explode(F.transform(_words(text_col), fragment)[0]).alias("f")).select("f.*")
+    blocks = found.groupBy("shard", "k", "number", "pass", "block").agg(F.first("_s").alias("source"), F.array_sort(F.collect_list(F.struct("begin", "words"))).alias("_w"))
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("k", "number", F.lit(seed)), "k", "number")  # SHARD_BLOCKS rows, but for the last shard
+    return blocks.select("shard", (F.row_number().over(order) - 1).alias("position"), "source", "pass", "block", F.concat_ws(" ", F.col("_w.words")).alias("text"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
@@ -149,12 +186,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     All columns of docs are kept; words that follow each other in the document are joined by one space.
     """
     mix = Mix(docs, id_col, text_col, source_col, seed)
-    spans = mix.taken.groupBy("doc", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_spans")).withColumnsRenamed({"doc": "_d", "row": "_r", "pass": "_pass"})
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.xxhash64(text_col).alias("_h"))
-    keyed = keyed.withColumn("_c", F.row_number().over(Window.partitionBy("_i", "_h").orderBy("_s")))
-    spans = spans.select("_d", "_pass", "_spans", F.col("_r")["row"].alias("_r"), F.col("_r")["copy"].alias("_rc"))
-    joined = keyed.join(spans, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_r")) & (F.col("_c") == F.col("_rc")))
-    # the words are a lambda's variable, so that they are found once for a row, not again for every span
-    found = F.array(F.regexp_extract_all(f"_doc.{text_col}", F.lit(WORD), F.lit(0)))
-    text = F.transform(found, lambda w: F.concat_ws(" ", F.flatten(F.transform("_spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["words"].cast("int"))))))[0]
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"_doc.{c}").alias(c) for c in docs.columns])
+    spans = mix.taken.groupBy("doc", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_spans")).withColumnRenamed("pass", "_pass")
+    text = F.transform(_words(text_col), lambda w: F.concat_ws(" ", F.flatten(F.transform("_spans", lambda s: _slice(w, s)))))[0]
+    return _spanned(docs, spans, id_col, text_col, source_col).select(*[text.alias(c) if c == text_col else F.col(f"_doc.{c}").alias(c) for c in docs.columns])
