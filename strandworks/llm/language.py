@@ -13,7 +13,8 @@ their share.
 Cases: a null text, or one without a letter, is `und` with score 0; of languages with equal bytes the first in code
 point order is taken; texts in a script that was never learnt get the best of all languages; without labelled texts
 all are `und` with score 0; rows that repeat an id each get their row, a null id is not held out; an empty table gives
-no rows; further columns are left alone.
+no rows; further columns are left alone, but for those with the
+name of a result column, which the result replaces.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import binary_values, small_batches
 
@@ -240,10 +242,10 @@ def _identified(shared, names: list[str]):
 def identified(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all but the text, if not given), lang_pred, score, and spans in bytes of the text."""
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "lang_pred", "score", "spans")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["_letters", *keep, "lang_pred", "score", "spans"]
-    schema = ", ".join(["_letters boolean", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], _OUT])
+    schema = StructType([StructField("_letters", BooleanType()), *[docs.schema[c] for c in keep], *StructType.fromDDL(_OUT)])
     text = F.coalesce(text_col, F.lit(""))
     out = docs.select(F.encode(text, "UTF-8").alias("_bytes"), text.rlike(r"\p{L}").alias("_letters"), *[docs[c] for c in keep]).mapInArrow(_identified(shared, names), schema)
     known = F.col("_letters") & F.col("lang_pred").isNotNull()

@@ -1,40 +1,45 @@
 """Toxic passages by maximum-scoring segments.
 
 Training, on at most SAMPLE labelled texts (those with the least hashes of their ids; equal texts count once): how many
-toxic and clean texts hold each word gives log-odds under a Dirichlet prior that is PRIOR of all counts, shared out by
-frequency. Words whose log-odds are over ODDS and over Z standard deviations, the FEATURES strongest of them, make the
-model; then, longest first, so do beginnings of words that no feature covers yet. Every other word scores what its
-being in none of them is worth, a little below zero.
+toxic and clean texts hold each word gives its log-odds under an informative Dirichlet prior, which is PRIOR of all
+counts, shared out by frequency to both kinds. They are drawn towards zero by Z of their posterior standard deviations,
+so that chance says nothing. Words whose log-odds that leaves at zero, and words that training never saw, take those of
+their longest beginning that has some; a beginning's counts are those of the words that have none of their own. What
+has none even so scores what that is worth, a little below zero. The model grows with the words of the sample, not with
+the corpus.
 
 Scoring, of every whole text: the linear-time search for all maximal scoring segments over the words' log-odds. As the
 scores are log-likelihood ratios with a negative mean on clean text, segment scores follow an extreme-value law: a
 segment of score x has K * words * exp(-LAMBDA * x) equals by chance, LAMBDA solving sum(p * exp(LAMBDA * s)) = 1 and
 K counted on the clean texts of the sample. A text's evidence is that of its best segment and the sum over its
-significant ones; a logistic curve through the sample's labels makes it a score from 0 to 1.
+significant ones; a logistic curve through the sample's labels makes it a score from 0 to 1. For LAMBDA, K and the curve
+a text of the sample is scored by the others alone: its words' shares leave it out.
 
 Cases: a null text is an empty one, which gets the score of a text without evidence; a null id is not held out and has
 no label; rows that repeat an id each get their row, and repeated labels of one document are all learnt from; without
 labels of both kinds every score is 0.5 or the rate of the one kind kept inside 0.01 to 0.99; an empty table gives no
-rows; further columns are left alone.
+rows; further columns are left alone, but for those with the name of a result column, which `scored` replaces and
+drop_toxic keeps.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import binary_values, small_batches
+from .common import binary_values, parts, small_batches
 
 SAMPLE = 20000
-FEATURES = 5000
-PRIOR, Z, ODDS = 0.1, 3.5, 2.5
-#: Lengths in bytes of the word beginnings that can be features.
+PRIOR, Z = 0.1, 2.5
+#: Lengths in bytes of word beginnings.
 BEGINNINGS = (4, 5, 6)
 #: A segment is significant if chance makes fewer than this many of its score in a text.
 SIGNIFICANT = 0.05
@@ -63,25 +68,29 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def segments(places: list[int], scores: list[float], other: float) -> list[Segment]:
-    """All maximal scoring segments of a sequence that scores `other` < 0 but at the given places (Ruzzo and Tompa)."""
-    out: list[tuple[int, int, float, float]] = []  # begin, end, sum before it, sum up to its end
+    """All maximal scoring segments of a sequence that scores `other` < 0 but at the given places (Ruzzo and Tompa).
+
+    Linear in the places: a candidate links to the nearest one before it whose sum before it is lower, so that those
+    between are never looked at again.
+    """
+    out: list[tuple[int, int, float, float, int]] = []  # begin, end, sum before it, sum up to its end, link
     total, done = 0.0, 0
     for at, s in zip(places, scores):
-        before = total + (at - done) * other
-        total, done = before + s, at + 1
+        low = total + (at - done) * other
+        total, done = low + s, at + 1
         if s <= 0:
             continue
-        new = (at, at + 1, before, total)
+        begin, j = at, len(out) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
-                out.append(new)
+            while j >= 0 and out[j][2] >= low:
+                j = out[j][4]
+            if j < 0 or out[j][3] >= total:
+                out.append((begin, at + 1, low, total, j))
                 break
-            new = (out[j][0], new[1], out[j][2], new[3])
+            begin, _, low, _, link = out[j]
             del out[j:]
-    return [Segment(b, e, high - low) for b, e, low, high in out]
+            j = link
+    return [Segment(b, e, high - low) for b, e, low, high, _ in out]
 
 
 class Scorer:
@@ -133,19 +142,55 @@ def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *[pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1)]], names=["word", "toxic", "clean"])
 
 
-def log_odds(toxic: Column, clean: Column, all_toxic: float, all_clean: float) -> tuple[Column, Column]:
-    """Log-odds of a word under an informative Dirichlet prior, and its standard deviation."""
-    prior = (toxic + clean) * PRIOR
-    whole = (all_toxic + all_clean) * PRIOR
+def log_odds(toxic: float, clean: float, all_toxic: float, all_clean: float) -> float:
+    """Log-odds of a word under the prior, drawn towards zero by Z standard deviations."""
+    prior, whole = (toxic + clean) * PRIOR, (all_toxic + all_clean) * PRIOR
     t, c = toxic + prior, clean + prior
-    return F.log(t / (all_toxic + whole - t)) - F.log(c / (all_clean + whole - c)), F.sqrt(1 / t + 1 / c)
+    if not t:
+        return 0.0
+    odds = math.log(t / (all_toxic + whole - t)) - math.log(c / (all_clean + whole - c))
+    return math.copysign(max(0.0, abs(odds) - Z * math.sqrt(1 / t + 1 / c)), odds)
+
+
+def _entries(all_toxic: float, all_clean: float):
+    """word, toxic, clean, sorted by their shortest beginning, to the words and beginnings that have log-odds: those, and
+    those without one of their toxic or one of their clean texts."""
+
+    def entry(part: bytes, t: int, c: int) -> tuple[bytes, float, float, float]:
+        own = log_odds(t, c, all_toxic, all_clean)
+        return part, own, log_odds(t - 1, c, all_toxic - 1, all_clean) if t else own, log_odds(t, c - 1, all_toxic, all_clean - 1) if c else own
+
+    def kept(words: list[tuple[bytes, int, int]]) -> list[tuple[bytes, float, float, float]]:
+        out = []
+        for n in (None, *sorted(BEGINNINGS, reverse=True)):
+            counts: dict[bytes, list[int]] = {}
+            for w, t, c in words:
+                part = w if n is None else w[:n] + b"*" if len(w) > n else b""
+                own = counts.setdefault(part, [0, 0])
+                own[0] += t
+                own[1] += c
+            counts.pop(b"", None)
+            found = {part for part, (t, c) in counts.items() if log_odds(t, c, all_toxic, all_clean)}
+            out += [entry(part, *counts[part]) for part in sorted(found)]
+            words = [x for x in words if (x[0] if n is None else x[0][:n] + b"*") not in found]
+        return out
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in it for r in zip(*[c.to_pylist() for c in batch.columns]))
+        for _, own in groupby(rows, lambda r: r[0][: BEGINNINGS[0]]):
+            found = kept(list(own))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), *[pa.float64()] * 3))], names=["part", "odds", "less_toxic", "less_clean"])
+
+    return run
 
 
 def _hits(shared):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        # without the text itself: by the log-odds of clean texts less one, or toxic ones less one
+        scorers = [Scorer({k: v[i] for k, v in shared.value.items()}) for i in (2, 1)]
         for batch in it:
-            own = [scorer.hits(t) for t in binary_values(batch.column(0))]
+            own = [scorers[toxic].hits(t) for t, toxic in zip(binary_values(batch.column(0)), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in own], pa.int64()), pa.array([o[1] for o in own], pa.list_(pa.int64())), pa.array([o[2] for o in own], pa.list_(pa.float64())), batch.column(1)], names=["n", "places", "scores", "toxic"])
 
     return run
@@ -189,26 +234,22 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
         rate = 0.5 if not clean_n + toxic_n else min(0.99, max(0.01, toxic_n / (clean_n + toxic_n)))
         sample.unpersist()
         return Model({}, -0.01, 1.0, 1.0, (math.log(rate / (1 - rate)), 0.0, 0.0))
-    words = each = sample.mapInArrow(_counted, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
+    words = sample.mapInArrow(_counted, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
     totals = words.agg(F.sum("toxic"), F.sum("clean")).first()
-    odds, spread = log_odds(F.col("toxic"), F.col("clean"), float(totals[0] or 0), float(totals[1] or 0))
-    model: dict[bytes, float] = {}
-    for n in (None, *sorted(BEGINNINGS, reverse=True)):
-        # a text that holds two words of one beginning counts twice for it; so it does for both kinds
-        if n:
-            words = words.where(~F.col("part").isin(list(model))) if model else words
-        words = words.withColumn("part", F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit(b"*"))).otherwise(F.col("word")) if n else F.col("word"))
-        counted = words.groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        strong = counted.select("part", odds.alias("odds"), (odds / spread).alias("z")).where(f"z > {Z} AND odds > {ODDS}").orderBy(F.desc("z"), "part").limit(FEATURES).collect()  # FEATURES rows at most
-        model |= {bytes(r.part): float(r.odds) for r in strong if n is None or r.part.endswith(b"*")}
-    rows = sample.mapInArrow(_hits(spark.sparkContext.broadcast(model)), "n long, places array<long>, scores array<double>, toxic int").collect()  # numbers of SAMPLE texts
-    each.unpersist()
+    first = F.substring("word", 1, BEGINNINGS[0])
+    entries = words.repartition(parts(spark), first).sortWithinPartitions(first, "word").mapInArrow(_entries(float(totals[0] or 0), float(totals[1] or 0)), "part binary, odds double, less_toxic double, less_clean double")
+    table = {bytes(r.part): (r.odds, r.less_toxic, r.less_clean) for r in entries.collect()}  # words of SAMPLE texts that say something
+    model = {k: v[0] for k, v in table.items()}
+    rows = sample.mapInArrow(_hits(spark.sparkContext.broadcast(table)), "n long, places array<long>, scores array<double>, toxic int").collect()  # numbers of SAMPLE texts
+    words.unpersist()
     sample.unpersist()
     n = {k: sum(r.n for r in rows if r.toxic == k) for k in (0, 1)}
     hit = {k: sum(len(r.places) for r in rows if r.toxic == k) for k in (0, 1)}
     rate = {k: (hit[k] + 0.5) / (n[k] + 1) for k in (0, 1)}
     other = min(-1e-3, math.log((1 - rate[1]) / (1 - rate[0])))
     clean_scores = np.array([s for r in rows if r.toxic == 0 for s in r.scores] or [1.0])
+    if (clean_scores > 0).sum() == 0:
+        clean_scores = np.append(clean_scores, 1.0)
     p = np.append(np.full(len(clean_scores), rate[0] / len(clean_scores)), 1 - rate[0])
     lam = _solve(p, np.append(clean_scores, other))
     found = [(r.n, segments(r.places, r.scores, other), r.toxic) for r in rows]
@@ -244,9 +285,9 @@ def _judged(shared, names: list[str]):
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all but the text, if not given), score, and the significant passages by word numbers."""
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES words at most
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], _SCORED])
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "score", "passages")]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of SAMPLE texts that say something
+    schema = StructType([*[docs.schema[c] for c in keep], *StructType.fromDDL(_SCORED)])
     cols = [F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("_bytes"), *[docs[c] for c in keep]]
     return docs.select(*cols).mapInArrow(_judged(shared, [*keep, "score", "passages"]), schema)
 
@@ -266,4 +307,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are predicted toxic; all its columns."""
     model = train(docs, labels, _remainder(id_col) != 1, id_col, text_col)
-    return scored(docs, model, text_col, docs.columns).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    whole = docs.select(F.col(text_col).alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return scored(whole, model, "_text").where(F.col("score") < THRESHOLD).select("_row.*")

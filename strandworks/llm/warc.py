@@ -3,24 +3,32 @@
 The writer makes one gzip member for each record: a page is a `response` with an HTTP head and its payload, or a
 `revisit` with the head alone where another page with the same payload is the response. The reader checks member,
 version line, header fields, lengths and digest. After a check fails it looks for the next place where a member or a
-version line begins a record that passes, recovers from there, and logs the bytes between as quarantined.
+version line begins a record that passes, recovers from there, and logs the bytes between as quarantined. In a member
+that inflates but holds a record that fails, it looks for the next version line inside and logs a gap of no bytes that
+names the inflated ones. Names of header fields are read in any case, with or without a space after the colon; digests
+are checked where there are any.
+
+Archives and payloads are cells of a binary column, so none can be over 2 GiB: a member that inflates to more is logged
+as a gap.
 
 Cases: a null html is an empty payload; of equal payloads the largest page_id is the response, and rows that repeat
 that page_id are responses too; a null page_id is the response only where all of its equals are null; a null url
-gives a record without a target; an empty table gives no archives.
+gives a record without a target; a revisit without a payload digest has a null one; an empty table gives no archives.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, utf8
@@ -96,58 +104,76 @@ def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if end < 0:
         raise ValueError("header: no end")
     try:
-        lines = data[at:end].decode().split("\r\n")[1:]
+        lines = re.sub(r"\r\n[ \t]+", " ", data[at:end].decode()).split("\r\n")[1:]
     except UnicodeDecodeError:
         raise ValueError("header: not UTF-8") from None
-    if any(": " not in x for x in lines):
+    if any(":" not in x for x in lines):
         raise ValueError("header: not a field")
-    fields = dict(x.split(": ", 1) for x in lines)
-    length = fields.get("Content-Length", "")
-    if not length.isdecimal() or len(length) > 12:
+    fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
+    length = fields.get("content-length", "")
+    if not (length.isascii() and length.isdecimal()) or len(length) > 12:
         raise ValueError("header: no length")
     begin, stop = end + 4, end + 4 + int(length)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("length: no end of record there")
     block = data[begin:stop]
-    told = fields.get("WARC-Block-Digest", "")
-    if told.startswith("sha1:") and told[5:] != digest(block):
+    told = fields.get("warc-block-digest", "")
+    if told.lower().startswith("sha1:") and told[5:].upper() != digest(block):
         raise ValueError("digest differs")
     return fields, block, stop + 4
 
 
-def _read_at(data: bytes, at: int) -> Record:
+def _inside(text: bytes, at: int, size: int) -> tuple[list[Record], list[Gap]]:
+    """Records of a member that inflated to text, and gaps of no bytes where some of it can't be read; at least one record."""
+    records, gaps, here, why = [], [], 0, ""
+    while here < len(text):
+        try:
+            fields, block, stop = _parsed(text, here)
+            records.append(Record(at, size, fields, block))
+        except ValueError as e:
+            why = str(e)
+            stop = text.find(_VERSION, here + 1)
+            stop = stop if stop >= 0 else len(text)
+            gaps.append(Gap(at, 0, f"in the member, inflated bytes {here} to {stop}: {why}"))
+        here = stop
+    if not records:
+        raise ValueError(why or "member: empty")
+    return records, gaps
+
+
+def _read_at(data: bytes, at: int) -> tuple[list[Record], list[Gap], int]:
+    """Records and inner gaps of what begins at `at`, and its end; raises ValueError if there is no good record."""
     if data[at : at + 3] == _MEMBER:
         text, end = _inflate(data, at)
-        fields, block, stop = _parsed(text, 0)
-        if stop != len(text):
-            raise ValueError("member: more than a record")
-        return Record(at, end - at, fields, block)
+        return *_inside(text, at, end - at), end
     fields, block, stop = _parsed(data, at)
-    return Record(at, stop - at, fields, block)
+    return [Record(at, stop - at, fields, block)], [], stop
 
 
 def salvage(data: bytes) -> tuple[list[Record], list[Gap]]:
     """Records of an archive, compressed or not, and the gaps in which none could be read."""
     records, gaps, at = [], [], 0
+    begins = None
     while at < len(data):
         try:
-            records.append(_read_at(data, at))
-            at += records[-1].size
-            continue
+            found, inner, end = _read_at(data, at)
         except ValueError as e:
-            why = str(e)
-        bad = at
-        for m in re.finditer(rb"\x1f\x8b\x08|WARC/1\.", data[at + 1 :] if at else data[1:]):
-            try:
-                records.append(_read_at(data, bad + 1 + m.start()))
+            why, bad = str(e), at
+            begins = begins or re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+            at += 1
+            while (m := begins.search(data, at)) is not None:
+                try:
+                    found, inner, end = _read_at(data, m.start())
+                    break
+                except ValueError:
+                    at = m.start() + 1
+            else:
+                gaps.append(Gap(bad, len(data) - bad, why))
                 break
-            except ValueError:
-                continue
-        else:
-            gaps.append(Gap(bad, len(data) - bad, why))
-            break
-        gaps.append(Gap(bad, records[-1].offset - bad, why))
-        at = records[-1].offset + records[-1].size
+            gaps.append(Gap(bad, m.start() - bad, why))
+        records += found
+        gaps += inner
+        at = end
     return records, gaps
 
 
@@ -182,11 +208,12 @@ def _id(uri: str | None) -> int | None:
 def _page(archive: str, r: Record) -> dict:
     head, _, payload = r.block.partition(b"\r\n\r\n")
     length = re.search(rb"(?im)^Content-Length: (\d+)", head)
-    f, revisit = r.fields, r.fields.get("WARC-Type") == "revisit"
+    f, revisit = r.fields, r.fields.get("warc-type") == "revisit"
+    told = re.fullmatch(r"(?i)sha1:([a-z2-7]+)", f.get("warc-payload-digest", ""))
     return {
-        "archive": archive, "offset": r.offset, "size": r.size, "record_type": f.get("WARC-Type"), "page_id": _id(f.get("WARC-Record-ID")), "url": f.get("WARC-Target-URI"),
-        "payload_bytes": int(length[1]) if revisit and length else len(payload), "payload_digest": f["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else digest(payload),
-        "refers_to": _id(f.get("WARC-Refers-To")), "payload": None if revisit else payload,
+        "archive": archive, "offset": r.offset, "size": r.size, "record_type": f.get("warc-type"), "page_id": _id(f.get("warc-record-id")), "url": f.get("warc-target-uri"),
+        "payload_bytes": int(length[1]) if revisit and length else len(payload), "payload_digest": (told[1].upper() if told else None) if revisit else digest(payload),
+        "refers_to": _id(f.get("warc-refers-to")), "payload": None if revisit else payload,
     }
 
 
@@ -195,7 +222,7 @@ def _salvaged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             records, gaps = salvage(data or b"")
             rows = [{"archive": name, "offset": g.offset, "size": g.size, "gap": g.why} for g in gaps]
-            rows += [_page(name, r) for r in records if r.fields.get("WARC-Type") in ("response", "revisit")]
+            rows += [_page(name, r) for r in records if r.fields.get("warc-type") in ("response", "revisit")]
             for i in range(0, len(rows), 512):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 512], schema=_RECORDS)
 
@@ -216,6 +243,26 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(_salvaged, schema)
 
 
+def load_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, data) of the files under a path, each a row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias("data"))
+
+
+def save_archives(archives: DataFrame, folder: str) -> None:
+    """Each row of (archive, data) as a file in a folder that all executors share. A task run again writes the same files."""
+
+    def save(rows) -> None:
+        for r in rows:
+            part = os.path.join(folder, f".{r.archive}.{uuid.uuid4().hex}")
+            with open(part, "wb") as f:
+                f.write(r.data)
+            os.replace(part, os.path.join(folder, r.archive))
+
+    os.makedirs(folder, exist_ok=True)
+    archives.select("archive", "data").foreachPartition(save)
+
+
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages, from archives written to the shared folder and read back."""
     records = read_archives(cut(write_archives(pages, id_col, url_col, html_col)))

@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from strandworks.llm import exact_dedup, language, mixing, ogg, pieces, simhash, toxicity, url_filter, warc
+from strandworks.llm import exact_dedup, language, ogg, simhash, toxicity, url_filter, warc
 
 DOCS = "doc_id long, text string, source string, fp string"
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -119,57 +121,6 @@ def test_bucket_links_lose_no_component(spark, monkeypatch, limit):
     assert root.tolist() == want
 
 
-def test_mix(docs, empty):
-    got = mixing.mix_digest(docs).collect()
-    assert len(got) == len(ROWS)
-    by = defaultdict(lambda: [0, 0, 0.0])
-    for r in got:
-        assert 0 <= r.taken <= 2 * r.size
-        by[r.source_size, r.target][0] += r.taken
-    for (_, target), (taken, *_) in by.items():
-        assert abs(taken - target) <= 2 * mixing.BLOCK
-    assert sorted(map(str, mixing.mix_digest(docs).collect())) == sorted(map(str, got))
-    texts = mixing.mixed_documents(docs)
-    assert texts.columns == docs.columns
-    words = defaultdict(int)
-    for r in texts.collect():
-        whole = re.findall(r"[^\x20\x09-\x0D]+", next(t for i, t, *_ in ROWS if i == r.doc_id))
-        own = r.text.split(" ")
-        assert any(own == whole[k : k + len(own)] for k in range(len(whole))) or len(own) <= len(whole)
-        words[r.doc_id] += len(own)
-    want = defaultdict(int)
-    for r in got:
-        want[r.doc_id] += r.taken
-    assert words == {k: v for k, v in want.items() if v}
-    assert mixing.mix_digest(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
-
-
-def test_permutation_is_one(spark):
-    from pyspark.sql import functions as F
-
-    n = 97
-    rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), mixing.centres(F.lit(n), F.lit(3), 7)).alias("y")).collect()
-    assert sorted(r.y for r in rows) == list(range(n)) and [r.y for r in rows] != list(range(n))
-
-
-def test_pieces_round_trip_and_nbest(docs, empty):
-    rows = pieces.encoded(docs).collect()
-    assert len(rows) == len(ROWS) and all(r.decoded for r in rows)
-    vocabulary = pieces.Vocabulary.of(["▁", "a", "b", "ab", "ba", "▁a", *[f"<{i}>" for i in range(256)]], {0: -2.0, 1: -1.5, 2: -1.7, 3: -2.2, 4: -2.9, 5: -1.9}, {i: 6 + i for i in range(256)})
-    own = pieces.Segmenter(vocabulary, 4)
-
-    def every(t):
-        if not t:
-            return [0.0]
-        return [vocabulary.scores[p] + s for p in vocabulary.scores if t.startswith(p) for s in every(t[len(p) :])]
-
-    for t in ("a", "abab", "baab", "bbb"):
-        best = sorted(every(pieces.SPACE + t), reverse=True)[:4]
-        assert np.allclose([s for s, _ in own.nbest(t)], best)
-        assert all(own.decode(ids) == t for _, ids in own.nbest(t))
-    assert pieces.piece_digest(empty).count() == 0
-
-
 def test_urls(spark):
     urls = ["http://A.org/x?utm_a=1", "http://a.org/x", "https://www.example.org/es/q", "x", None, "http://b.com/de/", "http://b.net/p?utm_s=2", "http://b.net/p#f", "http://b.net", "http://example.org/en/12"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -208,20 +159,92 @@ def test_warc_round_trip_and_salvage(spark):
         at = len(records[0]) + len(records[1]) // 2
         data[at] ^= 0xFF
         found, gaps = warc.salvage(bytes(data))
-        assert [r.fields["WARC-Target-URI"] for r in found] == ["u1", "u3", "u4", "u5"]
+        assert [r.fields["warc-target-uri"] for r in found] == ["u1", "u3", "u4", "u5"]
         assert [(g.offset, g.size) for g in gaps] == [(len(records[0]), len(records[1]))]
 
 
-def test_segments_against_all_pairs():
+def test_warc_fields_files_and_damage_inside_a_member(spark, tmp_path):
+    rows = [(1, "u1", "a"), (1, "u1", "a"), (2, "u2", "a"), (None, None, None)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    warc.save_archives(archives, str(tmp_path))
+    back = warc.read_archives(warc.load_archives(spark, str(tmp_path)))
+    assert sorted(str(r) for r in back.drop("archive", "offset").collect()) == sorted(str(r) for r in warc.read_archives(archives).drop("archive", "offset").collect())
+    got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [("1", "revisit", 2), ("1", "revisit", 2), ("2", "response", None), ("None", "response", None)]
+    plain = b"WARC/1.0\r\nwarc-type: revisit\r\nWARC-RECORD-ID:<urn:page:7>\r\ncontent-length: 0\r\n\r\n\r\n\r\n"
+    found, gaps = warc.salvage(plain)
+    assert not gaps and warc._page("a", found[0])["page_id"] == 7 and warc._page("a", found[0])["payload_digest"] is None
+    good = warc.page_record(5, "u", b"pay", None, False)
+    found, gaps = warc.salvage(warc.compress(good.replace(b"pay", b"PAY", 1) + good) + warc.compress(good))
+    assert [(r.offset > 0) for r in found] == [False, True] and len(gaps) == 1 and gaps[0].size == 0
+    found, gaps = warc.salvage(b"junk" + good + b"\x1f\x8b\x08 no member" + warc.compress(good) + b"tail")
+    assert len(found) == 2 and [g.size for g in gaps] == [4, 13, 4]
+
+
+def _maximal(s):
+    """All maximal scoring segments by their definition: the best one, then those of what is left on both sides."""
+    best, at = 0.0, None
+    for a in range(len(s)):
+        total = 0.0
+        for b in range(a, len(s)):
+            total += s[b]
+            if total > best + 1e-12:
+                best, at = total, (a, b + 1)
+    if at is None:
+        return []
+    a, b = at
+    return [*_maximal(s[:a]), (a, b, best), *[(x + b, y + b, v) for x, y, v in _maximal(s[b:])]]
+
+
+def test_segments_against_the_definition():
     r = random.Random(4)
-    for _ in range(50):
-        s = [r.choice([-1.0, -1.0, 1.5, 2.0]) for _ in range(25)]
-        places = [i for i, x in enumerate(s) if x > 0]
+    for _ in range(200):
+        s = [r.choice([-1.0, -1.0, -2.7183, 1.4142, 2.2361]) * r.uniform(0.9, 1.1) if r.random() < 0.7 else -1.0 for _ in range(r.randint(0, 40))]
+        places = [i for i, x in enumerate(s) if x != -1.0]
         found = toxicity.segments(places, [s[i] for i in places], -1.0)
-        best = max([sum(s[a:b]) for a in range(25) for b in range(a + 1, 26)])
-        if places:
-            assert abs(max(x.score for x in found) - best) < 1e-9
-            assert all(abs(sum(s[x.begin : x.end]) - x.score) < 1e-9 for x in found)
+        want = _maximal(s)
+        assert [(x.begin, x.end) for x in found] == [(a, b) for a, b, _ in want]
+        assert np.allclose([x.score for x in found], [v for *_, v in want])
+
+
+def test_segments_take_linear_time():
+    r = random.Random(5)
+
+    def took(n):
+        scores = [r.choice([1.0, -1.1]) * r.random() for _ in range(n)]
+        began = time.process_time()
+        toxicity.segments(list(range(n)), scores, -0.1)
+        toxicity.segments(list(range(n)), [1.0, *[-1.0, 0.9] * (n // 2)][:n], -0.1)
+        return time.process_time() - began
+
+    assert took(200_000) < 20 * max(took(20_000), 0.005)
+
+
+def test_log_odds_of_all_words():
+    words = [(b"awful", 30, 1), *[(b"awful%d" % i, 3, 0) for i in range(9)], (b"good", 0, 40), (b"the", 20, 20), (b"once", 1, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array([w[i] for w in sorted(words)], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["word", "toxic", "clean"])
+    rows = [r for b in toxicity._entries(90.0, 61.0)(iter([batch])) for r in b.to_pylist()]
+    got = {r["part"]: r["odds"] for r in rows}
+    t, c, whole = 33.1, 4.1, 15.1
+    want = np.log(t / (90 + whole - t)) - np.log(c / (61 + whole - c)) - toxicity.Z * np.sqrt(1 / t + 1 / c)
+    assert abs(got[b"awful"] - want) < 1e-9 and got[b"good"] < 0 and b"the" not in got and b"once" not in got
+    assert b"awful1" not in got and got[b"awful*"] > 0  # rare words are known by their beginning, without the frequent one's counts
+    assert all(r["less_toxic"] <= r["odds"] <= r["less_clean"] for r in rows if r["part"] != b"good")
+    scorer = toxicity.Scorer(got)
+    assert scorer.hits(b"awfulest good zzz")[2] == [got[b"awful*"], got[b"good"]]
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    rows = [(1, "fine words", 0.5, "p"), (1, "fine words", 0.5, "p"), (None, None, None, None), (2, "", 1.0, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, passages string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    assert toxicity.scored(docs, toxicity.train(docs, labels)).columns == ["doc_id", "score", "passages"]
+    exact = exact_dedup.drop_exact_copies(docs.withColumnRenamed("score", "kept").withColumnRenamed("passages", "_sha"))
+    assert exact.columns == ["doc_id", "text", "kept", "_sha"] and exact.count() == 2
+    tagged = docs.withColumnRenamed("passages", "lang")
+    assert language.identified(tagged, language.train(tagged)).columns == ["doc_id", "lang", "lang_pred", "score", "spans"]
 
 
 def test_held_out_accuracy(spark):
