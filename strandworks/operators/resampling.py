@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions.ordering import hash_number, hashed_index, shuffle_key
 from strandworks.functions.stats import cohens_d, percentiles, ranked
+from strandworks.operators.chainwise import chain_sums
+
+#: Features and chains of a block whose weights and contributions are multiplied in one task.
+BLOCK_FEATURES, BLOCK_CHAINS = 64, 4096
 
 
 def validation_split(units: DataFrame, key: str, share: float, seed: int) -> DataFrame:
@@ -62,34 +68,14 @@ def cluster_weights(units: DataFrame, key: str, cluster: str, resamples: int, se
     return again.join(members, [cluster, "_m"]).groupBy("b", key).agg(F.count(F.lit(1)).alias("w"))
 
 
-def contributions(acts: DataFrame, edges: DataFrame, stats: DataFrame, places: DataFrame) -> DataFrame:
+def contributions(acts: DataFrame, places: DataFrame, edges: DataFrame, stats: DataFrame, perms: int, kinds: tuple[str, ...]) -> DataFrame:
     """(perm, kind, uid, feature, active_sum, active_n, all_sum): what each chain adds to the sums behind a score.
 
-    Aggregated by chain and feature before any resample: a resample then only weighs these rows.
-    """
-    pull = edges.groupBy("kind", "uid", F.col("dst").alias("position")).agg(F.sum("w").alias("_c"))
-    every = acts.join(pull, ["uid", "position"]).groupBy("perm", "kind", "uid", "feature").agg(F.sum(F.col("z") * F.col("_c")).alias("all_sum"))
-    active = acts.join(stats.select("feature", "threshold"), "feature").where("z > threshold")
-    count = active.groupBy("perm", "uid", "feature").agg(F.count(F.lit(1)).alias("active_n"))
-    pushed = active.select("perm", "uid", F.col("position").alias("src"), "feature").join(edges, ["uid", "src"])
-    beside = acts.select("perm", "uid", F.col("position").alias("dst"), "feature", "z")
-    near = pushed.join(beside, ["perm", "uid", "dst", "feature"]).groupBy("perm", "kind", "uid", "feature").agg(F.sum(F.col("z") * F.col("w")).alias("active_sum"))
-    kinds = F.broadcast(edges.select("kind").distinct())
-    keys = ["perm", "kind", "uid", "feature"]
-    base = count.join(kinds).join(every, keys, "full").join(near, keys, "left")
-    return base.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("active_sum", "active_n", "all_sum")])
-
-
-def weighted_scores(contrib: DataFrame, weights: DataFrame, stats: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(b, perm, kind, feature, d): scores of all resamples in one grouped plan.
-
-    weights: (b, uid, w); sizes: (uid, length). Denominators are at least 1; without active places their mean is 0.
+    stats: (feature, frac, threshold) with one threshold a feature. Rows that add nothing are left out. A resample then
+    only weighs these rows.
     """
-    n = weights.join(sizes, "uid").groupBy("b").agg(F.sum(F.col("w") * F.col("length")).alias("_n"))
-    sums = contrib.join(weights, "uid").groupBy("b", "perm", "kind", "feature").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("active_sum", "active_n", "all_sum")])
-    out = sums.join(F.broadcast(n), "b").join(stats.select("feature", "std"), "feature")  # one row a resample
-    d = (F.col("active_sum") / F.greatest("active_n", F.lit(1)) - F.col("all_sum") / F.greatest("_n", F.lit(1))) / (F.col("std") + 1e-6)
-    return out.select("b", "perm", "kind", "feature", d.alias("d"))
+    own = chain_sums(acts, places, edges, stats, perms, kinds)
+    return own.where("active_n > 0 OR all_sum <> 0").select("perm", "kind", "uid", "feature", "active_sum", "active_n", "all_sum")
 
 
 def unit_weights(units: DataFrame, key: str, resamples: int, seed: int) -> DataFrame:
@@ -107,19 +93,73 @@ def least_active(contrib: DataFrame, least: int) -> DataFrame:
     return contrib.withColumn("active_sum", F.when(few, 0.0).otherwise(F.col("active_sum"))).withColumn("active_n", F.when(few, F.lit(0)).otherwise(F.col("active_n")))
 
 
-def weighted_deltas(contrib: DataFrame, weights: DataFrame, stats: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(b, kind, feature, delta): observed score less the mean over permutations, of all resamples in one grouped plan.
+def _product(resamples: int):
+    """Sums of a block of chains for a block of features in all resamples: weights times contributions, as one product."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["perm", "kind", "feature", "sums"])
+        weight = np.frombuffer(b"".join(right["w"]), np.uint32).reshape(-1, resamples).astype(np.float64)
+        row = pd.Series(np.arange(len(right)), index=right["uid"].to_numpy()).reindex(left["uid"].to_numpy())
+        left = left[row.notna().to_numpy()]
+        row = row.dropna().to_numpy(np.int64)
+        column, keys = pd.MultiIndex.from_frame(left[["perm", "kind", "feature"]]).factorize()
+        block = np.zeros((len(right), 3, len(keys)))
+        block[row, :, column] = left[["active_sum", "active_n", "all_sum"]].to_numpy(np.float64)
+        sums = (weight.T @ block.reshape(len(right), -1)).reshape(resamples, 3, len(keys))
+        out = keys.to_frame(index=False, name=["perm", "kind", "feature"])
+        return out.assign(sums=[np.ascontiguousarray(sums[:, :, k]).tobytes() for k in range(len(keys))])
+
+    return run
+
+
+def _parts_of_deltas(resamples: int, perms: int):
+    """Of a feature in a graph: what its sums say at the identity less the mean over permutations, for each resample."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        near, whole = np.zeros(resamples), np.zeros(resamples)
+        for perm, own in rows.groupby("perm")["sums"]:
+            total = sum(np.frombuffer(x, np.float64).reshape(resamples, 3) for x in own)
+            share = 1.0 if perm == 0 else -1.0 / max(perms, 1)
+            near += share * total[:, 0] / np.maximum(total[:, 1], 1)
+            whole += share * total[:, 2]
+        return pd.DataFrame({"kind": rows["kind"].iloc[0], "feature": rows["feature"].iloc[0], "b": np.arange(resamples), "near": near, "whole": whole})
 
-    A feature that none of the drawn chains adds to has delta 0. All permutations count, those without a row as 0.
+    return run
+
+
+def _packed(resamples: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"uid": [key[0]], "w": [np.bincount(rows["b"], rows["w"], minlength=resamples).astype(np.uint32).tobytes()]})
+
+    return run
+
+
+def weighted_deltas(contrib: DataFrame, weights: DataFrame, stats: DataFrame, sizes: DataFrame, resamples: int, perms: int, kinds: tuple[str, ...]) -> DataFrame:
+    """(b, kind, feature, delta): observed score less the mean over permutations, for resamples 0 to `resamples` - 1.
+
+    contrib: as above; weights: (b, uid, w); stats: (feature, std); sizes: (uid, length). All are read several times, so
+    cut them. Features and chains are dealt in blocks. Each chain's weights travel as one array to each block of
+    features, contributions travel once, and what leaves a block is an array of sums for each permutation, graph and
+    feature: no row is made for a resample, a chain and a feature. Denominators are at least 1; permutations without a
+    row, and features that none of the drawn chains adds to, count as 0.
     """
-    perms = F.count_distinct(F.when(F.col("perm") > 0, F.col("perm")))
-    many = contrib.agg(F.greatest(perms, F.lit(1)).alias("_perms"))  # one row
-    scores = weighted_scores(contrib, weights, stats, sizes)
-    observed, shuffled = F.sum(F.when(F.col("perm") == 0, F.col("d"))), F.sum(F.when(F.col("perm") > 0, F.col("d")))
-    found = scores.groupBy("b", "kind", "feature").agg(F.coalesce(observed, F.lit(0.0)).alias("_o"), F.coalesce(shuffled, F.lit(0.0)).alias("_s"))
-    cells = weights.select("b").distinct().join(F.broadcast(contrib.select("kind").distinct())).crossJoin(stats.select("feature").distinct())  # a result row each
-    out = cells.join(found, ["b", "kind", "feature"], "left").join(F.broadcast(many))
-    return out.select("b", "kind", "feature", F.coalesce(F.col("_o") - F.col("_s") / F.col("_perms"), F.lit(0.0)).alias("delta"))
+    uid = contrib.schema["uid"].dataType.simpleString()
+    chains = F.pmod(F.xxhash64("uid"), F.lit(-(-sizes.count() // BLOCK_CHAINS) or 1))
+    packed = weights.select("uid", "b", "w").groupBy("uid").applyInPandas(_packed(resamples), f"uid {uid}, w binary").withColumn("chains", chains)
+    own = contrib.withColumn("features", F.floor(F.col("feature") / BLOCK_FEATURES)).withColumn("chains", chains)
+    spread = packed.join(own.select("features", "chains").distinct(), "chains").select(*[F.col(c).alias(c) for c in ("features", "chains", "uid", "w")])
+    keys = ["features", "chains"]
+    sums = own.select(*[F.col(c).alias(c) for c in own.columns]).groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(_product(resamples), "perm int, kind string, feature long, sums binary")
+    parts = sums.groupBy("kind", "feature").applyInPandas(_parts_of_deltas(resamples, perms), "kind string, feature long, b int, near double, whole double")
+    n = weights.join(sizes, "uid").groupBy("b").agg(F.sum(F.col("w") * F.col("length")).alias("_n"))
+    std = stats.select(F.col("feature").cast("long").alias("feature"), "std").distinct()
+    found = parts.join(F.broadcast(n), "b", "left").join(std, "feature")  # a row for each resample
+    delta = (F.col("near") - F.col("whole") / F.greatest(F.coalesce("_n", F.lit(1)), F.lit(1))) / (F.col("std") + 1e-6)
+    cells = std.select("feature", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    none = cells.join(contrib.select("kind", F.col("feature").cast("long").alias("feature")).distinct(), ["kind", "feature"], "left_anti")
+    zeros = none.select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"), "kind", "feature", F.lit(0.0).alias("delta"))
+    return found.select("b", "kind", "feature", delta.alias("delta")).unionByName(zeros)
 
 
 def group_effects(values: DataFrame, value: str, in_a: Column, by: list[str]) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Preparing sequences: filters with reasons, first of each key, caps, coverage, and alignment of two sequences."""
+"""Preparing sequences: filters with reasons, first of each key, caps, coverage, and matched controls."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,54 +55,6 @@ def epochs_for(tokens: Column, steps: list[tuple[int, int]], otherwise: int) ->
     return out.otherwise(otherwise) if out is not None else F.lit(otherwise)
 
 
-def _affine_pairs(a: str, b: str, match: float, mismatch: float, open_: float, extend: float) -> list[tuple[int, int]]:
-    """Aligned places of one best global alignment with affine gaps (Gotoh). Rows are worked on as whole arrays."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return []
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    low = -1e18
-    M, X, Y = (np.full((n + 1, m + 1), low) for _ in range(3))
-    M[0, 0] = 0
-    X[1:, 0] = open_ + extend * np.arange(n)
-    Y[0, 1:] = open_ + extend * np.arange(m)
-    steps = extend * np.arange(m + 1)
-    for i in range(1, n + 1):
-        fit = np.where(y == x[i - 1], match, mismatch)
-        M[i, 1:] = np.maximum(np.maximum(M[i - 1, :-1], X[i - 1, :-1]), Y[i - 1, :-1]) + fit
-        X[i, 1:] = np.maximum(np.maximum(M[i - 1, 1:], Y[i - 1, 1:]) + open_, X[i - 1, 1:] + extend)
-        start = np.maximum(M[i, :-1], X[i, :-1]) + open_ - steps[1:]  # a gap that opens after column j
-        Y[i, 1:] = np.maximum.accumulate(start) + steps[1:]
-    i, j, pairs = n, m, []
-    state = int(np.argmax([M[n, m], X[n, m], Y[n, m]]))
-    while i > 0 or j > 0:
-        if state == 0:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-            state = int(np.argmax([M[i, j], X[i, j], Y[i, j]]))
-        elif state == 1:
-            into = [M[i - 1, j] + open_, X[i - 1, j] + extend, Y[i - 1, j] + open_]
-            i, state = i - 1, int(np.argmax(into))
-        else:
-            into = [M[i, j - 1] + open_, X[i, j - 1] + open_, Y[i, j - 1] + extend]
-            j, state = j - 1, int(np.argmax(into))
-        if i == 0 and j > 0:
-            state = 2
-        elif j == 0 and i > 0:
-            state = 1
-    return pairs[::-1]
-
-
-def aligned_places(pairs: DataFrame, a: str, b: str, match: float = 2, mismatch: float = -1, open_: float = -5, extend: float = -0.5) -> DataFrame:
-    """pairs with `places`: array of (a_pos, b_pos) of one best global alignment of columns a and b. Null is empty."""
-
-    @F.pandas_udf("array<struct<a_pos:int,b_pos:int>>")
-    def align(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([[{"a_pos": i, "b_pos": j} for i, j in _affine_pairs(p or "", q or "", match, mismatch, open_, extend)] for p, q in zip(left, right)])
-
-    return pairs.withColumn("places", align(a, b))
-
-
 def greedy_controls(anchors: DataFrame, candidates: DataFrame, group: str, key: str) -> DataFrame:
     """(group, anchor, control, gap): each anchor in turn takes the nearest candidate by `key` that none has taken.
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.functions import stats
+from strandworks.functions.lineage import cut
 from strandworks.operators import graphs, locality, resampling
 from strandworks.plans import bindings as B
 from strandworks.plans import scores as S
 from strandworks.plans.registry import query, rounded
 
-RESAMPLES, PERMS = 20, 2
+RESAMPLES, MANY, PERMS = 20, 1000, 2
 _STRUCT = "edge AS (SELECT 'struct' AS kind, uid, src, uid AS other, dst FROM contact)"
 _CONTRIB = (
     f"{S.scores_sql(PERMS, _STRUCT)}, ct AS (SELECT pz.perm, k.kind, pz.uid, pz.feature, coalesce(sum(m) FILTER (WHERE z > t), 0) AS active_sum, count(*) FILTER (WHERE z > t) AS active_n, coalesce(sum(m), 0) AS all_sum "
@@ -33,10 +34,10 @@ def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _contrib(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Contributions of chains, and the stats, which stay those of all data in every resample."""
-    places = B.places(spark, sf_dir)
-    stat = locality.feature_stats(B.acts(spark, sf_dir), places, [0.1])
+    places, acts = B.places(spark, sf_dir), B.acts(spark, sf_dir)
+    stat = cut(locality.feature_stats(acts, places, [0.1]))
     contact = graphs.contact_edges(B.coords(spark, sf_dir), max(S.CUTOFFS), 3).select(F.lit("struct").alias("kind"), "uid", "src", "dst")
-    return resampling.contributions(S.moved(spark, sf_dir, PERMS), graphs.weighted(contact, ["kind"]).persist(), stat, places).persist(), stat
+    return resampling.contributions(acts, places, contact, stat, PERMS, ("struct",)), stat
 
 
 @query(B.sql(*S._BASE, then=f"{_CONTRIB} SELECT CAST(perm AS BIGINT) AS perm, kind, uid, feature, round(active_sum, 6) + 0.0 AS active_sum, active_n, round(all_sum, 6) + 0.0 AS all_sum FROM ct WHERE active_n > 0 OR all_sum > 0"))
@@ -71,7 +72,7 @@ def two_stage_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIGMA = "sg AS (SELECT feature, stddev_pop(z) AS s FROM dense GROUP BY feature)"
 _DELTAS = (
-    f"{_CONTRIB}, {draws_sql('places', 'uid', RESAMPLES, 11)}, wa AS (SELECT * FROM w UNION ALL SELECT 0, uid, 1 FROM wu), ln AS (SELECT uid, count(*) AS length FROM places GROUP BY uid), nb AS (SELECT b, sum(w * length) AS n FROM wa JOIN ln USING (uid) GROUP BY b), {_SIGMA}, "
+    f"{_CONTRIB}, {draws_sql('places', 'uid', MANY, 11)}, wa AS (SELECT * FROM w UNION ALL SELECT 0, uid, 1 FROM wu), ln AS (SELECT uid, count(*) AS length FROM places GROUP BY uid), nb AS (SELECT b, sum(w * length) AS n FROM wa JOIN ln USING (uid) GROUP BY b), {_SIGMA}, "
     "ws AS (SELECT b, perm, feature, sum(w * active_sum) AS a, sum(w * active_n) AS c, sum(w * all_sum) AS g FROM ct JOIN wa USING (uid) GROUP BY ALL), wd AS (SELECT ws.b, perm, feature, (a / greatest(c, 1) - g / greatest(n, 1)) / (s + 1e-6) AS d FROM ws JOIN nb USING (b) JOIN sg USING (feature)), "
     "bd AS (SELECT b, feature, max(d) FILTER (WHERE perm = 0) - avg(d) FILTER (WHERE perm > 0) AS delta FROM wd GROUP BY b, feature)"
 )
@@ -81,8 +82,8 @@ def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deltas of all resamples; b = 0 is the data itself."""
     chains = _chains(spark, sf_dir)
     contrib, stat = _contrib(spark, sf_dir)
-    weights = resampling.unit_weights(chains, "uid", RESAMPLES, 11).unionByName(chains.select(F.lit(0).alias("b"), "uid", F.lit(1).alias("w")))
-    return resampling.weighted_deltas(contrib, weights, stat, chains)
+    drawn = resampling.unit_weights(chains, "uid", MANY, 11).unionByName(chains.select(F.lit(0).alias("b"), "uid", F.lit(1).alias("w")))
+    return resampling.weighted_deltas(cut(contrib), cut(drawn), stat, chains, MANY + 1, PERMS, ("struct",))
 
 
 @query(B.sql(*S._BASE, then=f"{_DELTAS} SELECT CAST(b AS BIGINT) AS b, 'struct' AS kind, feature, round(delta, 6) + 0.0 AS delta FROM bd"))
@@ -97,7 +98,7 @@ _ENDS = "round(avg(v), 5) + 0.0 AS boot_mean, round(stddev_samp(v), 5) AS boot_s
 @query(B.sql(*S._BASE, then=f"{_DELTAS}, e AS (SELECT b, {_GROUPS} AS v FROM bd GROUP BY b), t AS (SELECT v, (SELECT v FROM e WHERE b = 0) AS p FROM e WHERE b > 0) SELECT round(max(p), 5) + 0.0 AS point, {_ENDS} FROM t"))
 def boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The effect size between two groups of features, resampled by chains, with both kinds of interval."""
-    effects = resampling.group_effects(_deltas(spark, sf_dir), "delta", F.col("feature") < 32, ["b"]).persist()  # a row a resample, read several times
+    effects = cut(resampling.group_effects(_deltas(spark, sf_dir), "delta", F.col("feature") < 32, ["b"]))  # a row a resample, read several times
     point = effects.where("b = 0").select(F.col("d").alias("p"))  # one row
     return rounded(resampling.intervals(effects.where("b > 0").join(F.broadcast(point)), [], "d", F.max("p")), 5)
 

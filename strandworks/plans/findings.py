@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.functions import stats
-from strandworks.operators import annotations, concepts, contacts, features, graphs, layers, locality, resampling, sequences, vectors
+from strandworks.operators import annotations, concepts, contacts, features, graphs, layers, locality, resampling, vectors
 from strandworks.plans import bindings as B
 from strandworks.plans import scores as S
 from strandworks.plans.registry import query, rounded
@@ -369,14 +369,6 @@ def logistic_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.probe(own, [f"f{i}" for i in range(16)], "y", F.col("uid") % 5 != 0))
 
 
-@query()
-def aligned_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of one best global alignment of each domain's first letters with the next one's."""
-    own = B.domains(spark, sf_dir).select("uid", F.substring("sequence", 1, 60).alias("a"))
-    pairs = own.join(own.select((F.col("uid") - 1).alias("uid"), F.col("a").alias("b")), "uid")
-    return sequences.aligned_places(pairs, "a", "b").select("uid", F.size("places").cast("long").alias("n"))
-
-
 @query("WITH l AS (SELECT l_linestatus AS g, count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity > 25) AS a, count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity <= 25) AS b, count(*) FILTER (WHERE l_returnflag <> 'A' AND l_quantity > 25) AS c, count(*) FILTER (WHERE l_returnflag <> 'A' AND l_quantity <= 25) AS d FROM lineitem WHERE l_orderkey < 200 GROUP BY 1), k AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS x FROM l), p AS (SELECT g, a, x, lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(c + d - a - c + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) AS lp FROM k), o AS (SELECT g, lp AS own FROM p WHERE x = a) SELECT g, round(least(1.0, sum(exp(lp)) FILTER (WHERE lp <= own + 1e-7)), 6) AS p FROM p JOIN o USING (g) GROUP BY g")
 def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, q = F.col("l_returnflag") == "A", F.col("l_quantity") > 25

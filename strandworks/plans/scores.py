@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandworks.functions.lineage import cut
 from strandworks.functions.ordering import within_group_permutation
-from strandworks.operators import graphs, locality, resampling
+from strandworks.operators import chainwise, graphs, locality, resampling
 from strandworks.plans import bindings as B
 from strandworks.plans.registry import query, rounded
 
@@ -47,15 +48,10 @@ def both_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.unionByName(graphs.contact_edges(B.coords(spark, sf_dir), max(CUTOFFS), 3).select(F.lit("struct").alias("kind"), "uid", "src", "dst"))
 
 
-def moved(spark: SparkSession, sf_dir: str, perms: int) -> DataFrame:
-    """Activations at every permutation. Kept on the executors, disks included: several joins read them."""
-    return locality.permuted_acts(B.acts(spark, sf_dir), within_group_permutation(B.places(spark, sf_dir), ["uid"], "position", perms)).persist()
-
-
-def scored(spark: SparkSession, sf_dir: str, edges: DataFrame, perms: int, stats: DataFrame | None = None) -> DataFrame:
-    places = B.places(spark, sf_dir)
-    stats = locality.feature_stats(B.acts(spark, sf_dir), places, [0.1]) if stats is None else stats
-    return locality.locality(moved(spark, sf_dir, perms), places, graphs.weighted(edges.persist(), ["kind"]).persist(), stats)
+def scored(spark: SparkSession, sf_dir: str, edges: DataFrame, perms: int, stats: DataFrame | None = None, kinds: tuple[str, ...] = ("seq", "struct")) -> DataFrame:
+    """Scores at every permutation of edges inside chains, of the given kinds."""
+    acts, places = B.acts(spark, sf_dir), B.places(spark, sf_dir)
+    return chainwise.chain_scores(acts, places, edges, cut(locality.feature_stats(acts, places, [0.1]) if stats is None else stats), perms, kinds)
 
 
 @query(B.sql(*_BASE, then=f"{scores_sql(3)} SELECT CAST(perm AS BIGINT) AS perm, kind, feature, n_active, round(d, 6) + 0.0 AS d FROM sc"))
@@ -122,7 +118,7 @@ def metric_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graphs.contact_edges(B.coords(spark, sf_dir), max(CUTOFFS), min(GAPS))
     many = found.withColumn("gap", F.explode(F.array(*map(F.lit, GAPS)))).where("sep >= gap").select(F.concat(F.lit("gap"), "gap").alias("kind"), "uid", "src", "dst")
     stats = locality.feature_stats(B.acts(spark, sf_dir), B.places(spark, sf_dir), list(FRACS))
-    return rounded(locality.deltas(scored(spark, sf_dir, many, 2, stats)).select("kind", "frac", "feature", "delta"))
+    return rounded(locality.deltas(scored(spark, sf_dir, many, 2, stats, tuple(f"gap{g}" for g in GAPS))).select("kind", "frac", "feature", "delta"))
 
 
 _CUTOFF = f"edge AS (SELECT 'cut' || CAST(c.cut AS VARCHAR) AS kind, uid, src, uid AS other, dst FROM contact JOIN (SELECT unnest({[int(100 * c) for c in CUTOFFS]}) AS cut) c ON dist <= c.cut / 100)"
@@ -133,7 +129,7 @@ def cutoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contact cutoffs; contacts are found once, at the widest."""
     found = graphs.contact_edges(B.coords(spark, sf_dir), max(CUTOFFS), 3)
     many = found.withColumn("cut", F.explode(F.array(*[F.lit(int(100 * c)) for c in CUTOFFS]))).where("dist <= cut / 100").select(F.concat(F.lit("cut"), "cut").alias("kind"), "uid", "src", "dst")
-    return rounded(locality.deltas(scored(spark, sf_dir, many, 2)).select("kind", "feature", "delta"))
+    return rounded(locality.deltas(scored(spark, sf_dir, many, 2, kinds=tuple(f"cut{int(100 * c)}" for c in CUTOFFS))).select("kind", "feature", "delta"))
 
 
 _WINDOW = "wd AS (SELECT a.uid, a.position AS src, b.position AS dst, width FROM places a JOIN places b ON a.uid = b.uid AND a.position <> b.position JOIN (SELECT unnest([1, 2, 3]) AS width) w ON abs(a.position - b.position) <= width), edge AS (SELECT 'raw' || width AS kind, uid, src, uid AS other, dst FROM wd UNION ALL SELECT 'between' || width, uid, src, uid, dst FROM wd WHERE src // 3 <> dst // 3)"
@@ -146,7 +142,7 @@ def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = B.places(spark, sf_dir).withColumn("token", F.expr("position div 3"))
     raw = many.select(F.concat(F.lit("raw"), "width").alias("kind"), "uid", "src", "dst")
     between = graphs.between_tokens(many, tokens).select(F.concat(F.lit("between"), "width").alias("kind"), "uid", "src", "dst")
-    return rounded(locality.deltas(scored(spark, sf_dir, raw.unionByName(between), 2)).select("kind", "feature", "delta"))
+    return rounded(locality.deltas(scored(spark, sf_dir, raw.unionByName(between), 2, kinds=tuple(f"{k}{w}" for k in ("raw", "between") for w in WINDOWS))).select("kind", "feature", "delta"))
 
 
 _FIXED = "sx AS (SELECT median(z) AS s0 FROM dense WHERE z > 0), st AS (SELECT feature, stddev_pop(z) AS s, unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS frac, unnest([0.5, 1.0, 2.0]::DOUBLE[]) * max(s0) AS t FROM dense, sx GROUP BY feature)"
@@ -194,11 +190,10 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(B.sql(*_BASE, then=f"{VAL_SQL}, dv AS (SELECT * FROM dense WHERE uid IN (SELECT uid FROM vl)), {scores_sql(2, stats=fraction_sql((0.1,), 'dv'), dense='dv')}, {DELTA_SQL} SELECT kind, feature, round(observed - shuffled, 6) + 0.0 AS delta FROM dl"))
 def validation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the validation chains alone: deviations and thresholds are theirs too."""
-    val = F.broadcast(validation(spark, sf_dir))  # ids of chains
-    acts, places = (f(spark, sf_dir).join(val, "uid", "left_semi") for f in (B.acts, B.places))
-    edges = both_graphs(spark, sf_dir).join(val, "uid", "left_semi")
-    own = locality.permuted_acts(acts, within_group_permutation(places, ["uid"], "position", 2))
-    return rounded(locality.deltas(locality.locality(own, places, graphs.weighted(edges, ["kind"]), locality.feature_stats(acts, places, [0.1]))).select("kind", "feature", "delta"))
+    val = validation(spark, sf_dir)
+    acts, places, edges = (f(spark, sf_dir).join(val, "uid", "left_semi") for f in (B.acts, B.places, both_graphs))
+    own = chainwise.chain_scores(acts, places, edges, cut(locality.feature_stats(acts, places, [0.1])), 2, ("seq", "struct"))
+    return rounded(locality.deltas(own).select("kind", "feature", "delta"))
 
 
 _NULLS = (
@@ -213,9 +208,13 @@ def null_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contact graph's scores beside those of a degree-matched and of a global random graph."""
     places = B.places(spark, sf_dir)
     contact = graphs.contact_edges(B.coords(spark, sf_dir), max(CUTOFFS), 3).select("uid", "src", "dst")
-    own = lambda df, kind: df.select(F.lit(kind).alias("kind"), "uid", "src", "other" if "other" in df.columns else F.col("uid").alias("other"), "dst")
-    edges = own(contact, "contact").unionByName(own(graphs.degree_matched_null(places, contact, 7), "degree")).unionByName(own(graphs.global_null(places, contact, 9), "global"))
-    own_deltas = locality.deltas(scored(spark, sf_dir, edges, 2)).persist()  # a row for each feature and graph, read several times
+    inside = contact.withColumn("kind", F.lit("contact")).unionByName(graphs.degree_matched_null(places, contact, 7).withColumn("kind", F.lit("degree")))
+    across = graphs.weighted(graphs.global_null(places, contact, 9).withColumn("kind", F.lit("global")), ["kind"])
+    acts, stats = B.acts(spark, sf_dir), cut(locality.feature_stats(B.acts(spark, sf_dir), places, [0.1]))
+    moved = locality.permuted_acts(acts, within_group_permutation(places, ["uid"], "position", 2))
+    # neighbours in other chains are joined row by row, those of the chain are summed up in one pass over it
+    both = scored(spark, sf_dir, inside, 2, stats, ("contact", "degree")).unionByName(locality.locality(moved, places, across, stats))
+    own_deltas = cut(locality.deltas(both))  # a row for each feature and graph, read several times
     out = locality.null_summary(own_deltas, "kind", "delta", "contact")
     return rounded(out.withColumn("ratio", F.round("ratio", 3)), 5)
 
@@ -230,7 +229,7 @@ def token_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     between = graphs.between_tokens(band, B.places(spark, sf_dir).withColumn("token", F.expr("position div 3")))
     edges = band.select(F.lit("raw").alias("kind"), "uid", "src", "dst").unionByName(between.select(F.lit("between").alias("kind"), "uid", "src", "dst"))
     raw = lambda c, v, f: f(F.when(F.col("kind") == v, F.col(c)))
-    means = locality.deltas(scored(spark, sf_dir, edges, 2)).agg(raw("delta", "raw", F.avg).alias("raw_delta"), raw("delta", "between", F.avg).alias("corrected_delta"))
+    means = locality.deltas(scored(spark, sf_dir, edges, 2, kinds=("raw", "between"))).agg(raw("delta", "raw", F.avg).alias("raw_delta"), raw("delta", "between", F.avg).alias("corrected_delta"))
     counts = edges.agg(raw("uid", "raw", F.count).alias("edges"), raw("uid", "between", F.count).alias("between_edges"))
     out = counts.crossJoin(means)  # a row each
     out = out.withColumn("excluded_pct", 100 * (F.col("edges") - F.col("between_edges")) / F.col("edges")).withColumn("reduction_pct", 100 * (F.col("raw_delta") - F.col("corrected_delta")) / F.nullif("raw_delta", F.lit(0.0)))

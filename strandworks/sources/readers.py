@@ -30,21 +30,26 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return out.where("uid <> ''")
 
 
-def read_structures(spark: SparkSession, path: str, least: int = 5) -> DataFrame:
-    """(file, chain, ordinal, letter, x, y, z) of the alpha carbons of the first model in fixed-width structure files.
-
-    Only each file's first chain with `least` of them or more; letters of unknown codes are X.
+def read_chains(spark: SparkSession, path: str) -> DataFrame:
+    """(file, chain, first, ordinal, letter, x, y, z) of the alpha carbons of every chain of the first model in fixed-width
+    structure files. first: the line of a chain's first one; ordinals count from 0 in each chain; letters of unknown codes are X.
     """
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_extract("value", r"(?s)\A(.*?)(?:\nENDMDL|\z)", 1).alias("text"))
     rows = lines.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line", "v")).where(F.substring("v", 1, 6).isin("ATOM  ") & (F.trim(F.substring("v", 13, 4)) == "CA") & F.substring("v", 17, 1).isin(" ", "A"))
     names = F.create_map(*[F.lit(x) for kv in LETTERS.items() for x in kv])
     number = lambda a: F.trim(F.substring("v", a, 8)).try_cast("double")
     cols = rows.select("file", "line", F.substring("v", 22, 1).alias("chain"), F.coalesce(F.try_element_at(names, F.upper(F.substring("v", 18, 3))), F.lit("X")).alias("letter"), number(31).alias("x"), number(39).alias("y"), number(47).alias("z"))
-    sizes = cols.groupBy("file", "chain").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first")).where(F.col("n") >= least)
-    chosen = sizes.groupBy("file").agg(F.min_by("chain", "first").alias("chain"))
-    own = cols.join(chosen, ["file", "chain"])
-    order = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
-    return own.withColumn("ordinal", order).select("file", "chain", "ordinal", "letter", "x", "y", "z")
+    of_chain = Window.partitionBy("file", "chain")
+    numbered = cols.withColumn("ordinal", F.row_number().over(of_chain.orderBy("line")) - 1).withColumn("first", F.min("line").over(of_chain))
+    return numbered.select("file", "chain", "first", "ordinal", "letter", "x", "y", "z")
+
+
+def read_structures(spark: SparkSession, path: str, least: int = 5) -> DataFrame:
+    """(file, chain, ordinal, letter, x, y, z): of each file only the first chain with `least` alpha carbons or more."""
+    chains = read_chains(spark, path)
+    long = chains.groupBy("file", "chain").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= least)
+    chosen = long.groupBy("file").agg(F.min_by("chain", "first").alias("chain"))
+    return chains.drop("first").join(chosen, ["file", "chain"], "left_semi")
 
 
 def read_sequences(spark: SparkSession, path: str, uids: list[str] | None = None) -> DataFrame:

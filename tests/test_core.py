@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandworks.functions import stats
 from strandworks.functions.ordering import within_group_permutation
-from strandworks.operators import graphs, locality, sequences, vectors
+from strandworks.operators import alignment, graphs, locality, sequences, vectors
 
 
 def test_cohens_d_by_hand(spark):
@@ -57,7 +57,7 @@ def test_islands_and_alignment(spark):
     rows = spark.createDataFrame([("a", p, m) for p, m in enumerate("xxyyxz")], "uid string, position int, mark string")
     assert [r.run for r in graphs.islands(rows, ["uid"], "position", "mark").orderBy("position").collect()] == [0, 0, 2, 2, 4, 5]
     pair = spark.createDataFrame([("ACDEF", "ACEF"), (None, "A")], "a string, b string")
-    got = [[(p.a_pos, p.b_pos) for p in r.places] for r in sequences.aligned_places(pair, "a", "b").collect()]
+    got = [[(p.a_pos, p.b_pos) for p in r.places] for r in alignment.aligned_places(pair, "a", "b").collect()]
     assert [(0, 0), (3, 2), (4, 3)] == [p for p in got[0] if p != (1, 1)] and got[1] == []
 
 

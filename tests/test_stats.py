@@ -68,17 +68,20 @@ def test_weights_and_intervals(spark):
     assert abs(got.pct_lo - np.percentile(range(-3, 8), 2.5)) < 1e-9 and abs(got.frac_pos - 7 / 11) < 1e-9 and abs(got.p_le_0 - 4 / 11) < 1e-9
 
 
-def test_grouped_resamples_equal_a_loop(spark):
+def test_grouped_resamples_equal_a_loop(spark, monkeypatch):
     r = random.Random(4)
     contrib = [(perm, "s", u, f, r.random(), r.randint(0, 3), r.random()) for perm in range(3) for u in range(6) for f in range(4) if r.random() < 0.8]
     lengths = {u: 10 + u for u in range(6)}
     weights = [(b, u, w) for b in range(5) for u in range(6) if (w := r.randint(0, 2))]
-    std = {f: 0.5 + f for f in range(4)}
+    std = {f: 0.5 + f for f in range(5)}  # no chain adds to the last feature
+    monkeypatch.setattr(resampling, "BLOCK_FEATURES", 2)
+    monkeypatch.setattr(resampling, "BLOCK_CHAINS", 2)
     got = resampling.weighted_deltas(
         spark.createDataFrame(contrib, "perm int, kind string, uid int, feature int, active_sum double, active_n int, all_sum double"), spark.createDataFrame(weights, "b int, uid int, w int"),
-        spark.createDataFrame(list(std.items()), "feature int, std double"), spark.createDataFrame(list(lengths.items()), "uid int, length int"),
+        spark.createDataFrame(list(std.items()), "feature int, std double"), spark.createDataFrame(list(lengths.items()), "uid int, length int"), 5, 2, ("s",),
     )
     table = {(p, u, f): (a, n, g) for p, _, u, f, a, n, g in contrib}
+    assert got.count() == 5 * 5
     for x in got.collect():
         w = {u: k for b, u, k in weights if b == x.b}
         total = sum(k * lengths[u] for u, k in w.items())
