@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from strandworks.functions.running import running, running_sums, with_ranges
+
 
 def cohens_d(value: Column, in_a: Column, kind: str = "sample") -> Column:
     """Aggregate: effect size between the rows where in_a holds and those where it doesn't.
@@ -92,26 +94,24 @@ def average_rank(by: list[str], value: str) -> Column:
 def with_bh(rows: DataFrame, p: str, by: list[str], out: str = "q") -> DataFrame:
     """rows with Benjamini-Hochberg q inside groups: n p / rank, made monotone from the largest p down, from 0 to 1.
 
-    Equal p have one q, that of the last of them in rank, so the windows run over a group's distinct p. A null p has a
+    Equal p have one q, that of the last of them in rank, so sums run over a group's distinct p, and by ranges. A null p has a
     null q and doesn't count.
     """
     counted = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_m"))
-    order = Window.partitionBy(*by).orderBy(p)
-    raw = counted.withColumn("_raw", F.col(p) * F.sum("_m").over(Window.partitionBy(*by)) / F.sum("_m").over(order))
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = raw.select(*by, p, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min("_raw").over(down))).alias(out))
-    return rows.join(q, [*by, p], "left")
+    ranks = running(with_ranges(counted, by, p), by, p, ["_m"])
+    n = counted.groupBy(*by).agg(F.sum("_m").alias("_n"))
+    raw = (ranks.join(n, by) if by else ranks.crossJoin(n)).withColumn("_raw", F.col(p) * F.col("_n") / F.col("_m_upto"))  # without groups, one row
+    q = running(raw, by, p, ["_raw"], falling=True, least=True)
+    return rows.join(q.select(*by, p, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "_raw_upto")).alias(out)), [*by, p], "left")
 
 
 def mann_whitney(rows: DataFrame, value: str, in_a: Column, by: list[str]) -> DataFrame:
     """by, n_a, n_b, u, z, p_greater, p_less, p_two_sided: normal approximation with tie and continuity corrections.
 
-    Ranks come from counts of each distinct value, so equal values never meet as rows: the windows run over distinct
-    values of a group.
+    Ranks come from counts of each distinct value, so equal values never meet as rows, and counts are added up by ranges.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.when(in_a, 1)).alias("a"), F.count(F.lit(1)).alias("m"))
-    before = F.sum("m").over(Window.partitionBy(*by).orderBy(value)) - F.col("m")
-    ranked = counted.withColumn("rank", before + (F.col("m") + 1) / 2)
+    ranked = running_sums(counted, by, value, ["m"]).withColumn("rank", F.col("m_upto") - (F.col("m") - 1) / 2)
     sums = ranked.groupBy(*by).agg(
         F.sum("a").alias("n_a"), F.sum(F.col("m") - F.col("a")).alias("n_b"), F.sum(F.col("a") * F.col("rank")).alias("_ra"), F.sum(F.pow(F.col("m").cast("double"), 3) - F.col("m")).alias("_ties")
     )
@@ -130,8 +130,7 @@ def wilcoxon(pairs: DataFrame, difference: str, by: list[str]) -> DataFrame:
     """by, n, w_plus, w_minus, z, p_two_sided of the signed-rank test; zero differences are dropped."""
     own = pairs.where(F.col(difference) != 0).withColumn("_abs", F.abs(difference))
     counted = own.groupBy(*by, "_abs").agg(F.count(F.when(F.col(difference) > 0, 1)).alias("plus"), F.count(F.lit(1)).alias("m"))
-    before = F.sum("m").over(Window.partitionBy(*by).orderBy("_abs")) - F.col("m")
-    ranked = counted.withColumn("rank", before + (F.col("m") + 1) / 2)
+    ranked = running_sums(counted, by, "_abs", ["m"]).withColumn("rank", F.col("m_upto") - (F.col("m") - 1) / 2)
     sums = ranked.groupBy(*by).agg(
         F.sum("m").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("m") - F.col("plus")) * F.col("rank")).alias("w_minus"), F.sum(F.pow(F.col("m").cast("double"), 3) - F.col("m")).alias("_ties")
     )
@@ -246,10 +245,10 @@ def correlation_p(r: Column, n: Column) -> Column:
 
 
 def ranked(rows: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """rows with average ranks from 1 in `out`. Ranks are found among a group's distinct values, not its rows."""
+    """rows with average ranks from 1 in `out`. Ranks are found among a group's distinct values, not its rows, and by ranges."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
-    upto = F.sum("_m").over(Window.partitionBy(*by).orderBy(value))
-    return rows.join(counted.select(*by, value, (upto - (F.col("_m") - 1) / 2).alias(out)), [*by, value], "left")
+    found = running_sums(counted, by, value, ["_m"]).select(*by, value, (F.col("_m_upto") - (F.col("_m") - 1) / 2).alias(out))
+    return rows.join(found, [*by, value], "left")
 
 
 def rank_correlations(rows: DataFrame, values: list[str], by: list[str]) -> DataFrame:
