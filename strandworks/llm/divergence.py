@@ -15,7 +15,7 @@ f = floor((p - q)^2 / q).
 
 Cases: null lang, source and text are empty strings; a group without terms is there, with all counts zero; a language
 that keeps no term gives its pairs 0 and no terms; repeated rows and ids count as documents of their own; an empty table
-gives no rows; further columns are left alone. Counts are exact up to 10^18.
+gives no rows; further columns are left alone. Counts are exact up to 9 * 10^15.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, binary_values, cut, parts, small_batches, utf8
+from .common import binary_values, cut, parts, small_batches, utf8
 
 #: Documents of a language that have a term it keeps.
 MIN_DOCS = 3
@@ -37,7 +38,7 @@ TOP = 200
 #: Skybands that one task merges.
 FAN = 16
 #: Distinct terms that a task holds before it hands them on, and bytes of a text that are split at a time.
-HELD, PIECE = 300_000, 1 << 20
+HELD, PIECE = 600_000, 1 << 20
 #: Rows of a group that wait until its skyband is found anew, and rows held against the skyband at a time.
 WAIT, BLOCK = 8192, 512
 
@@ -91,11 +92,16 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def skyband(n: np.ndarray, lang_n: np.ndarray, term: list[bytes], k: int) -> np.ndarray:
+def skyband(n: np.ndarray, lang_n: np.ndarray, term: pa.Array, k: int) -> np.ndarray:
     """Places of the rows that fewer than k others dominate: n no less, lang_n no more, term earlier. Terms are distinct."""
     rank = np.empty(len(term), np.int64)
-    rank[sorted(range(len(term)), key=term.__getitem__)] = np.arange(len(term))
+    rank[pc.sort_indices(term.cast(pa.binary())).to_numpy()] = np.arange(len(term))
     order = np.lexsort((rank, lang_n, -n))  # whatever dominates a row comes before it
+    if not len(order):
+        return order
+    # of rows with the same counts, each dominates all later ones
+    first = np.flatnonzero(np.concatenate([[True], (n[order][1:] != n[order][:-1]) | (lang_n[order][1:] != lang_n[order][:-1])]))
+    order = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
     held, low, early = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     for i in range(0, len(order), BLOCK):
         own = order[i : i + BLOCK]
@@ -106,42 +112,63 @@ def skyband(n: np.ndarray, lang_n: np.ndarray, term: list[bytes], k: int) -> np.
         good = own[above + beside < k]
         held.append(good)
         low, early = np.concatenate([low, lang_n[good]]), np.concatenate([early, rank[good]])
-    return np.concatenate(held) if held else np.zeros(0, np.int64)
+    return np.concatenate(held)
+
+
+def _gathered(it: Iterator[pa.RecordBatch], rows: int = 65536) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    held, n = [], 0
+    for batch in it:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
 
 
 def _bands(k: int):
     """The skyband of each group among the rows of a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list] = {}  # rows, and how many of them are a skyband already
-
-        def pruned(own: list) -> None:
-            n, lang_n, term = own[:3]
-            keep = skyband(np.array(n, np.int64), np.array(lang_n, np.int64), term, k).tolist()
-            own[:] = [[n[i] for i in keep], [lang_n[i] for i in keep], [term[i] for i in keep], len(keep)]
-
-        for batch in it:
-            rows = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), binary_values(batch.column("term")), batch.column("n").to_pylist(), batch.column("lang_n").to_pylist())
-            for lang, source, term, n, lang_n in rows:
-                own = held.get((lang, source))
-                if own is None:
-                    own = held[lang, source] = [[], [], [], 0]
-                own[0].append(n)
-                own[1].append(lang_n)
-                own[2].append(term)
-                if len(own[0]) >= WAIT + 2 * own[3]:
-                    pruned(own)
-        for (lang, source), own in held.items():
-            pruned(own)
-            columns = {"lang": [lang] * own[3], "source": [source] * own[3], "term": pa.array(own[2], pa.binary()).cast(pa.string()), "n": own[0], "lang_n": own[1]}
-            yield from batches(_BAND, columns) if own[3] else ()
+        held: dict[tuple[str, str], tuple[list[pa.RecordBatch], int, int]] = {}  # rows, how many, and how many of those are a skyband
+
+        def pruned(own: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.concat_batches(own)
+            return whole.take(pa.array(skyband(whole.column("n").to_numpy(), whole.column("lang_n").to_numpy(), whole.column("term"), k)))
+
+        for batch in _gathered(it):
+            lang, source = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
+            code = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1], [True]]))
+            rows = batch.select(["term", "n", "lang_n"]).take(pa.array(order))
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                at = divmod(int(code[order[s]]), len(source.dictionary))
+                key = (lang.dictionary[at[0]].as_py(), source.dictionary[at[1]].as_py())
+                own, size, band = held.get(key, ([], 0, 0))
+                own.append(rows.slice(s, e - s))
+                size += e - s
+                if size >= WAIT + 2 * band:
+                    own = [pruned(own)]
+                    size = band = own[0].num_rows
+                held[key] = (own, size, band)
+        for (lang, source), (own, _, _) in held.items():
+            rows = pruned(own)
+            for i in range(0, rows.num_rows, 8192):
+                some = rows.slice(i, 8192)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * some.num_rows, pa.string()), pa.array([source] * some.num_rows, pa.string()), *some.columns], schema=_BAND)
 
     return run
 
 
 def _share(n: str | int, total: str, terms: str) -> Column:
-    """p of a term that occurs n times, in whole numbers."""
-    return F.expr(f"1 + CAST(1000000000 AS DECIMAL(10,0)) * CAST({n} + 1 AS DECIMAL(19,0)) div CAST(greatest({total} + {terms}, 1) AS DECIMAL(19,0))")
+    """p of a term that occurs n times, in whole numbers: three decimals at a time, so that nothing overflows."""
+    whole, one = f"greatest({total} + {terms}, 1L)", f"1000L * ({n} + 1L)"
+    two = f"1000L * (({one}) % {whole})"
+    three = f"1000L * (({two}) % {whole})"
+    return F.expr(f"1L + 1000000L * (({one}) div {whole}) + 1000L * (({two}) div {whole}) + ({three}) div {whole}")
 
 
 def _apart(p: str, q: str) -> str:

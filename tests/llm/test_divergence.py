@@ -97,8 +97,9 @@ def test_skyband(seed, monkeypatch):
     r = random.Random(seed)
     n = 300
     a, b = np.array([r.randrange(1 + 5 * seed + 2) for _ in range(n)]), np.array([r.randrange(1 + 4 * seed + 2) for _ in range(n)])
-    term = [f"{r.randrange(10**6)}-{i}".encode() for i in range(n)]
+    term = pa.array([f"{r.randrange(10**6)}-{i}" for i in range(n)])
+    words = [t.encode() for t in term.to_pylist()]
     for k in (1, 3, 20):
-        want = {i for i in range(n) if sum(j != i and a[j] >= a[i] and b[j] <= b[i] and term[j] < term[i] for j in range(n)) < k}
+        want = {i for i in range(n) if sum(j != i and a[j] >= a[i] and b[j] <= b[i] and words[j] < words[i] for j in range(n)) < k}
         assert set(divergence.skyband(a, b, term, k).tolist()) == want
-    assert divergence.skyband(np.zeros(0, np.int64), np.zeros(0, np.int64), [], 3).tolist() == []
+    assert divergence.skyband(np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string()), 3).tolist() == []
