@@ -8,14 +8,15 @@ MATCHES coordinates or more are held against each other; at a similarity of 0.85
   only those coordinate-value pairs are posted.
 * Counting: whoever meets in a list is compared by digests of whole signatures, 4 bits a coordinate, which never count too
   few agreements, and by parity bitmaps of the sets, which never differ in more bits than the sets do in members.
-* Skipping: each list first links its members to their next neighbours. A list whose members are in one component by then
-  needs no more; in others, members of the largest component are only met by the rest. A list that would still take more
-  than WORK comparisons is passed over: its members are posted again under that list and each later coordinate. Of the
-  coordinates in which a pair agrees, the r-th is among the first COORDINATES - MATCHES + r, so no pair is lost.
+* Skipping: each list first links its members to their next neighbours, in an order of its own. A list whose members are in
+  one component by then needs no more. In others, pairs are passed over whose ends are tied already, so that a list gives
+  fewer pairs than it has components; it is gone through again where such a pair turns out not to be similar. A list that
+  would take more than WORK comparisons is passed over whole: its members are posted again under that list and each later
+  coordinate. Of the coordinates in which a pair agrees, the r-th is among the first COORDINATES - MATCHES + r, so no pair
+  is lost.
 
 Candidates are sifted by bitmaps as wide as their sets ask for, then confirmed on the full sets: first each set's best
-partner, then all that are still in different components. Equal sets are one node from the start, so copies are never
-paired.
+partner, then others that lie in different components. Equal sets are one node from the start, so copies are never paired.
 
 Cases: null and white-space texts have an empty set and link with nothing; texts of fewer words than a shingle have one, all
 of it; a null id is never a component's id unless all of the component's are null; rows that repeat an id each get their
@@ -24,7 +25,7 @@ row; an empty table gives no rows; further columns are left alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,11 @@ from .components import components
 SHARE = (85, 100)
 COORDINATES, MATCHES = 64, 36
 #: Neighbours in a list that are compared at first.
-NEXT = 4
+NEXT = 2
 #: Comparisons in a list that one task makes, and how often longer lists are dealt anew.
 WORK, DEPTH = 20_000_000, 4
+#: Turns after which a list's pairs all come out.
+TURNS = 5
 #: Shingles in sets that a task keeps while it confirms.
 CACHE = 400_000
 
@@ -49,12 +52,13 @@ CACHE = 400_000
 _DIGEST = [f"d{i}" for i in range(COORDINATES // 16)]
 _PARITY = [f"b{i}" for i in range(4)]
 _LONGS = ("n", *_DIGEST, *_PARITY)
+_COMPARED_DDL = ", ".join(f"{c} long" for c in ("token", "last", "node", "root", "bar", *_LONGS)) + ", wide binary"
 _NIBBLE = np.uint64(0x1111111111111111)
 
 _SETS = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("signature", pa.binary()), ("wide", pa.binary())])
 _POSTINGS = pa.schema([(c, pa.int64()) for c in ("token", "last", "node", *_LONGS)])
-_MET = pa.schema([(c, pa.int64()) for c in ("token", "last", "node", "a", "b")])
-_MET_DDL = "token long, last long, node long, a long, b long"
+_MET = pa.schema([(c, pa.int64()) for c in ("token", "last", "node", "a", "b", "agree")])
+_MET_DDL = "token long, last long, node long, a long, b long, agree long"
 
 
 def shingle_set(text: bytes, words: int = 3) -> set[bytes]:
@@ -158,7 +162,7 @@ def _deeper(depth: int):
     return run
 
 
-def _lists(it: Iterator[pa.RecordBatch], rows: int = 100_000, size: int = 1 << 25) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def lists(it: Iterator[pa.RecordBatch], rows: int = 100_000, size: int = 1 << 25) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """Batches sorted by token as arrays (columns, rows) that split no list, where lists begin, with the end, and the column
     `wide` where there is one."""
     held: list[np.ndarray] = []
@@ -213,67 +217,99 @@ class Bitmaps:
 
 
 def _can_link(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether sets can be similar and their signatures agree in MATCHES coordinates, by sizes, digests and parities."""
-    n, m = one[0], other[0]
-    good = SHARE[1] * np.minimum(n, m) >= SHARE[0] * np.maximum(n, m)
-    at = np.flatnonzero(good)
-    one, other = one[:, at], other if other.shape[1] < len(good) else other[:, at]
+    """In how many coordinates signatures may agree, where that is MATCHES or more and sizes, digests and parities allow the
+    similarity; elsewhere 0."""
+    out = np.zeros(max(one.shape[1], other.shape[1]), np.int64)
+    at = np.flatnonzero(SHARE[1] * np.minimum(one[0], other[0]) >= SHARE[0] * np.maximum(one[0], other[0]))
+    one, other = one[:, at], other if other.shape[1] < len(out) else other[:, at]
     differ = (one[1:] ^ other[1:]).view(np.uint64)
     nibbles, parity = differ[: len(_DIGEST)], differ[len(_DIGEST) :]
     nibbles = nibbles | nibbles >> np.uint64(2)
     nibbles = (nibbles | nibbles >> np.uint64(1)) & _NIBBLE
-    close = np.bitwise_count(nibbles).sum(axis=0, dtype=np.int64) <= COORDINATES - MATCHES
-    close &= _can_be(one[0], other[0], np.bitwise_count(parity).sum(axis=0, dtype=np.int64))
-    good[at] = close
-    return good
+    agree = COORDINATES - np.bitwise_count(nibbles).sum(axis=0, dtype=np.int64)
+    close = (agree >= MATCHES) & _can_be(one[0], other[0], np.bitwise_count(parity).sum(axis=0, dtype=np.int64))
+    out[at] = np.where(close, agree, 0)
+    return out
 
 
-def _pairs_out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs_out(a: np.ndarray, b: np.ndarray, agree: np.ndarray, token: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(a), 16384):
         x, y = a[k : k + 16384], b[k : k + 16384]
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(x), pa.int64())] * 3, pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=_MET)
+        first = pa.nulls(len(x), pa.int64()) if token is None else pa.array(token[k : k + 16384])
+        yield pa.RecordBatch.from_arrays([first, *[pa.nulls(len(x), pa.int64())] * 2, pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(agree[k : k + 16384])], schema=_MET)
 
 
 def _lists_out(token: np.ndarray, last: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(token), 16384):
         own = [pa.array(x[k : k + 16384]) for x in (token, last, node)]
-        yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(own[0]), pa.int64())] * 2], schema=_MET)
+        yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(own[0]), pa.int64())] * 3], schema=_MET)
 
 
 def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among near neighbours of each list, and again the members of lists that hold more pairs."""
-    for block, edges, _ in _lists(it):
+    """Candidates among next neighbours of each list, and again the members of lists that hold more pairs."""
+    for block, edges, _ in lists(it):
         size = np.diff(edges)
         end = np.repeat(edges[1:], size)
         for shift in range(1, NEXT + 1):
             i = np.flatnonzero(end > np.arange(len(end)) + shift)
-            hit = i[_can_link(block[3:, i], block[3:, i + shift])]
-            yield from _pairs_out(block[2, hit], block[2, hit + shift])
+            agree = _can_link(block[3:, i], block[3:, i + shift])
+            i, agree = i[agree > 0], agree[agree > 0]
+            yield from _pairs_out(block[2, i], block[2, i + shift], agree)
         more = np.flatnonzero(np.repeat(size > NEXT + 1, size))
         yield from _lists_out(*block[:3, more])
 
 
-def _across(deal: bool):
-    """Candidates of each list that lie in different components; lists that take too much work again, if they may be dealt.
-    Columns: token, last, node, root, and what is compared, the wide bitmaps included: few pairs that don't link are left."""
+def forest(node: np.ndarray, root: np.ndarray, barred: set[tuple[int, int]], similar: Callable[[int, np.ndarray], np.ndarray], all_pairs: bool) -> Iterator[tuple[int, int]]:
+    """Pairs (places of members) that tie together the components of a list as all its similar pairs do, barred ones left out.
+
+    similar(i, places): which of the places may be similar to i. A pair whose ends are tied already is passed over, so a
+    list gives fewer pairs than it has components; with all_pairs, every pair of different components comes out.
+    """
+    order = np.argsort(node, kind="stable")
+    _, tied = np.unique(root[order], return_inverse=True)
+    largest = np.bincount(tied).argmax()
+    for i in np.flatnonzero(tied != largest).tolist():
+        # members of the largest component don't look; of others, the later one looks back
+        met = np.flatnonzero((tied != tied[i]) & ((tied == largest) | (np.arange(len(tied)) < i)))
+        met = met[similar(int(order[i]), order[met])] if len(met) else met
+        if barred and len(met):
+            met = met[[(min(p), max(p)) not in barred for p in zip(node[order[met]].tolist(), [int(node[order[i]])] * len(met))]]
+        while len(met):
+            j = int(met[0])
+            yield int(order[i]), int(order[j])
+            met = met[1:]
+            if not all_pairs:
+                low, high = sorted((int(tied[i]), int(tied[j])), key=lambda t: t != largest)
+                tied[tied == high] = low
+                met = met[tied[met] != tied[i]]
+
+
+def _across(deal: bool, all_pairs: bool):
+    """Pairs that tie components of each list together; lists that take too much work again, if they may be dealt.
+    Columns: token, last, node, root, bar, and what is compared, the wide bitmaps included; bar: -1, or a node that `node` was
+    found not to be similar to."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, edges, wide in _lists(it):
+        for block, edges, wide in lists(it):
             for s, e in zip(edges[:-1], edges[1:]):
-                node, root, own = block[2, s:e], block[3, s:e], block[4:, s:e]
-                _, inverse, counts = np.unique(root, return_inverse=True, return_counts=True)
-                rest = np.flatnonzero(inverse != counts.argmax())
-                if deal and len(rest) * len(node) > WORK:
-                    yield from _lists_out(*block[:3, s:e])
+                here = s + np.flatnonzero(block[4, s:e] < 0)
+                if not len(here):  # its members are in one component by now
                     continue
-                maps = Bitmaps(wide[s:e])
-                for i in rest:
-                    # of two that are both outside the largest component, the later one looks back
-                    met = np.flatnonzero((root != root[i]) & ((inverse == counts.argmax()) | (np.arange(len(node)) < i)))
-                    met = met[_can_link(own[:, met], own[:, [i]])]
-                    met = met[_can_be(own[0, met], own[0, i], maps.apart(i, met))] if len(met) else met
-                    if len(met):
-                        yield from _pairs_out(node[met], np.full(len(met), node[i]))
+                barred = set(zip(*block[:, s:e][:, block[4, s:e] >= 0][[2, 4]].tolist()))
+                token, last, node, root, _, *own = block[:, here]
+                own, maps = np.array(own), Bitmaps([wide[i] for i in here])
+                rest = len(node) - np.unique(root, return_counts=True)[1].max(initial=0)
+                if deal and rest * len(node) > WORK:
+                    yield from _lists_out(token, last, node)
+                    continue
+
+                def similar(i: int, met: np.ndarray, own: np.ndarray = own, maps: Bitmaps = maps) -> np.ndarray:
+                    good = _can_link(own[:, met], own[:, [i]]) > 0
+                    good[good] = _can_be(own[0, met[good]], own[0, i], maps.apart(i, met[good]))
+                    return good
+
+                pairs = np.array(list(forest(node, root, barred, similar, all_pairs)), np.int64).reshape(-1, 2)
+                yield from _pairs_out(node[pairs[:, 0]], node[pairs[:, 1]], np.zeros(len(pairs), np.int64), np.full(len(pairs), block[0, s]))
 
     return run
 
@@ -347,39 +383,75 @@ def _apart_so_far(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
     return pairs.where("_a <> _b").select("a", "b")
 
 
-def _several_roots(lists: DataFrame, so_far: DataFrame) -> DataFrame:
-    """(token, last, node, root) of the lists whose members lie in several components."""
-    rooted = lists.join(so_far, "node", "left").select("token", "last", "node", F.coalesce("root", "node").alias("root"))
+def several_roots(posted: DataFrame, so_far: DataFrame) -> DataFrame:
+    """Members (token, node, ...) of the lists that lie in several components, with their root."""
+    rooted = posted.join(so_far, "node", "left").select(*posted.columns, F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     return rooted.join(several, "token", "left_semi")
 
 
+def tied_across(posted: DataFrame, links: DataFrame, meet: Callable[[DataFrame, DataFrame, DataFrame | None, bool], DataFrame], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """links and those that tie together what similar members of the lists do, beyond what the links tie.
+
+    posted: (token, node, ...). meet(posted, so_far, barred, all_pairs) gives (token, a, b): pairs that tie components of
+    each list; confirm(pairs) those of the pairs (a, b) that are similar. A list whose pairs are all similar is done. Lists
+    with others are gone through again with what is tied by then, those pairs barred: (token, a, b). After TURNS turns
+    their pairs all come out, so that no list stays open.
+    """
+    barred: DataFrame | None = None
+    for turn in range(TURNS):
+        so_far = cut(components(links))
+        pairs = cut(meet(posted, so_far, barred, turn == TURNS - 1))
+        if pairs.isEmpty():
+            break
+        good = confirm(pairs.select("a", "b").distinct())
+        links = links.unionByName(good)
+        wrong = cut(pairs.join(good, ["a", "b"], "left_anti"))
+        if turn == TURNS - 1 or wrong.isEmpty():
+            break
+        barred = wrong if barred is None else barred.unionByName(wrong)
+        posted = posted.join(wrong.select("token").distinct(), "token", "left_semi")
+    return links
+
+
 def _links(nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """Links between nodes that tie together what all links do."""
     n = parts(nodes.sparkSession)
     postings = nodes.mapInArrow(_first_postings, ", ".join(f"{c} long" for c in _POSTINGS.names))
-    met = cut(postings.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(_meet, _MET_DDL))
-    near = cut(_candidates(met.where("a IS NOT NULL").select("a", "b"), nodes))
-    ends = near.select(F.col("a").alias("node"), F.struct("agree", F.col("b").alias("other")).alias("best")).unionByName(near.select(F.col("b").alias("node"), F.struct("agree", F.col("a").alias("other")).alias("best")))
-    best = ends.groupBy("node").agg(F.max("best").alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
-    first = _confirmed(best, rows, words)
-    so_far = cut(components(first))
-    lists = met.where("token IS NOT NULL").select("token", "last", "node")
-    found = near.select("a", "b")
+    # another order in each list, so that a set has other neighbours in each
+    met = cut(postings.repartition(n, "token").sortWithinPartitions("token", F.xxhash64("token", "node")).mapInArrow(_meet, _MET_DDL))
+    near = met.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    ends = [near.select(F.col(x).alias("node"), F.struct("agree", F.xxhash64("a", "b").alias("turn"), F.col(y).alias("other")).alias("best")) for x, y in (("a", "b"), ("b", "a"))]
+    best = ends[0].unionByName(ends[1]).groupBy("node").agg(F.max("best").alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return _confirmed(cut(_candidates(pairs, nodes).select("a", "b")), rows, words)
+
+    links = confirm(best.distinct())
+    links = links.unionByName(confirm(_apart_so_far(near.select("a", "b"), cut(components(links)))))
+    posted = met.where("token IS NOT NULL").select("token", "last", "node")
     for depth in range(1, DEPTH + 1):
-        compared = _several_roots(lists, so_far).join(nodes, "node").mapInArrow(_compared, ", ".join(f"{c} long" for c in ("token", "last", "node", "root", *_LONGS)) + ", wide binary")
-        seen = cut(compared.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(_across(depth < DEPTH), _MET_DDL))
-        found = found.unionByName(_candidates(seen.where("a IS NOT NULL").select("a", "b"), nodes).select("a", "b"))
-        lists = seen.where("token IS NOT NULL").select("token", "last", "node")
-        if depth == DEPTH or lists.isEmpty():
+        passed: list[DataFrame] = []
+
+        def meet(posted: DataFrame, so_far: DataFrame, barred: DataFrame | None, all_pairs: bool, depth: int = depth, passed: list[DataFrame] = passed) -> DataFrame:
+            rows = several_roots(posted, so_far).withColumn("bar", F.lit(-1).cast("long")).join(nodes, "node").mapInArrow(_compared, _COMPARED_DDL)
+            if barred is not None:
+                rows = rows.unionByName(barred.select("token", F.lit(0).cast("long").alias("last"), F.col("a").alias("node"), F.lit(0).cast("long").alias("root"), F.col("b").alias("bar"), *[F.lit(0).cast("long").alias(c) for c in _LONGS], F.lit(b"").alias("wide")))
+            seen = cut(rows.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(_across(depth < DEPTH and not passed, all_pairs), _MET_DDL))
+            if not passed:
+                passed.append(seen.where("node IS NOT NULL").select("token", "last", "node"))
+            return seen.where("a IS NOT NULL").select("token", "a", "b")
+
+        links = tied_across(posted, links, meet, confirm)
+        if depth == DEPTH or not passed or passed[0].isEmpty():
             break
-        lists = lists.join(nodes.select("node", "signature"), "node").mapInArrow(_deeper(depth + 1), "token long, last long, node long")
-    return first.unionByName(_confirmed(cut(_apart_so_far(found.distinct(), so_far)), rows, words))
+        posted = passed[0].join(nodes.select("node", "signature"), "node").mapInArrow(_deeper(depth + 1), "token long, last long, node long")
+    return links
 
 
 def _compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, last, node, root) with digests and parities made of signature and bitmap."""
-    names = ("token", "last", "node", "root", *_LONGS)
+    """(token, last, node, root, bar) with digests and parities made of signature and bitmap."""
+    names = ("token", "last", "node", "root", "bar", *_LONGS)
     schema = pa.schema([*[(c, pa.int64()) for c in names], ("wide", pa.binary())])
     for batch in it:
         if batch.num_rows:
@@ -387,7 +459,7 @@ def _compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nibbles = (minima & 15).astype(np.uint64).reshape(len(minima), -1, 16)
             digest = np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
             parity = np.stack([_folded(w, 256).view(np.int64) for w in batch.column("wide").to_pylist()])
-            first = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "last", "node", "root", "n")]
+            first = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "last", "node", "root", "bar", "n")]
             yield from batches(schema, dict(zip(schema.names, (*first, *digest.T, *parity.T, batch.column("wide").to_pylist()))), 2048)
 
 

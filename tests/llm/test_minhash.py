@@ -113,3 +113,37 @@ def test_filters_never_drop_a_link(rows):
             assert apart <= len(sets[i] ^ sets[j])
             if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                 assert minhash._can_be(len(sets[i]), len(sets[j]), apart)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_forest_ties_what_all_pairs_tie(seed):
+    """Turn by turn, wrong pairs barred, a list's components are those of all its true pairs."""
+    r = random.Random(seed)
+    n = 40
+    node = np.array(r.sample(range(1000), n))
+    maybe = {(i, j) for i in range(n) for j in range(i) if r.random() < 0.12}
+    true = {p for p in maybe if r.random() < 0.6}
+    start = [r.randrange(12) if r.random() < 0.6 else 100 + i for i in range(n)]
+
+    def components(pairs):
+        root = list(start)
+        for i, j in pairs:
+            root = [root[j] if x == root[i] else x for x in root]
+        return {frozenset(i for i in range(n) if root[i] == k) for k in root}
+
+    def similar(i, met):
+        return np.array([(max(i, int(k)), min(i, int(k))) in maybe for k in met], bool)
+
+    found, barred, turns = set(), set(), 0
+    while True:
+        groups = {i: k for k, own in enumerate(sorted(components(found), key=sorted)) for i in own}
+        pairs = {(max(p), min(p)) for p in minhash.forest(node, np.array([groups[i] for i in range(n)]), barred, similar, False)}
+        assert len(pairs) < len(set(groups.values()))
+        found |= pairs & true
+        barred |= {tuple(sorted((int(node[i]), int(node[j])))) for i, j in pairs - true}
+        turns += 1
+        if pairs <= true:
+            break
+    assert components(found) == components(true) and turns > 1
+    everything = set(minhash.forest(node, np.array(start), set(), similar, True))
+    assert {(max(p), min(p)) for p in everything} == {p for p in maybe if start[p[0]] != start[p[1]]}
