@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from strandworks.functions.exact import rank_sum_p, signed_rank_p
 from strandworks.functions.running import running, running_sums, with_ranges
 
 
@@ -106,7 +107,8 @@ def with_bh(rows: DataFrame, p: str, by: list[str], out: str = "q") -> DataFrame
 
 
 def mann_whitney(rows: DataFrame, value: str, in_a: Column, by: list[str]) -> DataFrame:
-    """by, n_a, n_b, u, z, p_greater, p_less, p_two_sided: normal approximation with tie and continuity corrections.
+    """by, n_a, n_b, u, z, p_greater, p_less, p_two_sided, exact: normal approximation with tie and continuity corrections, but
+    exact where one side has at most 8 values and none is tied (functions/exact.py).
 
     Ranks come from counts of each distinct value, so equal values never meet as rows, and counts are added up by ranges.
     """
@@ -122,12 +124,15 @@ def mann_whitney(rows: DataFrame, value: str, in_a: Column, by: list[str]) -> Da
     z = F.when(F.col("_s") > 0, (F.col("u") - pairs / 2 - 0.5) / F.col("_s"))
     below = F.when(F.col("_s") > 0, (F.col("u") - pairs / 2 + 0.5) / F.col("_s"))
     z2 = F.when(F.col("_s") > 0, (F.abs(F.col("u") - pairs / 2) - 0.5) / F.col("_s"))
-    sides = [normal_tail(z).alias("p_greater"), normal_tail(-below).alias("p_less"), F.least(F.lit(1.0), 2 * normal_tail(z2)).alias("p_two_sided")]
-    return out.select(*by, "n_a", "n_b", "u", z.alias("z"), *sides)
+    exact = rank_sum_p("n_a", "n_b", "u", F.col("_ties") > 0)
+    whole = out.select(*by, "n_a", "n_b", "u", z.alias("z"), normal_tail(z).alias("_g"), normal_tail(-below).alias("_l"), F.least(F.lit(1.0), 2 * normal_tail(z2)).alias("_t"), exact.alias("_e"))
+    sides = [F.coalesce(f"_e.{e}", n).alias(f"p_{e}") for e, n in (("greater", "_g"), ("less", "_l"), ("two_sided", "_t"))]
+    return whole.select(*by, "n_a", "n_b", "u", "z", *sides, F.col("_e.greater").isNotNull().alias("exact"))
 
 
 def wilcoxon(pairs: DataFrame, difference: str, by: list[str]) -> DataFrame:
-    """by, n, w_plus, w_minus, z, p_two_sided of the signed-rank test; zero differences are dropped."""
+    """by, n, w_plus, w_minus, z, p_two_sided, exact of the signed-rank test; zero differences are dropped. Normal approximation
+    with tie correction, but exact for at most 50 differences without ties and zeros (functions/exact.py)."""
     own = pairs.where(F.col(difference) != 0).withColumn("_abs", F.abs(difference))
     counted = own.groupBy(*by, "_abs").agg(F.count(F.when(F.col(difference) > 0, 1)).alias("plus"), F.count(F.lit(1)).alias("m"))
     ranked = running_sums(counted, by, "_abs", ["m"]).withColumn("rank", F.col("m_upto") - (F.col("m") - 1) / 2)
@@ -137,7 +142,11 @@ def wilcoxon(pairs: DataFrame, difference: str, by: list[str]) -> DataFrame:
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
     z = F.when(spread > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / spread)
-    return sums.select(*by, "n", "w_plus", "w_minus", z.alias("z"), F.least(F.lit(1.0), 2 * normal_tail(-z)).alias("p_two_sided"))
+    zeros = pairs.where(F.col(difference) == 0).groupBy(*by).agg(F.count(F.lit(1)).alias("_zeros"))
+    sums = sums.join(zeros, by, "left") if by else sums.crossJoin(zeros)  # without groups, a row each
+    exact = signed_rank_p("n", "w_plus", (F.col("_ties") > 0) | (F.coalesce("_zeros", F.lit(0)) > 0))
+    whole = sums.select(*by, "n", "w_plus", "w_minus", z.alias("z"), F.least(F.lit(1.0), 2 * normal_tail(-z)).alias("_t"), exact.alias("_e"))
+    return whole.select(*by, "n", "w_plus", "w_minus", "z", F.coalesce("_e", "_t").alias("p_two_sided"), F.col("_e").isNotNull().alias("exact"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 3) -> DataFrame:
@@ -166,6 +175,18 @@ def chi_square_p(x: Column) -> Column:
     return F.least(F.lit(1.0), 2 * normal_tail(F.sqrt(x)))
 
 
+def association(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """(test, statistic, p) of a 2 x 2 table: Yates-corrected chi-square; Fisher's exact test, without a statistic, where a
+    margin is empty and so no chi-square is to be had; null where a cell is missing or negative, or all are 0."""
+    good = F.least(*[F.coalesce(x, F.lit(-1)) for x in (a, b, c, d)]) >= 0
+    good = good & (a + b + c + d > 0)
+    chi = chi_square(a, b, c, d)
+    cells = [F.when(good & chi.isNull(), x.cast("long")).otherwise(F.lit(0)) for x in (a, b, c, d)]  # only where it is used
+    test = F.when(good & chi.isNotNull(), "chi_square").when(good, "fisher")
+    p = F.when(good & chi.isNotNull(), chi_square_p(chi)).when(good, fisher_p(*cells))
+    return F.struct(test.alias("test"), F.when(good, chi).alias("statistic"), p.alias("p"))
+
+
 def design_effect(rows: DataFrame, cluster: str, value: str) -> DataFrame:
     """One row: n, clusters, icc, mean_size, deff, n_eff, from an unbalanced one-way analysis of variance.
 

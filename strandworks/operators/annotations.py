@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from strandworks.functions.stats import correlation_p, percentiles, rank_correlations, with_bh
 
 #: One-letter classes of secondary structure (fixed values).
-HELIX, STRAND = ("H", "G", "I"), ("E", "B")
-STRUCTURE_GROUPS = {"helix": ("H", "G", "I"), "strand": ("E", "B"), "turn": ("T", "S"), "coil": ("-", "C", " ")}
+STRUCTURE_GROUPS = {"helix": ("H", "G", "I"), "strand": ("E", "B"), "turn": ("T", "S"), "coil": ("-", "C", "", " ")}
 BURIED, EXPOSED = 0.1, 0.4
 
 
@@ -18,6 +17,14 @@ def in_classes(column: str, classes: tuple) -> Column:
     return F.coalesce(F.col(column).isin(*classes), F.lit(False)).cast("double")
 
 
+def structure_group(column: Column) -> Column:
+    """helix, strand, turn or coil; null for a class that is none of them, and where there is none."""
+    out: Column | None = None
+    for group, classes in STRUCTURE_GROUPS.items():
+        out = F.when(column.isin(*classes), group) if out is None else out.when(column.isin(*classes), group)
+    return out
+
+
 def surface_kind(column: str, buried: float = BURIED, exposed: float = EXPOSED) -> Column:
     """`buried`, `exposed`, or null between the bounds."""
     return F.when(F.col(column) < buried, "buried").when(F.col(column) > exposed, "exposed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,22 @@ def first_per_key(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     return first.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
+def cascade(rows: DataFrame, sequence: str, key: str, ordinal: str, alphabet: str, least: int, most: int) -> DataFrame:
+    """rows with `reason`, the first that holds: short, long, alphabet, duplicate, or `ok`.
+
+    A row is a duplicate if one of its key with a lesser ordinal passes the other checks: rows that fail them take no key.
+    """
+    own = rows.withColumn("reason", filter_reason(F.col(sequence), alphabet, least, most))
+    first = own.where("reason = 'ok'").groupBy(key).agg(F.min(ordinal).alias("_first"))
+    late = (F.col("reason") == "ok") & (F.col(ordinal) > F.col("_first"))
+    return own.join(first, key, "left").withColumn("reason", F.when(late, "duplicate").otherwise(F.col("reason"))).select(*rows.columns, "reason")
+
+
+def rare_letters_as_x(sequence: Column) -> Column:
+    """The letters U, Z, O and B, of rare or ambiguous residues, as X."""
+    return F.translate(sequence, "UZOB", "XXXX")
+
+
 def round_robin(rows: DataFrame, group: str, ordinal: str, n: int) -> DataFrame:
     """n rows, taking the first of every group in name order, then the second, and so on.
 
@@ -55,24 +73,42 @@ def epochs_for(tokens: Column, steps: list[tuple[int, int]], otherwise: int) ->
     return out.otherwise(otherwise) if out is not None else F.lit(otherwise)
 
 
+def _next_free(parent: list[int], i: int) -> int:
+    """The first free place from i on, in the direction that parent leads to; paths are halved on the way."""
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def nearest_free(anchors: list[float], candidates: list[float]) -> list[tuple[float, float]]:
+    """(anchor, control): anchors in order, each with the nearest candidate that none has taken, the lower of two as near."""
+    free = sorted(candidates)
+    n = len(free)
+    # places 1 to n; 0 and n + 1 say that there is none on that side
+    down, up = list(range(n + 2)), list(range(n + 2))
+    out = []
+    for a in sorted(anchors)[:n]:
+        at = bisect.bisect_left(free, a) + 1
+        low, high = _next_free(down, at - 1), _next_free(up, at)
+        k = high if low == 0 else low if high > n or a - free[low - 1] <= free[high - 1] - a else high
+        down[k], up[k] = k - 1, k + 1
+        out.append((a, free[k - 1]))
+    return out
+
+
 def greedy_controls(anchors: DataFrame, candidates: DataFrame, group: str, key: str) -> DataFrame:
     """(group, anchor, control, gap): each anchor in turn takes the nearest candidate by `key` that none has taken.
 
-    One group's rows are worked on together, so a group has to be small (a chain); anchors go in order of their key.
+    One group's keys are worked on together, in n log n; anchors go in order of their key, and take the lower of two
+    candidates as near. Anchors that find none left have no row.
     """
 
     def pick(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:  # a group that one side lacks has no columns there
             return pd.DataFrame(columns=[group, "anchor", "control", "gap"])
-        free = sorted(y[key].tolist())
-        out = []
-        for a in sorted(x[key].tolist()):
-            if not free:
-                break
-            k = min(range(len(free)), key=lambda i: (abs(free[i] - a), free[i]))
-            out.append((x[group].iloc[0], a, free[k], abs(free[k] - a)))
-            del free[k]
-        return pd.DataFrame(out, columns=[group, "anchor", "control", "gap"])
+        found = nearest_free(x[key].tolist(), y[key].tolist())
+        return pd.DataFrame([(x[group].iloc[0], a, c, abs(c - a)) for a, c in found], columns=[group, "anchor", "control", "gap"])
 
     kind = anchors.schema[group].dataType.simpleString()
     # new columns on both sides: they may come from one table

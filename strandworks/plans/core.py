@@ -9,6 +9,7 @@ from strandworks.functions import stats
 from strandworks.operators import graphs, locality, resampling, sequences, vectors
 from strandworks.plans import bindings as B
 from strandworks.plans.registry import query, rounded
+from strandworks.plans.scores import DEGREE_SQL
 
 ALPHABET = "A-Z"
 _REASON = "CASE WHEN length(sequence) < 50 THEN 'short' WHEN length(sequence) > 1024 THEN 'long' WHEN NOT regexp_full_match(sequence, '[A-Z]+') THEN 'alphabet' ELSE 'ok' END"
@@ -31,6 +32,13 @@ def seq_filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.domains(spark, sf_dir).groupBy(sequences.filter_reason(F.col("sequence"), ALPHABET, 50, 1024).alias("reason")).agg(F.count(F.lit(1)).alias("n")))
 
 
+@query(B.sql("domains", then=f"r AS (SELECT fold, file_ordinal, {_REASON} AS reason FROM domains), f AS (SELECT fold, min(file_ordinal) AS first FROM r WHERE reason = 'ok' GROUP BY fold) SELECT CASE WHEN reason = 'ok' AND file_ordinal > first THEN 'duplicate' ELSE reason END AS reason, count(*) AS n FROM r LEFT JOIN f ON f.fold = r.fold GROUP BY 1"))
+def filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why rows are left out, a second one of a fold included."""
+    own = sequences.cascade(B.domains(spark, sf_dir), "sequence", "fold", "file_ordinal", ALPHABET, 50, 1024)
+    return rounded(own.groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query(B.sql("domains", then="SELECT sequence, min(uid) AS uid FROM domains WHERE sequence <> '' GROUP BY sequence"))
 def seq_first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.first_per_key(B.domains(spark, sf_dir).where("sequence <> ''").select("sequence", "uid", "file_ordinal"), "sequence", "file_ordinal").select("sequence", "uid")
@@ -106,7 +114,7 @@ def burial_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     B.sql(
         "coords", "contact", "places",
-        then="d AS (SELECT uid, src, count(*) AS degree FROM contact GROUP BY ALL), r AS (SELECT d.uid, d.src, p.position AS dst, degree, row_number() OVER (PARTITION BY d.uid, d.src ORDER BY md5(concat_ws(':', 7, d.uid, d.src, p.position)), p.position) AS k FROM d JOIN places p ON d.uid = p.uid AND p.position <> d.src) SELECT uid, src, dst FROM r WHERE k <= degree",
+        then=f"dg AS (SELECT uid, src, count(*) AS degree FROM contact GROUP BY ALL), {DEGREE_SQL} SELECT uid, src, dst FROM dn",
     )
 )
 def degree_null(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.functions import stats
+from strandworks.functions.ordering import first_hashed
 from strandworks.operators import annotations, concepts, contacts, features, graphs, layers, locality, resampling, vectors
 from strandworks.plans import bindings as B
 from strandworks.plans import scores as S
@@ -243,11 +244,16 @@ def largest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(layers.largest_change(_by_year(spark, sf_dir, F.avg("l_quantity")), ["g"], "depth", "v"))
 
 
-@query("WITH a AS (SELECT l, l / 11 AS d FROM (SELECT unnest(range(0, 12)) AS l)), b AS (SELECT l, l / 32 AS d FROM (SELECT unnest(range(0, 33)) AS l)), r AS (SELECT a.l AS layer_a, b.l AS layer_b, a.d AS depth_a, b.d AS depth_b, row_number() OVER (PARTITION BY a.l ORDER BY round(abs(a.d - b.d), 9), b.l) AS k FROM a, b) SELECT layer_a, layer_b, round(depth_a, 6) AS depth_a, round(depth_b, 6) AS depth_b FROM r WHERE k = 1")
+_LAYERS = "m AS (SELECT DISTINCT 'a' AS model, l_linenumber - 1 AS layer FROM lineitem UNION ALL SELECT DISTINCT 'b', p_size - 1 FROM part), n AS (SELECT model, layer, layer / greatest(max(layer) OVER (PARTITION BY model), 1) AS depth FROM m)"
+
+
+@query(f"WITH {_LAYERS}, r AS (SELECT a.layer AS layer_a, b.layer AS layer_b, a.depth AS depth_a, b.depth AS depth_b, row_number() OVER (PARTITION BY a.layer ORDER BY round(abs(a.depth - b.depth), 9), b.layer) AS k FROM n a JOIN n b ON a.model = 'a' AND b.model = 'b') SELECT CAST(layer_a AS BIGINT) AS layer_a, CAST(layer_b AS BIGINT) AS layer_b, round(depth_a, 6) AS depth_a, round(depth_b, 6) AS depth_b FROM r WHERE k = 1")
 def matched_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers of a model of 12 blocks with those of one of 33 at the nearest relative depth."""
-    own = spark.range(12).selectExpr("'a' AS model", "id AS layer", "12 AS blocks").unionByName(spark.range(33).selectExpr("'b' AS model", "id AS layer", "33 AS blocks"))
-    return rounded(layers.matched_depths(own, "a", "b"))
+    """Line numbers as the layers of one model with part sizes as those of another at the nearest relative depth."""
+    a = B.table(spark, sf_dir, "lineitem").select(F.lit("a").alias("model"), (F.col("l_linenumber") - 1).alias("layer")).distinct()
+    own = a.unionByName(B.table(spark, sf_dir, "part").select(F.lit("b").alias("model"), (F.col("p_size") - 1).alias("layer")).distinct())
+    blocks = own.groupBy("model").agg((F.max("layer") + 1).alias("blocks"))  # a row for each model
+    return rounded(layers.matched_depths(own.join(F.broadcast(blocks), "model"), "a", "b"))
 
 
 _TREND = "WITH y AS (SELECT l_returnflag AS model, year(l_shipdate) AS layer, l_suppkey AS feature, CAST(avg(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL), m AS (SELECT model, layer, avg(v) AS v FROM y GROUP BY ALL), mr AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY layer) AS a, rank() OVER (PARTITION BY model ORDER BY v) + (count(*) OVER (PARTITION BY model, v) - 1) / 2 AS b FROM m), fr AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY layer) + (count(*) OVER (PARTITION BY model, layer) - 1) / 2 AS a, rank() OVER (PARTITION BY model ORDER BY v) + (count(*) OVER (PARTITION BY model, v) - 1) / 2 AS b FROM y), x AS (SELECT model, count(*) AS n_layers, corr(a, b) AS macro_rho FROM mr GROUP BY model HAVING count(*) >= 3), f AS (SELECT model, count(*) AS n_pairs, corr(a, b) AS r FROM fr GROUP BY model)"
@@ -266,7 +272,7 @@ def rank_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.rank_correlations(own, ["o_totalprice", "o_custkey", "o_orderkey"], ["g"]))
 
 
-_TEST = "l AS (SELECT l_linestatus AS g, l_returnflag = 'A' AS a, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_shipdate >= DATE '1994-06-01'), r AS (SELECT g, a, v, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2 AS k FROM l), ti AS (SELECT g, sum(m * m * m - m) AS t FROM (SELECT g, CAST(count(*) AS DOUBLE) AS m FROM l GROUP BY g, v) GROUP BY g), u AS (SELECT g, count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE NOT a) AS n_b, median(v) FILTER (WHERE a) AS median_a, median(v) FILTER (WHERE NOT a) AS median_b, sum(k) FILTER (WHERE a) - count(*) FILTER (WHERE a) * (count(*) FILTER (WHERE a) + 1) / 2 AS u, (avg(v) FILTER (WHERE a) - avg(v) FILTER (WHERE NOT a)) / sqrt((var_pop(v) FILTER (WHERE a) + var_pop(v) FILTER (WHERE NOT a)) / 2 + 1e-10) AS d FROM r GROUP BY g), z AS (SELECT u.*, sqrt(CAST(n_a AS DOUBLE) * n_b / 12 * (n_a + n_b + 1 - t / ((n_a + n_b) * (n_a + n_b - 1.0)))) AS s, u - n_a * n_b / 2 AS c FROM u JOIN ti USING (g))"
+_TEST = "l AS (SELECT l_linestatus AS g, l_returnflag = 'A' AS a, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')), r AS (SELECT g, a, v, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2 AS k FROM l), ti AS (SELECT g, sum(m * m * m - m) AS t FROM (SELECT g, CAST(count(*) AS DOUBLE) AS m FROM l GROUP BY g, v) GROUP BY g), u AS (SELECT g, count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE NOT a) AS n_b, median(v) FILTER (WHERE a) AS median_a, median(v) FILTER (WHERE NOT a) AS median_b, sum(k) FILTER (WHERE a) - count(*) FILTER (WHERE a) * (count(*) FILTER (WHERE a) + 1) / 2 AS u, (avg(v) FILTER (WHERE a) - avg(v) FILTER (WHERE NOT a)) / sqrt((var_pop(v) FILTER (WHERE a) + var_pop(v) FILTER (WHERE NOT a)) / 2 + 1e-10) AS d FROM r GROUP BY g), z AS (SELECT u.*, sqrt(CAST(n_a AS DOUBLE) * n_b / 12 * (n_a + n_b + 1 - t / ((n_a + n_b) * (n_a + n_b - 1.0)))) AS s, u - n_a * n_b / 2 AS c FROM u JOIN ti USING (g))"
 
 
 @query(f"WITH {_TEST} SELECT g, n_a, n_b, round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(u, 6) AS u, round({tail_sql('((c - 0.5) / s)')}, 6) + 0.0 AS p, round(d, 6) + 0.0 AS d FROM z")
@@ -285,7 +291,7 @@ def compare_two_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
-    own = B.table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R") & (F.col("l_shipdate") >= F.lit("1994-06-01").cast("date")))
+    own = B.table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
     rows = own.select(F.col("l_linestatus").alias("g"), (F.col("l_returnflag") == "A").alias("a"), F.col("l_extendedprice").cast("double").alias("v"))
     return stats.compare(rows, "v", F.col("a"), ["g"], direction)
 
@@ -349,6 +355,21 @@ def subset_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(contacts.subset_precision(own.select("uid", "position", "vec"), _sets(spark, sf_dir), found, own.groupBy("uid").agg(F.count(F.lit(1)).alias("length")), gap=3))
 
 
+_DRAWN = "fs AS (SELECT 'random_' || s AS kind, feature FROM (SELECT s, feature, row_number() OVER (PARTITION BY s ORDER BY md5(concat_ws(':', 40 + s, feature)), feature) AS k FROM (SELECT DISTINCT feature FROM dense), (SELECT unnest(range(0, 4)) AS s)) WHERE k <= 8)"
+
+
+@query(B.sql("vectors", "coords", "contact", "places", "dense", then=f"{_DRAWN}, v AS (SELECT kind, uid, position, list_transform(fl, lambda f: vec[f + 1]) AS vec FROM vectors, (SELECT kind, list_sort(list(feature)) AS fl FROM fs GROUP BY kind)), {_apc_sql('v')}, pr AS (SELECT kind, uid, avg(c) AS precision FROM pk WHERE r <= k GROUP BY kind, uid) SELECT 'random' AS kind, uid, round(avg(precision), 6) AS precision FROM pr GROUP BY uid"))
+def subset_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact precision from four random choices of features, averaged for each chain."""
+    own = B.vectors(spark, sf_dir)
+    ids = B.values(spark, sf_dir).select("feature").distinct()
+    sets = [first_hashed(ids, "feature", 8, 40 + i).select(F.lit(f"random_{i}").alias("kind"), "feature") for i in range(4)]
+    drawn = sets[0].unionByName(sets[1]).unionByName(sets[2]).unionByName(sets[3])
+    lengths = own.groupBy("uid").agg(F.count(F.lit(1)).alias("length"))
+    found = contacts.subset_precision(own.select("uid", "position", "vec"), drawn, graphs.contact_edges(B.coords(spark, sf_dir), 0.2, 3), lengths, gap=3)
+    return rounded(contacts.collapsed(found))
+
+
 @query(B.sql("vectors", "coords", "contact", then="l AS (SELECT uid, count(*) AS length FROM vectors GROUP BY uid) SELECT uid, length FROM l WHERE length BETWEEN 10 AND 1000 AND uid IN (SELECT uid FROM contact WHERE dst - src >= 12) AND uid % 3 <> 0"))
 def evaluable_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains that contact prediction can be judged on; every third one has no structure here."""
@@ -364,16 +385,16 @@ def cosine_topmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def logistic_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A balanced logistic regression of a label on the first sixteen features, trained on four of five chains."""
-    own = B.vectors(spark, sf_dir).select("uid", (F.col("label") < 3).alias("y"), *[F.col("vec")[i].cast("double").alias(f"f{i}") for i in range(16)])
-    return rounded(features.probe(own, [f"f{i}" for i in range(16)], "y", F.col("uid") % 5 != 0))
+    """A balanced logistic regression of a label on all features, trained on four of five chains."""
+    own = B.vectors(spark, sf_dir).select("uid", (F.col("label") < 3).alias("y"), *[F.col("vec")[i].cast("double").alias(f"f{i}") for i in range(B.DIMS)])
+    return rounded(features.probe(own, [f"f{i}" for i in range(B.DIMS)], "y", F.col("uid") % 5 != 0))
 
 
-@query("WITH l AS (SELECT l_linestatus AS g, count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity > 25) AS a, count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity <= 25) AS b, count(*) FILTER (WHERE l_returnflag <> 'A' AND l_quantity > 25) AS c, count(*) FILTER (WHERE l_returnflag <> 'A' AND l_quantity <= 25) AS d FROM lineitem WHERE l_orderkey < 200 GROUP BY 1), k AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS x FROM l), p AS (SELECT g, a, x, lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(c + d - a - c + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) AS lp FROM k), o AS (SELECT g, lp AS own FROM p WHERE x = a) SELECT g, round(least(1.0, sum(exp(lp)) FILTER (WHERE lp <= own + 1e-7)), 6) AS p FROM p JOIN o USING (g) GROUP BY g")
+@query("WITH l AS (SELECT l_linestatus AS g, count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity > 25) AS a, count(*) FILTER (WHERE l_returnflag = 'A' AND l_quantity <= 25) AS b, count(*) FILTER (WHERE l_returnflag <> 'A' AND l_quantity > 25) AS c, count(*) FILTER (WHERE l_returnflag <> 'A' AND l_quantity <= 25) AS d FROM lineitem GROUP BY 1), k AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS x FROM l), p AS (SELECT g, a, x, lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(c + d - a - c + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) AS lp FROM k), o AS (SELECT g, lp AS own FROM p WHERE x = a) SELECT g, round(least(1.0, sum(exp(lp)) FILTER (WHERE lp <= own + 1e-7)), 6) AS p FROM p JOIN o USING (g) GROUP BY g")
 def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, q = F.col("l_returnflag") == "A", F.col("l_quantity") > 25
     cells = [F.count(F.when(x, 1)).alias(n) for n, x in zip("abcd", (a & q, a & ~q, ~a & q, ~a & ~q))]
-    counts = B.table(spark, sf_dir, "lineitem").where("l_orderkey < 200").groupBy(F.col("l_linestatus").alias("g")).agg(*cells)
+    counts = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("g")).agg(*cells)
     return rounded(counts.select("g", stats.fisher_p(*map(F.col, "abcd")).alias("p")))
 
 
@@ -397,3 +418,52 @@ def enriched_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.lit(0).alias("position"), F.posexplode("embedding").alias("feature", "z")).withColumn("z", F.col("z").cast("double")).where("z > 0")
     found = locality.enrichment(acts, own.select("uid", "position"), own.select("uid", F.col("label").alias("fold")), 5, 1.1, 5)
     return rounded(found.withColumnRenamed("fold", "label"))
+
+
+_MASKS = "list_sum(list_transform(range(0, {n}), lambda i: CASE WHEN (k >> i) & 1 = 1 THEN i + 1 ELSE 0 END))"
+
+
+@query(
+    "WITH r AS (SELECT c_custkey // 10 AS g, c_mktsegment < 'G' AS a, row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY c_acctbal) AS r FROM customer), "
+    "t AS (SELECT c_custkey // 10 AS g FROM customer GROUP BY 1 HAVING count(DISTINCT c_acctbal) = count(*)), "
+    "s AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE a) AS na, sum(r) FILTER (WHERE a) AS ra FROM r JOIN t USING (g) GROUP BY g HAVING na > 0 AND na < count(*)), "
+    "e AS (SELECT g, n, na, ra - na * (na + 1) / 2 AS u, unnest(range(0, 1 << n)) AS k FROM s), "
+    f"m AS (SELECT g, na, n - na AS nb, u, {_MASKS.format(n='n')} - na * (na + 1) / 2 AS v FROM e WHERE bit_count(k) = na) "
+    "SELECT g, na AS n_a, nb AS n_b, CAST(u AS DOUBLE) AS u, round(avg(CAST(v >= u AS INT)), 6) AS p_greater, round(avg(CAST(v <= u AS INT)), 6) AS p_less, round(least(1.0, 2 * least(avg(CAST(v >= u AS INT)), avg(CAST(v <= u AS INT)))), 6) AS p_two_sided FROM m GROUP BY g, na, nb, u"
+)
+def exact_rank_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank tests of ten customers at a time, by all ways of dealing their ranks; groups with ties or one side only are left out."""
+    own = B.table(spark, sf_dir, "customer").select(F.expr("c_custkey div 10").alias("g"), F.col("c_acctbal").alias("v"), (F.col("c_mktsegment") < "G").alias("a"))
+    return rounded(stats.mann_whitney(own, "v", F.col("a"), ["g"]).where("exact").select("g", "n_a", "n_b", "u", "p_greater", "p_less", "p_two_sided"))
+
+
+@query(
+    "WITH d AS (SELECT c_custkey // 12 AS g, c_acctbal - 4000 AS d FROM customer), t AS (SELECT g FROM d GROUP BY g HAVING count(DISTINCT abs(d)) = count(*) AND count(*) FILTER (WHERE d = 0) = 0), "
+    "r AS (SELECT g, d > 0 AS up, row_number() OVER (PARTITION BY g ORDER BY abs(d)) AS r FROM d JOIN t USING (g)), s AS (SELECT g, count(*) AS n, coalesce(sum(r) FILTER (WHERE up), 0) AS w FROM r GROUP BY g), "
+    f"e AS (SELECT g, n, w, unnest(range(0, 1 << n)) AS k FROM s), m AS (SELECT g, n, w, {_MASKS.format(n='n')} AS v FROM e) "
+    "SELECT g, n, CAST(w AS DOUBLE) AS w_plus, round(least(1.0, 2 * least(avg(CAST(v >= w AS INT)), avg(CAST(v <= w AS INT)))), 6) AS p FROM m GROUP BY g, n, w"
+)
+def exact_signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed-rank tests of twelve customers at a time, by all choices of signs; groups with ties or zeros are left out."""
+    own = B.table(spark, sf_dir, "customer").select(F.expr("c_custkey div 12").alias("g"), (F.col("c_acctbal").cast("double") - 4000.0).alias("d"))
+    return rounded(stats.wilcoxon(own, "d", ["g"]).where("exact").select("g", "n", "w_plus", F.col("p_two_sided").alias("p")))
+
+
+_TABLES = "l AS (SELECT unnest(['status ' || l_linestatus, 'flag ' || l_returnflag]) AS g, l_returnflag = 'A' AS x, l_quantity > 25 AS y FROM lineitem), t AS (SELECT g, CAST(count(*) FILTER (WHERE x AND y) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE x AND NOT y) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE NOT x AND y) AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE NOT x AND NOT y) AS DOUBLE) AS d FROM l GROUP BY g), h AS (SELECT g, CASE WHEN (a + b) * (c + d) > 0 AND (a + c) * (b + d) > 0 THEN (a + b + c + d) * pow(greatest(0, abs(a * d - b * c) - (a + b + c + d) / 2), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) END AS h FROM t)"
+
+
+@query(f"WITH {_TABLES} SELECT g, CASE WHEN h IS NULL THEN 'fisher' ELSE 'chi_square' END AS test, round(h, 6) AS statistic, CASE WHEN h IS NULL THEN 1.0 ELSE round(least(1.0, 2 * ({tail_sql('sqrt(h)')})), 6) + 0.0 END AS p FROM h")
+def association_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of two yes-or-no columns; where one column says the same in all rows, Fisher's test takes over (its p is 1 then)."""
+    kinds = F.array(F.concat(F.lit("status "), "l_linestatus"), F.concat(F.lit("flag "), "l_returnflag"))
+    own = B.table(spark, sf_dir, "lineitem").select(F.explode(kinds).alias("g"), (F.col("l_returnflag") == "A").alias("x"), (F.col("l_quantity") > 25).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    cells = [F.count(F.when(k, 1)).cast("double").alias(n) for n, k in zip("abcd", (x & y, x & ~y, ~x & y, ~x & ~y))]
+    return rounded(own.groupBy("g").agg(*cells).select("g", stats.association(*map(F.col, "abcd")).alias("t")).select("g", "t.test", "t.statistic", "t.p"))
+
+
+@query(B.sql("domains", then="l AS (SELECT fold, unnest(string_split(sequence, '')) AS c FROM domains WHERE sequence <> '') SELECT fold, CASE WHEN c IN ('H', 'G', 'I') THEN 'helix' WHEN c IN ('E', 'B') THEN 'strand' WHEN c IN ('T', 'S') THEN 'turn' WHEN c = 'C' THEN 'coil' END AS structure, count(*) AS n FROM l WHERE c <> '' GROUP BY ALL"))
+def structure_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters as classes of structure, by group; those of no group are null."""
+    letters = B.domains(spark, sf_dir).where("sequence <> ''").select("fold", F.explode(F.split("sequence", "")).alias("c")).where("c <> ''")
+    return rounded(letters.groupBy("fold", annotations.structure_group(F.col("c")).alias("structure")).agg(F.count(F.lit(1)).alias("n")))

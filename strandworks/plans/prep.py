@@ -31,12 +31,12 @@ def corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kept.select("uid", F.length("s").alias("n"), F.md5(F.col("s").cast("binary")).alias("digest")))
 
 
-@query(B.sql("domains", then="SELECT uid, translate(substr(sequence, 1, 40), 'UZOB', 'XXXX') AS plain, CAST(list_sum(list_transform(string_split(substr(sequence, 1, 40), ''), lambda c: CASE WHEN c = '' THEN 0 WHEN instr('ACDEFGHIKLMNPQRSTVWY', c) > 0 THEN instr('ACDEFGHIKLMNPQRSTVWY', c) + 4 ELSE 4 END)) AS BIGINT) AS ids FROM domains WHERE sequence <> ''"))
+@query(B.sql("domains", then="SELECT uid, md5(translate(sequence, 'UZOB', 'XXXX')) AS plain, CAST(list_sum(list_transform(string_split(sequence, ''), lambda c: CASE WHEN c = '' THEN 0 WHEN instr('ACDEFGHIKLMNPQRSTVWY', c) > 0 THEN instr('ACDEFGHIKLMNPQRSTVWY', c) + 4 ELSE 4 END)) AS BIGINT) AS ids FROM domains WHERE sequence <> ''"))
 def letter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rare letters as X, and the sum of the ids of the first letters."""
-    own = B.domains(spark, sf_dir).where("sequence <> ''").select("uid", F.substring("sequence", 1, 40).alias("s"))
-    ids = sequences.letters_to_ids(F.col("s"), "ACDEFGHIKLMNPQRSTVWY")
-    return rounded(own.select("uid", F.translate("s", "UZOB", "XXXX").alias("plain"), F.aggregate(ids, F.lit(0), lambda a, x: a + x).alias("ids")))
+    """Rare letters as X, as a digest, and the sum of the ids of all letters."""
+    own = B.domains(spark, sf_dir).where("sequence <> ''").select("uid", "sequence")
+    ids = sequences.letters_to_ids(F.col("sequence"), "ACDEFGHIKLMNPQRSTVWY")
+    return rounded(own.select("uid", F.md5(sequences.rare_letters_as_x(F.col("sequence")).cast("binary")).alias("plain"), F.aggregate(ids, F.lit(0), lambda a, x: a + x).alias("ids")))
 
 
 @query(B.sql("domains", then="c AS (SELECT fold, sum(length(sequence)) AS tokens FROM domains GROUP BY fold) SELECT fold, CAST(tokens AS BIGINT) AS tokens, CASE WHEN tokens < 5000 THEN 40 WHEN tokens < 50000 THEN 20 WHEN tokens < 500000 THEN 10 ELSE 5 END AS epochs FROM c"))
@@ -107,13 +107,21 @@ def gap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(own.select("g", features.gap_flag(F.col("train"), F.col("held")).alias("flagged")))
 
 
-@query()
+_PICKED = (
+    "k0 AS (SELECT min(event_type) AS k FROM events), a AS (SELECT uid, position::DOUBLE AS p, row_number() OVER (PARTITION BY uid ORDER BY position) AS i FROM chains, k0 WHERE event_type = k), "
+    "c AS (SELECT uid, list(position::DOUBLE ORDER BY position) AS free FROM chains, k0 WHERE event_type <> k GROUP BY uid), "
+    "s AS (SELECT uid, 0::BIGINT AS i, free, NULL::DOUBLE AS anchor, NULL::DOUBLE AS control FROM c UNION ALL SELECT uid, i, list_filter(free, lambda x: x <> pick), p, pick FROM "
+    "(SELECT s.uid, a.i, free, a.p, list_sort(list_transform(free, lambda x: {'g': abs(x - a.p), 'v': x}))[1].v AS pick FROM s JOIN a ON a.uid = s.uid AND a.i = s.i + 1 WHERE len(free) > 0)) "
+)
+
+
+@query(B.sql("chains", then=f"{_PICKED} SELECT uid, anchor, control, abs(anchor - control) AS gap FROM s WHERE i > 0").replace("WITH ", "WITH RECURSIVE ", 1))
 def greedy_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of events of one kind, each with the nearest free place of another kind in its chain."""
+    """Places of events of the first kind by name, each with the nearest free place of any other kind in its chain."""
     own = B.event_chains(spark, sf_dir).select("uid", F.col("position").cast("double").alias("position"), "event_type")
-    kinds = [r.event_type for r in own.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    part = lambda k: own.where(F.col("event_type") == k).select("uid", "position")
-    return rounded(sequences.greedy_controls(part(kinds[0]), part(kinds[1]), "uid", "position"))
+    kind = B.table(spark, sf_dir, "events").agg(F.min("event_type").alias("k"))  # one row
+    marked = own.join(F.broadcast(kind)).select("uid", "position", (F.col("event_type") == F.col("k")).alias("first"))
+    return rounded(sequences.greedy_controls(marked.where("first"), marked.where("NOT first"), "uid", "position"))
 
 
 @query(B.sql("chains", then="t AS (SELECT uid, list(value ORDER BY position) AS v FROM chains GROUP BY uid) SELECT uid, CAST(len(v) AS BIGINT) AS n, round(list_sum(v[2:]) - 100, 4) + 0.0 AS total FROM t"))

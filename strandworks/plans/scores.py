@@ -196,10 +196,17 @@ def validation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(locality.deltas(own).select("kind", "feature", "delta"))
 
 
+#: CTE dn (uid, src, dst): the degree-matched null of dg (uid, src, degree).
+DEGREE_SQL = (
+    "rk AS (SELECT uid, position, row_number() OVER (PARTITION BY uid ORDER BY md5(concat_ws(':', 7, uid, position)), position) - 1 AS r, count(*) OVER (PARTITION BY uid) AS l FROM places), "
+    "wk AS (SELECT d.uid, d.src, d.degree, l, s, (r - s + l) % l AS o FROM (SELECT dg.uid, dg.src, degree, l, r, ('0x' || substr(md5(concat_ws(':', 8, dg.uid, dg.src)), 1, 8))::BIGINT % l AS s FROM dg JOIN rk ON rk.uid = dg.uid AND rk.position = dg.src) d), "
+    "dn AS (SELECT x.uid, src, rk.position AS dst FROM (SELECT *, unnest(range(0, degree + CASE WHEN o < degree THEN 1 ELSE 0 END)) AS k FROM wk) x JOIN rk ON rk.uid = x.uid AND rk.r = (s + k) % x.l WHERE k <> o)"
+)
+
 _NULLS = (
-    "dg AS (SELECT uid, src, count(*) AS degree FROM contact GROUP BY ALL), dn AS (SELECT d.uid, d.src, p.position AS dst, degree, row_number() OVER (PARTITION BY d.uid, d.src ORDER BY md5(concat_ws(':', 7, d.uid, d.src, p.position)), p.position) AS k FROM dg d JOIN places p ON d.uid = p.uid AND p.position <> d.src), "
+    "dg AS (SELECT uid, src, count(*) AS degree FROM contact GROUP BY ALL), " + DEGREE_SQL + ", "
     "gn AS (SELECT uid, position, row_number() OVER (ORDER BY md5(concat_ws(':', 9, concat_ws(':', uid, position))), concat_ws(':', uid, position)) - 1 AS i, count(*) OVER () AS n FROM places), "
-    "edge AS (SELECT 'contact' AS kind, uid, src, uid AS other, dst FROM contact UNION ALL SELECT 'degree', uid, src, uid, dst FROM dn WHERE k <= degree UNION ALL SELECT 'global', c.uid, c.src, g.uid, g.position FROM contact c JOIN gn g ON g.i = ('0x' || substr(md5(concat_ws(':', 10, c.uid, c.src, c.dst)), 1, 8))::BIGINT % g.n)"
+    "edge AS (SELECT 'contact' AS kind, uid, src, uid AS other, dst FROM contact UNION ALL SELECT 'degree', uid, src, uid, dst FROM dn UNION ALL SELECT 'global', c.uid, c.src, g.uid, g.position FROM contact c JOIN gn g ON g.i = ('0x' || substr(md5(concat_ws(':', 10, c.uid, c.src, c.dst)), 1, 8))::BIGINT % g.n)"
 )
 
 

@@ -151,8 +151,19 @@ def parse_cell(path: str) -> tuple:
 
 
 def write_cells(results: DataFrame, path: str) -> None:
-    """Result tables by model and layer; a cell that is there stays, so a run that broke off can go on."""
-    results.write.partitionBy("model", "layer").mode("append").parquet(path)
+    """Result tables by model and layer. A cell that is written again is replaced, also one that a run that broke off has left
+    behind in parts; cells that results don't have stay. Files are staged and moved when all tasks have ended."""
+    results.write.partitionBy("model", "layer").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def missing_cells(cells: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """Those of the cells (model, layer) that no file under path has yet: what a run has still to do."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return cells
+    done = spark.read.parquet(path).select(F.col("model").cast("string").alias("model"), F.col("layer").cast("long").alias("layer")).distinct()
+    kinds = [F.col(c).cast(cells.schema[c].dataType).alias(c) for c in ("model", "layer")]
+    return cells.join(done.select(*kinds), ["model", "layer"], "left_anti")
 
 
 def write_dataset(entries: DataFrame, residues: DataFrame, path: str) -> None:
