@@ -42,9 +42,11 @@ COORDINATES, MATCHES = 64, 36
 #: Neighbours in a list that are compared at first.
 NEXT = 2
 #: Comparisons in a list that one task makes, and how often longer lists are dealt anew.
-WORK, DEPTH = 20_000_000, 4
+WORK, DEPTH = 200_000_000, 4
 #: Turns after which a list's pairs all come out.
-TURNS = 5
+TURNS = 2
+#: Row ids up to this many are broadcast.
+FEW = 500_000
 #: Shingles in sets that a task keeps while it confirms.
 CACHE = 400_000
 
@@ -370,7 +372,9 @@ def _confirm(words: int):
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    texts = rows.select("_row", "_text")
+    """Those of the pairs, cut, whose texts are similar. Only the texts of their ends travel."""
+    ends = cut(pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct())
+    texts = rows.select("_row", "_text").join(F.broadcast(ends) if ends.count() <= FEW else ends, "_row", "left_semi")
     both = pairs.select("a", "b").join(texts.select(F.col("_row").alias("b"), F.col("_text").alias("right")), "b")
     both = both.join(texts.select(F.col("_row").alias("a"), F.col("_text").alias("left")), "a")
     return cut(both.mapInArrow(_confirm(words), "a long, b long"))
