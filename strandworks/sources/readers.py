@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandworks.functions.lineage import cut
 from strandworks.functions.stats import percentiles
 
 RESIDUES = "uid string, position int, ss_8class string, sasa double, neighbor_count int"
@@ -19,17 +25,64 @@ LETTERS = {
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(uid, sccs, fold, sequence, file_ordinal) of `>uid sccs ...` records; fold: the first two dotted parts, `unknown` without.
 
-    Records are split by the text source, so a large file is read by many tasks; the ordinal follows the file's order.
+    Records are split by the text source, so a large file is read by many tasks; the ordinal follows the file's order. A
+    header is looked for up to its line's end only, and sequences are made apart from it: where no column of theirs is asked
+    for, as in `read_headers`, no sequence is made.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).withColumn("file_ordinal", F.monotonically_increasing_id())
-    lines = F.split(F.regexp_replace("value", r"^>", ""), r"\r?\n")
-    head = F.split(F.element_at(lines, 1), r"\s+")
-    sequence = F.upper(F.regexp_replace(F.array_join(F.slice(lines, 2, F.greatest(F.lit(0), F.size(lines) - 1)), ""), r"\s", ""))
+    head = F.split(F.regexp_extract("value", r"^>?([^\r\n]*)", 1), r"\s+")
+    sequence = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", ""))
     sccs = F.try_element_at(head, F.lit(2))
     out = raw.select(F.element_at(head, 1).alias("uid"), sccs.alias("sccs"), F.coalesce(F.array_join(F.slice(F.split(sccs, r"\."), 1, 2), "."), F.lit("unknown")).alias("fold"), sequence.alias("sequence"), "file_ordinal")
     return out.where("uid <> ''")
 
 
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(uid, sccs, fold) of the records of read_fasta, without their sequences: maps from ids to folds and clusters."""
+    return read_fasta(spark, path).select("uid", "sccs", "fold")
+
+
+def shuffled_rows(rows: DataFrame, n: int, seed: int, buffer: int = 10_000) -> DataFrame:
+    """n rows in no order of the table's, or all where there are fewer, from a bounded look at each partition.
+
+    Every partition fills a buffer of so many rows, hands on half of it in a pseudorandom order, and fills it again until it
+    has handed on its share; then it stops reading. If that gives fewer than n rows, as some partitions are short, shares
+    are doubled. The same files, dealt alike, and the same seed give the same rows. What is read follows n and the buffers,
+    not the table; the choice is as good as its buffers are large, unlike that of ordering.first_hashed, which ranks all.
+    """
+    count = rows.rdd.getNumPartitions()
+
+    def dealt(share: int) -> DataFrame:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
+            held: list[pa.RecordBatch] = []
+            left, more = share, True
+            while left and (more or held):
+                while more and sum(b.num_rows for b in held) < buffer:
+                    batch = next(it, None)
+                    more = batch is not None
+                    held += [batch] if batch is not None and batch.num_rows else []
+                if not held:
+                    return
+                whole = pa.concat_batches(held)
+                order = draw.permutation(whole.num_rows)
+                some = min(left, whole.num_rows if not more else max(1, whole.num_rows // 2))
+                yield whole.take(pa.array(order[:some]))
+                left -= some
+                rest = order[some:]
+                held = [whole.take(pa.array(rest))] if len(rest) else []
+
+        return rows.mapInArrow(run, rows.schema)
+
+    share = -(-n // max(1, count))
+    while True:
+        found = cut(dealt(share).limit(n))
+        m = found.count()
+        if m >= n or m < share:  # enough, or no partition had as many as its share
+            return found
+        share *= 2
+
+
 def read_chains(spark: SparkSession, path: str) -> DataFrame:
     """(file, chain, first, ordinal, letter, x, y, z) of the alpha carbons of every chain of the first model in fixed-width
     structure files. first: the line of a chain's first one; ordinals count from 0 in each chain; letters of unknown codes are X.

@@ -89,3 +89,32 @@ def test_sinks(spark, tmp_path):
     cells = spark.createDataFrame([("m", 1, 0.5)], "model string, layer int, v double")
     R.write_cells(cells, str(tmp_path / "c"))
     assert R.layers(spark.read.parquet(str(tmp_path / "c"))).first().layers == [1]
+
+
+def test_headers_without_sequences(spark, tmp_path):
+    (tmp_path / "s.fa").write_text(">d1 a.1.2.3 first one\nACD\nEF\r\n>d2\r\nGH\n>d3 b.2\n")
+    whole = R.read_fasta(spark, str(tmp_path / "s.fa"))
+    assert [(r.uid, r.sccs, r.fold, r.sequence) for r in whole.orderBy("file_ordinal").collect()] == [("d1", "a.1.2.3", "a.1", "ACDEF"), ("d2", None, "unknown", "GH"), ("d3", "b.2", "b.2", "")]
+    heads = R.read_headers(spark, str(tmp_path / "s.fa"))
+    assert sorted(tuple(r) for r in heads.collect()) == sorted(tuple(r) for r in whole.select("uid", "sccs", "fold").collect())
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert "upper(" not in plan and "regexp_replace" not in plan and "regexp_extract" in plan
+
+
+def test_shuffled_rows_read_a_bounded_part(spark, tmp_path):
+    spark.range(0, 200_000, 1, 4).selectExpr("id", "repeat(uuid(), 20) AS x").write.parquet(str(tmp_path / "t"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for batch in it:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = spark.read.parquet(str(tmp_path / "t"))
+    some = [r.id for r in R.shuffled_rows(table.mapInArrow(counted, table.schema), 400, 7, 1000).collect()]
+    assert len(set(some)) == 400 and seen.value < 100_000, seen.value
+    assert some == [r.id for r in R.shuffled_rows(table, 400, 7, 1000).collect()]
+    assert some != [r.id for r in R.shuffled_rows(table, 400, 8, 1000).collect()] and some != sorted(some)
+    uneven = spark.createDataFrame([(i,) for i in range(50)], "id long").repartition(1).unionByName(spark.createDataFrame([(99,)], "id long").repartition(3))
+    assert len({r.id for r in R.shuffled_rows(uneven, 40, 1, 8).collect()}) == 40
+    assert {r.id for r in R.shuffled_rows(uneven, 1000, 1, 8).collect()} == {*range(50), 99} and R.shuffled_rows(uneven.limit(0), 5, 1).count() == 0
