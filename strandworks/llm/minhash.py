@@ -2,7 +2,7 @@
 
 A text's set is its distinct shingles of `words` words. Its signature has COORDINATES minima, one for each of as many
 hash functions, and two sets agree in each coordinate with the probability of their Jaccard similarity. Pairs that agree in
-MATCHES coordinates or more are held against each other; at a similarity of 0.85 all but 3 pairs in 10^8 do.
+MATCHES coordinates or more are held against each other; at a similarity of 0.85 all but one pair in 10^8 do.
 
 * Prefix: two signatures that agree in MATCHES of all coordinates agree in one of the first COORDINATES - MATCHES + 1, so
   only those coordinate-value pairs are posted.
