@@ -75,3 +75,24 @@ def shape(rows: DataFrame, by: list[str], layer: str, value: str, turn: float) -
     return rows.groupBy(*by).agg(
         F.corr(F.col(layer).cast("double"), value).alias("r"), F.max_by(layer, value).alias("peak"), F.min_by(layer, value).alias("trough"), F.avg(F.when(early, F.col(value))).alias("early"), F.avg(F.when(~early, F.col(value))).alias("late")
     )
+
+
+def control_metadata(meta: DataFrame, chains: DataFrame, weight_seed: int, most: int = 0) -> DataFrame:
+    """What a control of random weights takes over from each reference layer, and what follows for its training.
+
+    meta: (model, layer, embed_dim, sae_hidden_dim, k_sparse, k_aux, dead_threshold), all but the first three null where
+    unknown; chains: (model, layer, uid, ordinal, length, is_val). Only the first `most` chains of a layer count, if given.
+    The hidden size is a whole multiple of embed_dim, 8 where unknown. Epochs: about four million training places, and
+    four at least; without training chains all places count.
+    """
+    turn = F.row_number().over(Window.partitionBy("model", "layer").orderBy("ordinal"))
+    own = chains.withColumn("_turn", turn).where(F.col("_turn") <= most) if most else chains
+    sums = own.groupBy("model", "layer").agg(
+        F.count(F.lit(1)).alias("num_proteins"), F.sum("length").alias("total_residues"), F.count(F.when(F.col("is_val"), 1)).alias("num_val"), F.sum(F.when(~F.col("is_val"), F.col("length"))).alias("_train")
+    )
+    train = F.coalesce("_train", "total_residues")
+    epochs = F.greatest(F.lit(4).cast("long"), F.floor(4_000_000 / F.greatest(train, F.lit(1))))
+    hidden = F.expr("embed_dim * (coalesce(sae_hidden_dim, embed_dim * 8) div embed_dim)")
+    known = [F.coalesce(c, F.lit(d)).alias(c) for c, d in (("k_sparse", 256), ("k_aux", 64), ("dead_threshold", 1_000_000))]
+    out = meta.join(sums, ["model", "layer"])
+    return out.select(F.concat(F.lit("RANDOM-INIT "), "model").alias("model"), "layer", "embed_dim", hidden.alias("sae_hidden_dim"), *known, "num_proteins", "total_residues", "num_val", epochs.alias("epochs"), F.lit("randomized_weights").alias("control"), F.lit(weight_seed).alias("weight_seed"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandworks.functions import stats
 from strandworks.functions.ordering import first_hashed
-from strandworks.operators import features, graphs, interventions, locality, resampling, sequences
+from strandworks.operators import features, graphs, interventions, layers, locality, resampling, sequences
 from strandworks.plans import bindings as B
 from strandworks.plans import findings, scores
 from strandworks.plans.registry import query, rounded
@@ -184,3 +184,17 @@ def token_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = B.values(spark, sf_dir).withColumn("z", F.greatest("z", F.lit(0.0))).groupBy("uid", F.expr("position div 4").alias("token"), "feature").agg(F.avg("z").alias("z"))
     spans = B.places(spark, sf_dir).withColumn("token", F.expr("position div 4")).withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("uid", "token")))
     return rounded(graphs.project_tokens(own, spans, "z"))
+
+
+@query(
+    "WITH t AS (SELECT c_mktsegment AS model, c_nationkey AS layer, 1 + c_custkey % 97 AS length, c_custkey % 10 = 0 AS is_val, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS turn, 64 + 8 * c_nationkey AS e FROM customer) "
+    "SELECT 'RANDOM-INIT ' || model AS model, layer, any_value(e) AS embed_dim, any_value(e) * CASE WHEN layer % 3 = 0 THEN 8 ELSE (10 * any_value(e) + 3) // any_value(e) END AS sae_hidden_dim, CASE WHEN layer % 2 = 0 THEN 256 ELSE 96 END AS k_sparse, 64 AS k_aux, 1000000 AS dead_threshold, "
+    "count(*) AS num_proteins, CAST(sum(length) AS BIGINT) AS total_residues, count(*) FILTER (WHERE is_val) AS num_val, CAST(greatest(4, 4000000 // greatest(coalesce(sum(length) FILTER (WHERE NOT is_val), sum(length)), 1)) AS BIGINT) AS epochs, 'randomized_weights' AS control, 7 AS weight_seed FROM t WHERE turn <= 20 GROUP BY model, layer"
+)
+def control_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of random-weight controls: market segments as models, nations as layers, customers as chains."""
+    c = B.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("model"), F.col("c_nationkey").alias("layer"), F.col("c_custkey").alias("uid"))
+    size = 64 + 8 * F.col("layer")
+    meta = c.select("model", "layer").distinct().select("model", "layer", size.alias("embed_dim"), F.when(F.col("layer") % 3 != 0, 10 * size + 3).alias("sae_hidden_dim"), F.when(F.col("layer") % 2 != 0, 96).alias("k_sparse"), F.lit(None).cast("int").alias("k_aux"), F.lit(None).cast("int").alias("dead_threshold"))
+    chains = c.select("model", "layer", "uid", F.col("uid").alias("ordinal"), (1 + F.col("uid") % 97).alias("length"), (F.col("uid") % 10 == 0).alias("is_val"))
+    return rounded(layers.control_metadata(meta, chains, 7, 20))
