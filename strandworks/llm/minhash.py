@@ -247,8 +247,31 @@ def _lists_out(token: np.ndarray, last: np.ndarray, node: np.ndarray) -> Iterato
         yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(own[0]), pa.int64())] * 3], schema=_MET)
 
 
+def partnered(own: np.ndarray) -> np.ndarray:
+    """Whether each member of a list (a column of sizes, digests and parities) can link with another one, as _can_link has it."""
+    size = own.shape[1]
+    n, digest, parity = own[0], own[1 : 1 + len(_DIGEST)].view(np.uint64), own[1 + len(_DIGEST) :].view(np.uint64)
+    out = np.zeros(size, bool)
+    step = max(1, 250_000 // size)
+    for i in range(0, size, step):
+        here = slice(i, min(i + step, size))
+        apart = np.zeros((here.stop - i, size), np.uint8)
+        for d in digest:
+            x = d[here, None] ^ d[None, :]
+            x |= x >> np.uint64(2)
+            apart += np.bitwise_count((x | x >> np.uint64(1)) & _NIBBLE)
+        k, j = np.nonzero(apart <= COORDINATES - MATCHES)
+        k, j = k[k + i != j] + i, j[k + i != j]
+        for first in range(0, len(k), 1_000_000):
+            x, y = k[first : first + 1_000_000], j[first : first + 1_000_000]
+            good = _can_be(n[x], n[y], np.bitwise_count(parity[:, x] ^ parity[:, y]).sum(axis=0, dtype=np.int64))
+            out[x[good]] = True
+            out[y[good]] = True
+    return out
+
+
 def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among next neighbours of each list, and again the members of lists that hold more pairs."""
+    """Candidates among next neighbours of each list; of lists that hold more pairs, again the members that have candidates."""
     for block, edges, _ in lists(it):
         size = np.diff(edges)
         end = np.repeat(edges[1:], size)
@@ -257,8 +280,10 @@ def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             agree = _can_link(block[3:, i], block[3:, i + shift])
             i, agree = i[agree > 0], agree[agree > 0]
             yield from _pairs_out(block[2, i], block[2, i + shift], agree)
-        more = np.flatnonzero(np.repeat(size > NEXT + 1, size))
-        yield from _lists_out(*block[:3, more])
+        more = [np.zeros(0, np.int64)]
+        for s, e in zip(edges[:-1][size > NEXT + 1].tolist(), edges[1:][size > NEXT + 1].tolist()):
+            more.append(s + np.flatnonzero(partnered(np.ascontiguousarray(block[3:, s:e])) if (e - s) ** 2 <= WORK else np.ones(e - s, bool)))
+        yield from _lists_out(*block[:3, np.concatenate(more)])
 
 
 def forest(node: np.ndarray, root: np.ndarray, barred: set[tuple[int, int]], similar: Callable[[int, np.ndarray], np.ndarray], all_pairs: bool) -> Iterator[tuple[int, int]]:

@@ -147,3 +147,13 @@ def test_forest_ties_what_all_pairs_tie(seed):
     assert components(found) == components(true) and turns > 1
     everything = set(minhash.forest(node, np.array(start), set(), similar, True))
     assert {(max(p), min(p)) for p in everything} == {p for p in maybe if start[p[0]] != start[p[1]]}
+
+
+def test_members_with_candidates():
+    r = np.random.default_rng(4)
+    own = r.integers(-(2**63), 2**63 - 1, (1 + len(minhash._DIGEST) + 4, 60))
+    own[0] = r.integers(90, 110, 60)
+    own[:, 40:55] = own[:, 3:18]  # the same sets again
+    own[1:5, 55:] = own[1:5, :5]  # digests agree, parities don't
+    want = np.array([any(i != j and minhash._can_link(own[:, [i]], own[:, [j]])[0] > 0 for j in range(60)) for i in range(60)])
+    assert minhash.partnered(own).tolist() == want.tolist() and 30 <= want.sum() < 60
