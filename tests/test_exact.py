@@ -71,6 +71,18 @@ def test_degree_matched_null(spark):
     assert {k: sum((u, s) == k for u, s, _ in null) for k in want} == want and {d for u, _, d in null if u == 2} <= set(range(40))
 
 
+def test_degree_matched_null_draws_for_every_place_anew(spark):
+    places = spark.createDataFrame([(1, p) for p in range(60)], "uid int, position int")
+    null = graphs.degree_matched_null(places, graphs.band_edges(places, 2), 5).collect()
+    partners = {s: frozenset(x.dst for x in null if x.src == s) for s in range(60)}
+    # with one order of the chain for all places, two places that share a partner share its neighbour in that order too
+    beside: dict = {}
+    for own in partners.values():
+        for d in own:
+            beside.setdefault(d, set()).update(own - {d})
+    assert max(len(x) for x in beside.values()) > 8
+
+
 def test_cascade_and_groups(spark):
     rows = [("x", 3, "AAAA"), ("x", 1, "AA"), ("x", 2, "AAAB"), ("x", 5, "AAAA"), ("y", 4, "AAAAAAA"), ("y", 6, None), ("y", 7, "aaaa")]
     got = {x.n: x.reason for x in sequences.cascade(spark.createDataFrame(rows, "k string, n int, s string"), "s", "k", "n", "A", 3, 5).collect()}
