@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.functions.lineage import cut
 from strandworks.functions.ordering import hash_number, hashed_index, shuffle_key
 from strandworks.functions.stats import cohens_d, percentiles, ranked
 from strandworks.operators.chainwise import chain_sums
@@ -183,9 +184,10 @@ def paired_differences(values: DataFrame, key: str, kind: str, value: str, a: st
 def correlation_trace(values: DataFrame, key: str, layer: str, value: str, against: DataFrame, weights: DataFrame) -> DataFrame:
     """(b, rho): in each resample the rank correlation over layers of the drawn units' means with `against` (layer, score).
 
-    Draws are shared by the layers.
+    Draws are shared by the layers. Means are cut before they are ranked: a sum of doubles that is worked out twice may
+    differ in its last bits, and a rank is found by its value.
     """
-    means = weighted_means(values, key, value, weights, [layer]).join(against, layer)
+    means = cut(weighted_means(values, key, value, weights, [layer]).join(against, layer))
     both = ranked(ranked(means, "mean", ["b"], "_x"), "score", ["b"], "_y")
     return both.groupBy("b").agg(F.corr("_x", "_y").alias("rho"))
 

@@ -150,3 +150,12 @@ def test_compare_by_hand(spark, direction, want):
     rows = spark.createDataFrame([(1, v, True) for v in (5.0, 6.0, 7.0, 8.0)] + [(1, v, False) for v in (1.0, 2.0, 3.0, 4.0)], "g int, v double, a boolean")
     got = stats.compare(rows, "v", F.col("a"), ["g"], direction).first()
     assert got.u == 16 and got.median_a == 6.5 and got.median_b == 2.5 and abs(got.p - want) < 0.01  # exact p beside the approximation
+
+
+def test_correlation_trace_of_values_that_differ_in_their_last_bits_when_worked_out_again(spark):
+    values = spark.createDataFrame([(u, layer, 10.0 * layer + u) for u in range(6) for layer in range(7)], "uid int, layer int, v double")
+    plain = spark.createDataFrame([(layer, float(layer * layer)) for layer in range(7)], "layer int, score double")
+    shaky = plain.withColumn("score", F.col("score") + F.udf(lambda: random.random() * 1e-9, "double").asNondeterministic()())
+    weights = spark.createDataFrame([(b, u, 1 + (u + b) % 3) for b in range(3) for u in range(6)], "b int, uid int, w int")
+    got = resampling.correlation_trace(values, "uid", "layer", "v", shaky, weights).collect()
+    assert len(got) == 3 and all(r.rho == pytest.approx(1.0) for r in got)
