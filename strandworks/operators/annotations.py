@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandworks.functions.lineage import cut
 from strandworks.functions.stats import correlation_p, percentiles, rank_correlations, with_bh
 
 #: One-letter classes of secondary structure (fixed values).
@@ -63,7 +64,7 @@ def correlations(acts: DataFrame, marks: DataFrame, names: list[str], features:
 
 def interpretability(acts: DataFrame, marks: DataFrame, names: list[str], features: DataFrame | None = None) -> DataFrame:
     """correlations with q: Benjamini-Hochberg over the features of each annotation on its own."""
-    return with_bh(correlations(acts, marks, names, features), "p", ["annotation"])
+    return with_bh(cut(correlations(acts, marks, names, features)), "p", ["annotation"])  # q is found by p, so p is worked out once
 
 
 def any_significant(tested: DataFrame, level: float = 0.05) -> DataFrame:
@@ -74,7 +75,7 @@ def any_significant(tested: DataFrame, level: float = 0.05) -> DataFrame:
 def least_p(tested: DataFrame, level: float = 0.05) -> DataFrame:
     """(feature, p, q, significant): the least p over the annotations, and its q over the features. Not any_significant:
     here the correction comes after the choice."""
-    least = tested.groupBy("feature").agg(F.min("p").alias("p"))
+    least = cut(tested.groupBy("feature").agg(F.min("p").alias("p")))  # q is found by p, so p is worked out once
     return with_bh(least, "p", []).withColumn("significant", F.col("q") < level)
 
 
@@ -110,4 +111,4 @@ def extended(values: DataFrame, marks: DataFrame, continuous: list[str], sites:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return any_significant(with_bh(out, "p", ["annotation"]), level)
+    return any_significant(with_bh(cut(out), "p", ["annotation"]), level)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.functions.lineage import cut
 from strandworks.functions.stats import correlation_p, spearman
 
 
@@ -60,9 +61,11 @@ def depth_trends(values: DataFrame, model: str, layer: str, value: str, layers:
     """(model, n_layers, macro_rho, n_pairs, feature_rho, feature_p, significant): does the value rise with depth?
 
     macro: over the layers' means; feature: over every feature's value against its layer. Null rho below `layers` layers
-    or `pairs` pairs. values: a row for each feature and layer.
+    or `pairs` pairs. values: a row for each feature and layer. Values and means are cut before they are ranked: a sum of
+    doubles that is worked out twice may differ in its last bits, and a rank is found by its value.
     """
-    means = values.groupBy(model, layer).agg(F.avg(value).alias("_mean"))
+    values = cut(values)
+    means = cut(values.groupBy(model, layer).agg(F.avg(value).alias("_mean")))
     macro = spearman(means, layer, "_mean", [model], layers).select(model, F.col("n").alias("n_layers"), F.col("rho").alias("macro_rho"))
     each = spearman(values, layer, value, [model], pairs).select(model, F.col("n").alias("n_pairs"), F.col("rho").alias("feature_rho"))
     out = macro.join(each, model).where(F.col("n_layers") >= layers).withColumn("feature_p", F.when(F.col("feature_rho").isNotNull(), correlation_p(F.col("feature_rho"), F.col("n_pairs"))))
