@@ -65,3 +65,17 @@ def test_best_match_of_a_table_with_itself(spark):
     own = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "k long, v array<double>")
     got = {r.k: r.match for r in vectors.best_match(own, own, "k", "v", block=2, skip_same=True).collect()}
     assert got == {0: 1, 1: 0, 2: 1}
+
+
+def test_best_match_takes_the_least_of_keys_that_are_equal_to_nine_places(spark):
+    rows = [(1, [1.0, 0.0]), (5, [1.0, 1e-6]), (9, [2.0, 0.0]), (12, [0.0, 1.0])]
+    own = spark.createDataFrame(rows, "k long, v array<double>")
+    for block in (None, 1, 2):
+        assert {r.k: r.match for r in vectors.best_match(own, own, "k", "v", block=block, skip_same=True).collect()} == {1: 5, 5: 1, 9: 1, 12: 5}
+
+
+def test_dataset_summary_reads_the_texts_once(spark):
+    from strandworks.plans import core
+
+    plan = core.dataset_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "documents.parquet" not in plan and "regexp_replace" not in plan
