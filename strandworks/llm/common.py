@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: What counts as white space in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Narrow rows that make a partition of a gathered frame, and rows up to which one is broadcast.
+GATHERED, FEW = 200_000, 500_000
 
 
 def parts(spark: SparkSession) -> int:
@@ -39,6 +41,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame) -> tuple[DataFrame, int]:
+    """df of narrow rows, cut, in as few partitions as its rows need, and how many they are.
+
+    A frame in one partition is joined and grouped without a shuffle, so many small steps leave no files in every partition.
+    """
+    out = cut(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // GATHERED))), n
+
+
+def among(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose column `on`, a long, is in a column of ids, long ones all; few ids are broadcast, so that only those rows travel."""
+    one = ids.select(F.explode(F.array(*ids.columns)).alias(on)).distinct()
+    own, n = gathered(one)
+    return df.join(F.broadcast(own) if n <= FEW else own, on, "left_semi")
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a compressed table in the shared folder: for rows with whole texts, read column by column."""
     path = f"{_shared_folder(df)}/table-{uuid.uuid4().hex}"

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import gathered
+
+
+def _either(pairs: DataFrame) -> DataFrame:
+    """Both structs of each row; no union, which would leave the one partition of a small frame."""
+    return pairs.select(F.explode(F.array("x", "y")).alias("e")).select("e.*")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above u is tied to the least of u and its neighbours. edges: (u, v) with u > v."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _either(edges.select(F.struct("u", "v").alias("x"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")).alias("y")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
@@ -18,8 +23,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its neighbours below it are tied to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    tied = edges.join(least, "u").select(F.struct(F.col("v").alias("u"), F.col("m").alias("v")).alias("x"), F.struct("u", F.col("m").alias("v")).alias("y"))
+    return _either(tied).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,12 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def is_stars(e: DataFrame) -> bool:
-        up = e.select(F.col("u").alias("n"), F.lit(1).alias("above"), F.lit(0).alias("below"))
-        down = e.select(F.col("v").alias("n"), F.lit(0).alias("above"), F.lit(1).alias("below"))
-        seen = up.unionByName(down).groupBy("n").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+        ends = [F.struct(F.col(end).alias("n"), F.lit(above).alias("above"), F.lit(1 - above).alias("below")) for end, above in (("u", 1), ("v", 0))]
+        seen = _either(e.select(ends[0].alias("x"), ends[1].alias("y"))).groupBy("n").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
         return seen.where("above > 1 OR (above > 0 AND below > 0)").isEmpty()
 
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now, _ = gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not is_stars(now):
-        now = cut(_small_star(_large_star(now)))
+        now, _ = gathered(_small_star(_large_star(now)))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -8,8 +8,8 @@ MATCHES coordinates or more are held against each other; at a similarity of 0.85
   only those coordinate-value pairs are posted.
 * Counting: whoever meets in a list is compared by digests of whole signatures, 4 bits a coordinate, which never count too
   few agreements, and by parity bitmaps of the sets, which never differ in more bits than the sets do in members.
-* Skipping: each list first links its members to their next neighbours, in an order of its own. A list whose members are in
-  one component by then needs no more. In others, pairs are passed over whose ends are tied already, so that a list gives
+* Skipping: each list first gives a tree of its candidates, those pairs first that agree most. A list whose tree is tied by
+  then needs no more. In others, pairs are passed over whose ends are tied already, so that a list gives
   fewer pairs than it has components; it is gone through again where such a pair turns out not to be similar. A list that
   would take more than WORK comparisons is passed over whole: its members are posted again under that list and each later
   coordinate. Of the coordinates in which a pair agrees, the r-th is among the first COORDINATES - MATCHES + r, so no pair
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, binary_values, cut, parts, small_batches, utf8, written
+from .common import FEW, among, batches, binary_values, cut, gathered, parts, small_batches, utf8, written
 from .components import components
 
 #: Least Jaccard similarity of a link, as a fraction, so that it is compared in whole numbers.
@@ -45,8 +45,6 @@ NEXT = 2
 WORK, DEPTH = 200_000_000, 4
 #: Turns after which a list's pairs all come out.
 TURNS = 2
-#: Row ids up to this many are broadcast.
-FEW = 500_000
 #: Shingles in sets that a task keeps while it confirms.
 CACHE = 400_000
 
@@ -241,10 +239,10 @@ def _pairs_out(a: np.ndarray, b: np.ndarray, agree: np.ndarray, token: np.ndarra
         yield pa.RecordBatch.from_arrays([first, *[pa.nulls(len(x), pa.int64())] * 2, pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(agree[k : k + 16384])], schema=_MET)
 
 
-def _lists_out(token: np.ndarray, last: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _lists_out(token: np.ndarray, last: np.ndarray, node: np.ndarray, agree: int | None = None) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(token), 16384):
         own = [pa.array(x[k : k + 16384]) for x in (token, last, node)]
-        yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(own[0]), pa.int64())] * 3], schema=_MET)
+        yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(own[0]), pa.int64())] * 2, pa.array([agree] * len(own[0]), pa.int64())], schema=_MET)
 
 
 def partnered(own: np.ndarray) -> np.ndarray:
@@ -270,19 +268,50 @@ def partnered(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def tree(own: np.ndarray) -> list[tuple[int, int, int]]:
+    """Pairs (places of members, coordinates that agree) that tie together what all pairs of a list do that can link, those
+    first that agree most; in a list of over 512 members, all that meet the tied ones are tied at once."""
+    size = own.shape[1]
+    left, best, to, now, out = np.ones(size, bool), np.zeros(size, np.int64), np.zeros(size, np.int64), 0, []
+    while True:
+        left[now], best[now] = False, 0
+        rest = np.flatnonzero(left)
+        if not len(rest):
+            return out
+        agree = _can_link(own[:, rest], own[:, [now]])
+        more = agree > best[rest]
+        best[rest[more]], to[rest[more]] = agree[more], now
+        if size > 512 and best[rest].all():
+            return out + list(zip(to[rest].tolist(), rest.tolist(), best[rest].tolist()))
+        now = int(rest[best[rest].argmax()])
+        if best[now]:
+            out.append((int(to[now]), now, int(best[now])))
+
+
 def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among next neighbours of each list; of lists that hold more pairs, again the members that have candidates."""
+    """Candidates of each list: all pairs of a short one; of others a tree of pairs with the list's token, and again the members
+    that have candidates; of those with too many members for that the next neighbours, and all members with agree -1."""
     for block, edges, _ in lists(it):
         size = np.diff(edges)
-        end = np.repeat(edges[1:], size)
+        end = np.repeat(np.where((size <= NEXT + 1) | (size**2 > WORK), edges[1:], 0), size)
         for shift in range(1, NEXT + 1):
             i = np.flatnonzero(end > np.arange(len(end)) + shift)
             agree = _can_link(block[3:, i], block[3:, i + shift])
             i, agree = i[agree > 0], agree[agree > 0]
             yield from _pairs_out(block[2, i], block[2, i + shift], agree)
-        more = [np.zeros(0, np.int64)]
+        more, pairs = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
         for s, e in zip(edges[:-1][size > NEXT + 1].tolist(), edges[1:][size > NEXT + 1].tolist()):
-            more.append(s + np.flatnonzero(partnered(np.ascontiguousarray(block[3:, s:e])) if (e - s) ** 2 <= WORK else np.ones(e - s, bool)))
+            if (e - s) ** 2 > WORK:
+                yield from _lists_out(*block[:3, s:e], -1)
+                continue
+            here = s + np.flatnonzero(partnered(np.ascontiguousarray(block[3:, s:e])))
+            if len(here):
+                more.append(here)
+                own = np.array(tree(block[3:, here]), np.int64)
+                own[:, :2] = here[own[:, :2]]
+                pairs.append(own)
+        i, j, agree = np.concatenate(pairs).T
+        yield from _pairs_out(block[2, i], block[2, j], agree, block[0, i])
         yield from _lists_out(*block[:3, np.concatenate(more)])
 
 
@@ -359,9 +388,10 @@ def _sifted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    both = pairs.distinct()
+    both, _ = gathered(pairs.distinct())
+    some = among(nodes, both.select("a", "b"), "node")
     for end in ("a", "b"):
-        both = both.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("signature").alias(f"s{end}"), F.col("wide").alias(f"w{end}")), end)
+        both = both.join(some.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("signature").alias(f"s{end}"), F.col("wide").alias(f"w{end}")), end)
     return both.mapInArrow(_sifted, "a long, b long, agree long")
 
 
@@ -398,15 +428,16 @@ def _confirm(words: int):
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """Those of the pairs, cut, whose texts are similar. Only the texts of their ends travel."""
-    ends = cut(pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct())
-    texts = rows.select("_row", "_text").join(F.broadcast(ends) if ends.count() <= FEW else ends, "_row", "left_semi")
+    texts = among(rows.select("_row", "_text"), pairs.select("a", "b"), "_row")
     both = pairs.select("a", "b").join(texts.select(F.col("_row").alias("b"), F.col("_text").alias("right")), "b")
     both = both.join(texts.select(F.col("_row").alias("a"), F.col("_text").alias("left")), "a")
-    return cut(both.mapInArrow(_confirm(words), "a long, b long"))
+    return gathered(both.mapInArrow(_confirm(words), "a long, b long"))[0]
 
 
 def _apart_so_far(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose ends aren't in one component yet."""
+    so_far, n = gathered(so_far)
+    so_far = F.broadcast(so_far) if n <= FEW else so_far
     for end in ("a", "b"):
         pairs = pairs.join(so_far.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
     return pairs.where("_a <> _b").select("a", "b")
@@ -414,9 +445,10 @@ def _apart_so_far(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
 
 def several_roots(posted: DataFrame, so_far: DataFrame) -> DataFrame:
     """Members (token, node, ...) of the lists that lie in several components, with their root."""
-    rooted = posted.join(so_far, "node", "left").select(*posted.columns, F.coalesce("root", "node").alias("root"))
+    so_far, n = gathered(so_far)
+    rooted = posted.join(F.broadcast(so_far) if n <= FEW else so_far, "node", "left").select(*posted.columns, F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    return rooted.join(several, "token", "left_semi")
+    return among(rooted, several, "token")
 
 
 def tied_across(posted: DataFrame, links: DataFrame, meet: Callable[[DataFrame, DataFrame, DataFrame | None, bool], DataFrame], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -429,17 +461,17 @@ def tied_across(posted: DataFrame, links: DataFrame, meet: Callable[[DataFrame,
     """
     barred: DataFrame | None = None
     for turn in range(TURNS):
-        so_far = cut(components(links))
-        pairs = cut(meet(posted, so_far, barred, turn == TURNS - 1))
-        if pairs.isEmpty():
+        so_far = components(links)
+        pairs, n = gathered(meet(posted, so_far, barred, turn == TURNS - 1))
+        if not n:
             break
         good = confirm(pairs.select("a", "b").distinct())
         links = links.unionByName(good)
-        wrong = cut(pairs.join(good, ["a", "b"], "left_anti"))
-        if turn == TURNS - 1 or wrong.isEmpty():
+        wrong, n = gathered(pairs.join(good, ["a", "b"], "left_anti"))
+        if turn == TURNS - 1 or not n:
             break
         barred = wrong if barred is None else barred.unionByName(wrong)
-        posted = posted.join(wrong.select("token").distinct(), "token", "left_semi")
+        posted = among(posted, wrong.select("token"), "token")
     return links
 
 
@@ -449,21 +481,25 @@ def _links(nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     postings = nodes.mapInArrow(_first_postings, ", ".join(f"{c} long" for c in _POSTINGS.names))
     # another order in each list, so that a set has other neighbours in each
     met = cut(postings.repartition(n, "token").sortWithinPartitions("token", F.xxhash64("token", "node")).mapInArrow(_meet, _MET_DDL))
-    near = met.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    near = gathered(met.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("agree").alias("agree")))[0]
     ends = [near.select(F.col(x).alias("node"), F.struct("agree", F.xxhash64("a", "b").alias("turn"), F.col(y).alias("other")).alias("best")) for x, y in (("a", "b"), ("b", "a"))]
     best = ends[0].unionByName(ends[1]).groupBy("node").agg(F.max("best").alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return _confirmed(cut(_candidates(pairs, nodes).select("a", "b")), rows, words)
+        return _confirmed(gathered(_candidates(pairs, nodes).select("a", "b"))[0], rows, words)
 
     links = confirm(best.distinct())
-    links = links.unionByName(confirm(_apart_so_far(near.select("a", "b"), cut(components(links)))))
-    posted = met.where("token IS NOT NULL").select("token", "last", "node")
+    links = links.unionByName(confirm(_apart_so_far(near.select("a", "b"), components(links))))
+    # a list whose tree is tied by now needs no more
+    apart = gathered(_apart_so_far(near.select("a", "b"), components(links)))[0]
+    open_ = met.where("a IS NOT NULL AND token IS NOT NULL").join(F.broadcast(apart) if apart.count() <= FEW else apart, ["a", "b"], "left_semi").select("token")
+    posted = among(met.where("node IS NOT NULL").select("token", "last", "node"), open_.unionByName(met.where("agree = -1").select("token")), "token")
     for depth in range(1, DEPTH + 1):
         passed: list[DataFrame] = []
 
         def meet(posted: DataFrame, so_far: DataFrame, barred: DataFrame | None, all_pairs: bool, depth: int = depth, passed: list[DataFrame] = passed) -> DataFrame:
-            rows = several_roots(posted, so_far).withColumn("bar", F.lit(-1).cast("long")).join(nodes, "node").mapInArrow(_compared, _COMPARED_DDL)
+            several = gathered(several_roots(posted, so_far))[0]
+            rows = several.withColumn("bar", F.lit(-1).cast("long")).join(among(nodes, several.select("node"), "node"), "node").mapInArrow(_compared, _COMPARED_DDL)
             if barred is not None:
                 rows = rows.unionByName(barred.select("token", F.lit(0).cast("long").alias("last"), F.col("a").alias("node"), F.lit(0).cast("long").alias("root"), F.col("b").alias("bar"), *[F.lit(0).cast("long").alias(c) for c in _LONGS], F.lit(b"").alias("wide")))
             seen = cut(rows.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(_across(depth < DEPTH and not passed, all_pairs), _MET_DDL))
@@ -474,7 +510,8 @@ def _links(nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
         links = tied_across(posted, links, meet, confirm)
         if depth == DEPTH or not passed or passed[0].isEmpty():
             break
-        posted = passed[0].join(nodes.select("node", "signature"), "node").mapInArrow(_deeper(depth + 1), "token long, last long, node long")
+        again = gathered(passed[0])[0]
+        posted = again.join(among(nodes.select("node", "signature"), again.select("node"), "node"), "node").mapInArrow(_deeper(depth + 1), "token long, last long, node long")
     return links
 
 
