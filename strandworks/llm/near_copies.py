@@ -1,6 +1,8 @@
 """Near copies: components of texts whose sets of word shingles have a Jaccard similarity of at least SHARE.
 
-The links are exact, by prefix filtering. Under any one order of all shingles, two sets that similar share one of their
+First come SimHash fingerprints of the sets: sets whose fingerprints are equal or tied by two differing bits or fewer (the
+covering search of simhash) are candidates. They find the closest copies, not all that similar. The rest of the links is
+found by prefix filtering, so that together they are exact. Under any one order of all shingles, two sets that similar share one of their
 first n - ceil(SHARE n) + 1 shingles. The order here is rare first, as seen in a bounded sample: the sample decides only
 how many candidates there are, never which links are found. Sets that meet under a shingle are candidates if sizes and
 parity bitmaps allow the similarity (two bitmaps differ in no more bits than their sets in members), first small bitmaps,
@@ -22,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, cut, parts, small_batches, utf8, written
+from .common import FEW, among, binary_values, cut, gathered, parts, small_batches, utf8, written
 from .components import components
 from .minhash import Bitmaps, forest, lists, several_roots, tied_across
+from .simhash import fingerprint_links
 
 #: Least Jaccard similarity of near copies, as a fraction, so that it is compared in whole numbers.
 SHARE = (4, 5)
@@ -32,8 +35,6 @@ SHARE = (4, 5)
 SAMPLE, COMMON = 10_000, 100_000
 #: In a run of sets with a shingle in common, each meets so many next ones at first.
 NEXT = 7
-#: Row ids up to this many are broadcast.
-FEW = 500_000
 #: Pairs of a run that are looked through for members without a candidate.
 WORK = 400_000_000
 
@@ -44,7 +45,7 @@ WIDE = 2048
 #: Hashes that a task keeps of texts that it has verified.
 CACHE = 4_000_000
 
-_SETS = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), *[(b, pa.int64()) for b in BITS], ("wide", pa.binary()), ("prefix", pa.binary())])
+_SETS = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("fp", pa.int64()), *[(b, pa.int64()) for b in BITS], ("wide", pa.binary()), ("prefix", pa.binary())])
 _POSTINGS = pa.schema([(c, pa.int64()) for c in ("token", "node", "n", "low", "high")])
 _MET = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("later", pa.bool_())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -63,6 +64,14 @@ def _hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, words)], np.uint64))
 
 
+def _fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set: bits that over half of its hashes have."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(own), 8192):
+        counts += np.unpackbits(own[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(own), bitorder="little").view(np.uint64)[0])
+
+
 def _least(n: np.ndarray | int) -> np.ndarray | int:
     """Members that a set of n shares at least with one that similar."""
     return (SHARE[0] * n + SHARE[1] - 1) // SHARE[1]
@@ -99,7 +108,7 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 def _sets(words: int, common: np.ndarray, weight: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            digest, size, prefix, bitmap, wide = [], [], [], [], []
+            digest, size, prefix, bitmap, wide, fp = [], [], [], [], [], []
             for text in binary_values(batch.column(2)):
                 own = _hashes(text, words)
                 rank = np.zeros(len(own), np.int64)
@@ -109,11 +118,12 @@ def _sets(words: int, common: np.ndarray, weight: np.ndarray):
                 first = np.argsort(rank, kind="stable")[: len(own) - _least(len(own)) + 1]
                 digest.append(xxhash.xxh3_128_digest(own.tobytes()))
                 size.append(len(own))
+                fp.append(_fingerprint(own))
                 prefix.append(own[first].tobytes())
                 bitmap.append(np.packbits((np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(bool)).view(np.int64))
                 wide.append(np.packbits((np.bincount((own % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1).astype(bool)).tobytes())
             bits = np.array(bitmap, np.int64).reshape(-1, 4)
-            columns = [batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), *[pa.array(bits[:, i]) for i in range(4)], pa.array(wide, pa.binary()), pa.array(prefix, pa.binary())]
+            columns = [batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), *[pa.array(bits[:, i]) for i in range(4)], pa.array(wide, pa.binary()), pa.array(prefix, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=_SETS)
 
     return run
@@ -258,12 +268,24 @@ def _close(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) that are left by sizes and wide bitmaps."""
-    both = pairs.distinct()
+    both, _ = gathered(pairs.distinct())
+    some = among(sets, both.select("a", "b"), "node")
     for end in ("a", "b"):
-        both = both.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}")), end)
+        both = both.join(some.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}")), end)
     return both.mapInArrow(_close, "a long, b long")
 
 
+def _fingerprinted(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that their fingerprints tie: of equal ones, and of the links between fingerprints."""
+    least, n = gathered(sets.groupBy("fp").agg(F.min("node").alias("least")))
+    least = F.broadcast(least) if n <= FEW else least
+    same = sets.select("node", "fp").join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = gathered(fingerprint_links(least.select("fp")).distinct())[0]
+    for end in ("a", "b"):
+        links = links.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"_{end}")), end)
+    return same.unionByName(links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """Marked for broadcast if few; ids is cut."""
     return F.broadcast(ids) if ids.count() <= FEW else ids
@@ -271,16 +293,17 @@ def _few(ids: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar."""
-    pairs = cut(pairs.distinct())
-    ends = cut(pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct())
-    texts = rows.select("_row", "_text").join(_few(ends), "_row", "left_semi")
+    pairs, _ = gathered(pairs.distinct())
+    texts = among(rows.select("_row", "_text"), pairs.select("a", "b"), "_row")
     both = pairs.join(texts.select(F.col("_row").alias("b"), F.col("_text").alias("right")), "b")
     both = both.join(texts.select(F.col("_row").alias("a"), F.col("_text").alias("left")), "a")
-    return cut(both.mapInArrow(_similar(words), "a long, b long"))
+    return gathered(both.mapInArrow(_similar(words), "a long, b long"))[0]
 
 
 def _apart_so_far(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose ends aren't in one component yet."""
+    so_far, n = gathered(so_far)
+    so_far = F.broadcast(so_far) if n <= FEW else so_far
     for end in ("a", "b"):
         pairs = pairs.join(so_far.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
     return pairs.where("_a <> _b").select("a", "b")
@@ -293,20 +316,23 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole = written(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row")))
     rows = whole.select("_row", F.col(f"_doc.{id_col}").cast("long").alias("_id"), utf8(f"_doc.{text_col}").alias("_text"))
     common, weight = _common(rows, words)
-    each = rows.mapInArrow(_sets(words, common, weight), "_row long, _id long, digest binary, n long, b0 long, b1 long, b2 long, b3 long, wide binary, prefix binary")
+    each = rows.mapInArrow(_sets(words, common, weight), "_row long, _id long, digest binary, n long, fp long, b0 long, b1 long, b2 long, b3 long, wide binary, prefix binary")
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("best")
-    same = each.groupBy("digest").agg(best, *[F.first(c).alias(c) for c in ("n", *BITS, "wide", "prefix")])
-    sets = cut(same.select(F.col("best._row").alias("node"), F.col("best._id").alias("_id"), "n", *BITS, "wide", "prefix"))
+    same = each.groupBy("digest").agg(best, *[F.first(c).alias(c) for c in ("n", "fp", *BITS, "wide", "prefix")])
+    sets = cut(same.select(F.col("best._row").alias("node"), F.col("best._id").alias("_id"), "n", "fp", *BITS, "wide", "prefix"))
     folded = [F.col(x).bitwiseXOR(F.col(y)).alias(c) for x, y, c in (("b0", "b2", "low"), ("b1", "b3", "high"))]
     postings = sets.select("node", "n", *folded, "prefix").mapInArrow(_postings, "token long, node long, n long, low long, high long")
     met = cut(postings.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(_meet, "token long, node long, a long, b long, later boolean"))
-    links = _verified(_candidates(met.where("NOT later").select("a", "b"), sets), rows, words)
-    so_far = cut(components(links))
+    links = _verified(_candidates(_fingerprinted(sets), sets), rows, words)
+    first = _apart_so_far(met.where("NOT later").select("a", "b").distinct(), components(links))
+    links = links.unionByName(_verified(_candidates(first, sets), rows, words))
+    so_far = components(links)
     posted = met.where("token IS NOT NULL").select("token", "node")
 
     def meet(posted: DataFrame, so_far: DataFrame, barred: DataFrame | None, all_pairs: bool) -> DataFrame:
         none = F.lit(-1).cast("long").alias("bar")
-        each = several_roots(posted, so_far).join(sets, "node").select("token", "node", "n", "root", none, *BITS, "wide")
+        several = gathered(several_roots(posted, so_far))[0]
+        each = several.join(among(sets, several.select("node"), "node"), "node").select("token", "node", "n", "root", none, *BITS, "wide")
         if barred is not None:
             zero = F.lit(0).cast("long")
             each = each.unionByName(barred.select("token", F.col("a").alias("node"), zero.alias("n"), zero.alias("root"), F.col("b").alias("bar"), *[zero.alias(c) for c in BITS], F.lit(b"").alias("wide")))
