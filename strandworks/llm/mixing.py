@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, parts
+from .common import FEW, WORD, cut, parts
 
 BLOCK = 32
 SHARD_BLOCKS = 1 << 13
@@ -35,6 +35,12 @@ REPEATS = 2
 WEIGHTS, BUDGET = (3, 1, 2), 1.5
 
 
+def _with_few(df: DataFrame, few: DataFrame, on: str | list[str], rows: int) -> DataFrame:
+    """df joined to a frame of so many rows. The side that is broadcast is named: of rows before an explode Spark knows the size, not
+    of those that come out, and would send them all through the driver."""
+    return df.join(F.broadcast(few) if rows <= FEW else few.hint("merge"), on)
+
+
 def _sources(sized: DataFrame, budget: float, repeats: float) -> DataFrame:
     """source, has_source, source_size, blocks, target, slots. One row for each source, so the windows are over few rows."""
     totals = sized.groupBy("source", "has_source").agg(F.sum("size").alias("source_size"))
@@ -73,17 +79,17 @@ def _packed(sized: DataFrame, words: int) -> DataFrame:
     return pieces.select("k", "block", "doc", "row", (lo - F.col("block") * BLOCK).alias("begin"), (lo - F.col("begin")).alias("first"), (hi - lo).alias("words"))
 
 
-def _draws(sources: DataFrame, total: int, bins: int, seed: int) -> DataFrame:
-    """k, shard, base (of its slot numbers), n: how many blocks of each source every shard takes. bins: for the look-up of draws."""
+def _draws(sources: DataFrame, total: int, bins: int, seed: int, rows: int) -> DataFrame:
+    """k, shard, base (of its slot numbers), n: how many blocks of each source every shard takes. bins: for the look-up of draws; rows: of sources."""
     ends = F.sum("slots").over(Window.orderBy("k"))
     spans = sources.where("slots > 0").select("k", ((ends - F.col("slots")) / total).alias("lo"), (ends / total).alias("hi"))
     spans = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.least(F.floor(F.col("hi") * bins), F.lit(bins - 1)))))
     u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     shards = -(-total // SHARD_BLOCKS)
     slots = sources.sparkSession.range(total).select(F.floor(F.col("id") / SHARD_BLOCKS).cast("int").alias("shard"), u.alias("u")).withColumn("bin", F.floor(F.col("u") * bins))
-    drawn = slots.join(spans, "bin").where("u >= lo AND u < hi").groupBy("k", "shard").agg(F.count(F.lit(1)).alias("drawn"))
+    drawn = _with_few(slots, spans, "bin", bins + rows).where("u >= lo AND u < hi").groupBy("k", "shard").agg(F.count(F.lit(1)).alias("drawn"))
     upto = F.sum("drawn").over(Window.partitionBy("k").orderBy("shard"))
-    counted = drawn.join(sources.select("k", "slots"), "k").withColumn("base", upto - F.col("drawn"))
+    counted = _with_few(drawn, sources.select("k", "slots"), "k", rows).withColumn("base", upto - F.col("drawn"))
     kept = counted.withColumn("n", F.greatest(F.lit(0), F.least("drawn", F.col("slots") - F.col("base"))))
     got = kept.groupBy("k").agg(F.sum("n").alias("got"))
     short = sources.join(got, "k", "left").withColumn("base", F.coalesce("got", F.lit(0))).select("k", F.lit(shards).alias("shard"), "base", (F.col("slots") - F.col("base")).alias("n"))
@@ -123,7 +129,7 @@ class Mix:
         self.sources = cut(_sources(sized, BUDGET, REPEATS))
         self.sized = cut(sized.join(self.sources.select("source", "has_source", "k", "source_size", "target"), ["source", "has_source"]))
         total, words, sources = self.sources.agg(F.sum("slots"), F.sum("source_size"), F.count(F.lit(1))).first()
-        draws = _draws(self.sources, total, 16 * sources, seed) if total else None
+        draws = _draws(self.sources, total, 16 * sources, seed, sources) if total else None
         if draws is None:
             draws = self.sources.where("false").select("k", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("n"))
         step = 4096
@@ -133,8 +139,8 @@ class Mix:
         numbers = dealt.select("k", "shard", F.explode(F.sequence("from", F.greatest("from", F.least(F.col("from") + step, "end") - 1))).alias("number"))
         passes = self.sources.where("blocks > 0").select("k", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(REPEATS)).cast("long"))).alias("pass"))
         rounds = passes.select("k", "blocks", "pass", centres(F.col("blocks"), F.struct("k", "pass"), seed).alias("rounds"))
-        slots = numbers.join(self.sources.select("k", "blocks"), "k").withColumn("pass", F.floor(F.col("number") / F.col("blocks"))).withColumn("at", F.col("number") % F.col("blocks")).drop("blocks")
-        slots = slots.join(rounds, ["k", "pass"])
+        slots = _with_few(numbers, self.sources.select("k", "blocks"), "k", sources).withColumn("pass", F.floor(F.col("number") / F.col("blocks"))).withColumn("at", F.col("number") % F.col("blocks")).drop("blocks")
+        slots = _with_few(slots, rounds, ["k", "pass"], (int(REPEATS) + 1) * sources)
         self.slots = slots.select("k", "shard", "number", "pass", permuted(F.col("at"), F.col("blocks"), F.col("rounds")).alias("block"))
         self.taken = self.slots.join(_packed(self.sized, words or 0), ["k", "block"])
 

@@ -134,3 +134,29 @@ def test_permutation_is_one(spark):
     n = 97
     rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), mixing.centres(F.lit(n), F.lit(3), 7)).alias("y")).collect()
     assert sorted(r.y for r in rows) == list(range(n)) and [r.y for r in rows] != list(range(n))
+
+
+def _broadcast_rows(plan):
+    """Rows of each broadcast in an executed plan."""
+    name, below = plan.nodeName(), plan.children()
+    own = [plan.metrics().apply("numOutputRows").value()] if "BroadcastExchange" in name else []
+    nodes = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [below.apply(i) for i in range(below.size())]
+    return own + [n for p in nodes for n in _broadcast_rows(p)]
+
+
+def test_slots_are_never_broadcast(spark, docs):
+    """With more partitions than sources, Spark broadcast the other side: every slot, as it knew the size of the runs alone."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "4k"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        mix = mixing.Mix(docs)
+        slots = mix.slots.count()
+        out = mix.slots.groupBy("k").agg(F.count("block"), F.max("block"))
+        out.collect()
+        sent = _broadcast_rows(out._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sent and slots > 1000 and max(sent) < 200
