@@ -8,8 +8,8 @@ MATCHES coordinates or more are held against each other; at a similarity of 0.85
   only those coordinate-value pairs are posted.
 * Counting: whoever meets in a list is compared by digests of whole signatures, 4 bits a coordinate, which never count too
   few agreements, and by parity bitmaps of the sets, which never differ in more bits than the sets do in members.
-* Skipping: each list first gives a tree of its candidates, those pairs first that agree most. A list whose tree is tied by
-  then needs no more. In others, pairs are passed over whose ends are tied already, so that a list gives
+* Skipping: each list first gives trees of its candidates, those pairs first that agree most; each tree's members are a list of
+  their own from then on. A list whose tree is tied by then needs no more. In others, pairs are passed over whose ends are tied already, so that a list gives
   fewer pairs than it has components; it is gone through again where such a pair turns out not to be similar. A list that
   would take more than WORK comparisons is passed over whole: its members are posted again under that list and each later
   coordinate. Of the coordinates in which a pair agrees, the r-th is among the first COORDINATES - MATCHES + r, so no pair
@@ -289,8 +289,9 @@ def tree(own: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of each list: all pairs of a short one; of others a tree of pairs with the list's token, and again the members
-    that have candidates; of those with too many members for that the next neighbours, and all members with agree -1."""
+    """Candidates of each list: all pairs of a short one; of others a tree of pairs, and again the members that have candidates;
+    of those with too many members for that the next neighbours, and all members with agree -1. Members that no candidates tie
+    can't link, so each tree and its members are a list of their own from here on, with a token of its own."""
     for block, edges, _ in lists(it):
         size = np.diff(edges)
         end = np.repeat(np.where((size <= NEXT + 1) | (size**2 > WORK), edges[1:], 0), size)
@@ -299,20 +300,27 @@ def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             agree = _can_link(block[3:, i], block[3:, i + shift])
             i, agree = i[agree > 0], agree[agree > 0]
             yield from _pairs_out(block[2, i], block[2, i + shift], agree)
-        more, pairs = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
+        more, own_lists, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
         for s, e in zip(edges[:-1][size > NEXT + 1].tolist(), edges[1:][size > NEXT + 1].tolist()):
             if (e - s) ** 2 > WORK:
                 yield from _lists_out(*block[:3, s:e], -1)
                 continue
             here = s + np.flatnonzero(partnered(np.ascontiguousarray(block[3:, s:e])))
             if len(here):
+                own = tree(block[3:, here])
+                first = np.arange(len(here))
+                for i, j, _ in own:  # i is in the tree before j
+                    first[j] = first[i]
                 more.append(here)
-                own = np.array(tree(block[3:, here]), np.int64)
+                own_lists.append(_token(block[0, here], 0, block[2, here[first]]))
+                own = np.array(own, np.int64)
                 own[:, :2] = here[own[:, :2]]
                 pairs.append(own)
         i, j, agree = np.concatenate(pairs).T
-        yield from _pairs_out(block[2, i], block[2, j], agree, block[0, i])
-        yield from _lists_out(*block[:3, np.concatenate(more)])
+        members, token = np.concatenate(more), np.zeros(block.shape[1], np.int64)
+        token[members] = np.concatenate(own_lists)
+        yield from _pairs_out(block[2, i], block[2, j], agree, token[i])
+        yield from _lists_out(token[members], *block[1:3, members])
 
 
 def forest(node: np.ndarray, root: np.ndarray, barred: set[tuple[int, int]], similar: Callable[[int, np.ndarray], np.ndarray], all_pairs: bool) -> Iterator[tuple[int, int]]:

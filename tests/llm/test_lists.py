@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from strandworks.llm import minhash
 
@@ -33,3 +34,17 @@ def test_tree_ties_what_all_candidates_tie():
             assert agree == minhash._can_link(own[:, [i]], own[:, [j]])[0] > 0 and root[i] != root[j]
             root = [root[i] if x == root[j] else x for x in root]
         assert all(root[i] == root[j] for i in range(size) for j in np.flatnonzero(minhash._can_link(own, own[:, [i]])))
+
+
+def test_trees_of_a_list_are_lists_of_their_own():
+    """One wrong pair opens its own tree again, not all members of the list."""
+    r = np.random.default_rng(4)
+    kinds = r.integers(0, 2**62, (5, len(minhash._LONGS) - 1))
+    family = np.repeat(np.arange(5), 4)
+    columns = [np.full(20, 77), np.zeros(20, np.int64), np.arange(20) + (3 << 33), np.full(20, 200), *kinds[family].T]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=minhash._POSTINGS)
+    rows = [x for b in minhash._meet(iter([batch])) for x in b.to_pylist()]
+    token = {x["node"]: x["token"] for x in rows if x["node"] is not None}
+    assert len(token) == 20 and len(set(token.values())) == 5
+    pairs = [x for x in rows if x["a"] is not None]
+    assert len(pairs) == 15 and all(x["token"] == token[x["a"]] == token[x["b"]] for x in pairs)
