@@ -5,11 +5,12 @@ hash functions, and two sets agree in each coordinate with the probability of th
 MATCHES coordinates or more are held against each other; at a similarity of 0.85 all but one pair in 10^8 do.
 
 * Prefix: two signatures that agree in MATCHES of all coordinates agree in one of the first COORDINATES - MATCHES + 1, so
-  only those coordinate-value pairs are posted.
+  only those coordinate-value pairs are posted, by number alone. Most lists have one member, who meets nobody; what is
+  compared joins the members of the others.
 * Counting: whoever meets in a list is compared by digests of whole signatures, 4 bits a coordinate, which never count too
   few agreements, and by parity bitmaps of the sets, which never differ in more bits than the sets do in members.
 * Skipping: each list first gives trees of its candidates, those pairs first that agree most; each tree's members are a list of
-  their own from then on. A list whose tree is tied by then needs no more. In others, pairs are passed over whose ends are tied already, so that a list gives
+  their own from then on, one for however many coordinates they met under. A list whose tree is tied by then needs no more. In others, pairs are passed over whose ends are tied already, so that a list gives
   fewer pairs than it has components; it is gone through again where such a pair turns out not to be similar. A list that
   would take more than WORK comparisons is passed over whole: its members are posted again under that list and each later
   coordinate. Of the coordinates in which a pair agrees, the r-th is among the first COORDINATES - MATCHES + r, so no pair
@@ -56,6 +57,8 @@ _COMPARED_DDL = ", ".join(f"{c} long" for c in ("token", "last", "node", "root",
 _NIBBLE = np.uint64(0x1111111111111111)
 
 _SETS = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("signature", pa.binary()), ("wide", pa.binary())])
+_PLACES = pa.schema([(c, pa.int64()) for c in ("token", "node")])
+_TOLD = pa.schema([(c, pa.int64()) for c in ("node", *_LONGS)])
 _POSTINGS = pa.schema([(c, pa.int64()) for c in ("token", "last", "node", *_LONGS)])
 _MET = pa.schema([(c, pa.int64()) for c in ("token", "last", "node", "a", "b", "agree")])
 _MET_DDL = "token long, last long, node long, a long, b long, agree long"
@@ -131,20 +134,40 @@ def _token(before: np.ndarray | int, coordinate: np.ndarray | int, value: np.nda
 
 
 def _first_postings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set under the values of the first COORDINATES - MATCHES + 1 coordinates, with its digest and parity bits."""
+    """Each set under the values of the first COORDINATES - MATCHES + 1 coordinates. A token ends in its coordinate."""
     prefix = COORDINATES - MATCHES + 1
     for batch in it:
         for i in range(0, batch.num_rows, 1024):
             own = batch.slice(i, 1024)
             minima = np.frombuffer(b"".join(own.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             coordinate = np.tile(np.arange(prefix), len(minima))
-            node, n = (own.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
-            nibbles = (minima & 15).astype(np.uint64).reshape(len(minima), -1, 16)
-            digest = np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
-            parity = np.stack([_folded(w, 256).view(np.int64) for w in own.column("wide").to_pylist()])
-            token = _token(np.zeros(coordinate.shape, np.int64), coordinate, minima[:, :prefix].ravel())
-            values = [np.repeat(x, prefix) for x in (node, n, *digest.T, *parity.T)]
-            yield from batches(_POSTINGS, dict(zip(_POSTINGS.names, (token, coordinate, *values))), 16384)
+            token = _token(np.zeros(coordinate.shape, np.int64), coordinate, minima[:, :prefix].ravel()) & ~(COORDINATES - 1) | coordinate
+            node = np.repeat(own.column("node").to_numpy(zero_copy_only=False), prefix)
+            yield from batches(_PLACES, {"token": token, "node": node}, 16384)
+
+
+def in_company(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, node), sorted by token, of lists with several members."""
+    for block, edges, _ in lists(it):
+        size = np.diff(edges)
+        token, node = block[:, np.repeat(size > 1, size)]
+        yield from batches(_PLACES, {"token": token, "node": node}, 16384)
+
+
+def _digests(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Digests of a batch's signatures and parities of its bitmaps."""
+    minima = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    nibbles = (minima & 15).astype(np.uint64).reshape(len(minima), -1, 16)
+    digest = np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+    return [*digest.T, *np.stack([_folded(w, 256).view(np.int64) for w in batch.column("wide").to_pylist()]).T]
+
+
+def _told(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What of each set is compared in lists."""
+    for batch in it:
+        if batch.num_rows:
+            first = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*first, *_digests(batch))], schema=_TOLD)
 
 
 def _deeper(depth: int):
@@ -288,10 +311,19 @@ def tree(own: np.ndarray) -> list[tuple[int, int, int]]:
             out.append((int(to[now]), now, int(best[now])))
 
 
+def own_tokens(node: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """For each member a token of its tree's members: trees of equal members have equal ones, wherever they met."""
+    out = np.zeros(len(node), np.int64)
+    order = np.lexsort((node, tree))
+    for some in np.split(order, np.flatnonzero(np.diff(tree[order])) + 1):
+        out[some] = np.uint64(xxhash.xxh64_intdigest(node[some].tobytes(), 42)).astype(np.int64)
+    return out
+
+
 def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates of each list: all pairs of a short one; of others a tree of pairs, and again the members that have candidates;
     of those with too many members for that the next neighbours, and all members with agree -1. Members that no candidates tie
-    can't link, so each tree and its members are a list of their own from here on, with a token of its own."""
+    can't link, so each tree and its members are a list of their own from here on, with a token made of its members."""
     for block, edges, _ in lists(it):
         size = np.diff(edges)
         end = np.repeat(np.where((size <= NEXT + 1) | (size**2 > WORK), edges[1:], 0), size)
@@ -312,7 +344,7 @@ def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, j, _ in own:  # i is in the tree before j
                     first[j] = first[i]
                 more.append(here)
-                own_lists.append(_token(block[0, here], 0, block[2, here[first]]))
+                own_lists.append(own_tokens(block[2, here], first))
                 own = np.array(own, np.int64)
                 own[:, :2] = here[own[:, :2]]
                 pairs.append(own)
@@ -454,9 +486,13 @@ def _apart_so_far(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
 def several_roots(posted: DataFrame, so_far: DataFrame) -> DataFrame:
     """Members (token, node, ...) of the lists that lie in several components, with their root."""
     so_far, n = gathered(so_far)
-    rooted = posted.join(F.broadcast(so_far) if n <= FEW else so_far, "node", "left").select(*posted.columns, F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    return among(rooted, several, "token")
+    so_far = F.broadcast(so_far) if n <= FEW else so_far
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(so_far, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("root"))
+
+    several = rooted(posted).groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return rooted(among(posted, several, "token"))
 
 
 def tied_across(posted: DataFrame, links: DataFrame, meet: Callable[[DataFrame, DataFrame, DataFrame | None, bool], DataFrame], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -486,9 +522,11 @@ def tied_across(posted: DataFrame, links: DataFrame, meet: Callable[[DataFrame,
 def _links(nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """Links between nodes that tie together what all links do."""
     n = parts(nodes.sparkSession)
-    postings = nodes.mapInArrow(_first_postings, ", ".join(f"{c} long" for c in _POSTINGS.names))
+    postings = nodes.select("node", "signature").mapInArrow(_first_postings, "token long, node long").repartition(n, "token").sortWithinPartitions("token").mapInArrow(in_company, "token long, node long")
+    told = postings.join(nodes.mapInArrow(_told, ", ".join(f"{c} long" for c in _TOLD.names)), "node")
     # another order in each list, so that a set has other neighbours in each
-    met = cut(postings.repartition(n, "token").sortWithinPartitions("token", F.xxhash64("token", "node")).mapInArrow(_meet, _MET_DDL))
+    sorted_ = told.repartition(n, "token").sortWithinPartitions("token", F.xxhash64("token", "node"))
+    met = cut(sorted_.select("token", F.col("token").bitwiseAND(COORDINATES - 1).alias("last"), "node", *_LONGS).mapInArrow(_meet, _MET_DDL))
     near = gathered(met.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("agree").alias("agree")))[0]
     ends = [near.select(F.col(x).alias("node"), F.struct("agree", F.xxhash64("a", "b").alias("turn"), F.col(y).alias("other")).alias("best")) for x, y in (("a", "b"), ("b", "a"))]
     best = ends[0].unionByName(ends[1]).groupBy("node").agg(F.max("best").alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b"))
@@ -502,6 +540,7 @@ def _links(nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     apart = gathered(_apart_so_far(near.select("a", "b"), components(links)))[0]
     open_ = met.where("a IS NOT NULL AND token IS NOT NULL").join(F.broadcast(apart) if apart.count() <= FEW else apart, ["a", "b"], "left_semi").select("token")
     posted = among(met.where("node IS NOT NULL").select("token", "last", "node"), open_.unionByName(met.where("agree = -1").select("token")), "token")
+    posted = gathered(posted.groupBy("token", "node").agg(F.min("last").alias("last")))[0]
     for depth in range(1, DEPTH + 1):
         passed: list[DataFrame] = []
 
@@ -529,12 +568,8 @@ def _compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([*[(c, pa.int64()) for c in names], ("wide", pa.binary())])
     for batch in it:
         if batch.num_rows:
-            minima = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            nibbles = (minima & 15).astype(np.uint64).reshape(len(minima), -1, 16)
-            digest = np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
-            parity = np.stack([_folded(w, 256).view(np.int64) for w in batch.column("wide").to_pylist()])
             first = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "last", "node", "root", "bar", "n")]
-            yield from batches(schema, dict(zip(schema.names, (*first, *digest.T, *parity.T, batch.column("wide").to_pylist()))), 2048)
+            yield from batches(schema, dict(zip(schema.names, (*first, *_digests(batch), batch.column("wide").to_pylist()))), 2048)
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
