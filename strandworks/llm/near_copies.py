@@ -4,10 +4,13 @@ First come SimHash fingerprints of the sets: sets whose fingerprints are equal o
 covering search of simhash) are candidates. They find the closest copies, not all that similar. The rest of the links is
 found by prefix filtering, so that together they are exact. Under any one order of all shingles, two sets that similar share one of their
 first n - ceil(SHARE n) + 1 shingles. The order here is rare first, as seen in a bounded sample: the sample decides only
-how many candidates there are, never which links are found. Sets that meet under a shingle are candidates if sizes and
+how many candidates there are, never which links are found. Sets are posted by number alone; bitmaps join only those that
+meet another. Sets that meet under a shingle are candidates if sizes and
 parity bitmaps allow the similarity (two bitmaps differ in no more bits than their sets in members), first small bitmaps,
 then for each pair wide ones; candidates are verified on the shingles' bytes. A group is linked first by its members' next neighbours in row order; then all
-candidates across the components so far are verified. Pairs inside one component need no look, so few texts travel.
+candidates across the components so far are verified. Members of a run that no candidates tie can't link, so each tree of
+candidates is a list of its own, one for however many shingles its members met under. Pairs inside one component need no
+look, so few texts travel.
 
 Cases: null and white-space texts have one empty shingle and link; texts of fewer words than a shingle have one shingle,
 all of it; a null id is never preferred to another; one row of each component stays, also where rows repeat an id; an
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import FEW, among, binary_values, cut, gathered, parts, small_batches, utf8, written
 from .components import components
-from .minhash import Bitmaps, forest, lists, several_roots, tied_across
+from .minhash import Bitmaps, forest, in_company, lists, own_tokens, several_roots, tied_across
 from .simhash import fingerprint_links
 
 #: Least Jaccard similarity of near copies, as a fraction, so that it is compared in whole numbers.
@@ -38,7 +41,7 @@ NEXT = 7
 #: Pairs of a run that are looked through for members without a candidate.
 WORK = 400_000_000
 
-#: Columns of a set's bitmap: bit i is the parity of its hashes that end in i. Postings carry it folded to half.
+#: Columns of a set's bitmap: bit i is the parity of its hashes that end in i.
 BITS = ("b0", "b1", "b2", "b3")
 #: Bits of the bitmaps that pairs are held to before their texts travel.
 WIDE = 2048
@@ -46,7 +49,7 @@ WIDE = 2048
 CACHE = 4_000_000
 
 _SETS = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("fp", pa.int64()), *[(b, pa.int64()) for b in BITS], ("wide", pa.binary()), ("prefix", pa.binary())])
-_POSTINGS = pa.schema([(c, pa.int64()) for c in ("token", "node", "n", "low", "high")])
+_POSTINGS = pa.schema([(c, pa.int64()) for c in ("token", "node")])
 _MET = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("later", pa.bool_())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -135,9 +138,9 @@ def _postings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if own:
             times = [len(p) for p in own]
             token = np.concatenate(own)
-            rest = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("node", "n", "low", "high")]
+            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), times)
             for i in range(0, len(token), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 65536]) for c in (token, *rest)], schema=_POSTINGS)
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 65536]) for c in (token, node)], schema=_POSTINGS)
 
 
 def _whole_runs(it: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[np.ndarray]:
@@ -177,24 +180,55 @@ def _partnered(n: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(out)
 
 
+def _trees(n: np.ndarray, bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members of a run that _partnered has, and for each the first place that candidates tie it to; a run of
+    over WORK pairs is one tree."""
+    here = _partnered(n, bits)
+    tree = np.zeros(len(here), np.int64)
+    if len(n) ** 2 > WORK:
+        return here, tree
+    left = np.arange(len(here))
+    while len(left):
+        root, front, left = left[0], left[:1], left[1:]
+        tree[root] = here[root]
+        while len(front) and len(left):
+            good = np.zeros(len(left), bool)
+            step = max(1, 250_000 // len(left))
+            x = here[left][None, :]
+            for i in range(0, len(front), step):
+                y = here[front[i : i + step]][:, None]
+                good |= _can_be(n[y], n[x], _apart([b[y] for b in bits], [b[x] for b in bits])).any(axis=0)
+            front, left = left[good], left[~good]
+            tree[front] = here[root]
+    return here, tree
+
+
 def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) among near neighbours of each run, and of runs that hold more pairs again the postings that have candidates."""
-    for token, node, n, low, high in _whole_runs(it):
+    """Candidates (a, b) among near neighbours of each run, and of runs that hold more pairs again the members that have
+    candidates, each tree of them under a token made of its members."""
+    for token, node, n, *bits in _whole_runs(it):
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(start, len(token)))
         end = np.repeat(start + size, size)
         for shift in range(1, NEXT + 1):
             i = np.flatnonzero(end > np.arange(len(token)) + shift)
             j = i + shift
-            hit = _can_be(n[i], n[j], _apart([low[i], high[i]], [low[j], high[j]]))
+            hit = _can_be(n[i], n[j], _apart([b[i] for b in bits], [b[j] for b in bits]))
             a, b = node[i[hit]], node[j[hit]]
             for k in range(0, len(a), 65536):
                 own = [pa.array(x[k : k + 65536]) for x in (np.minimum(a, b), np.maximum(a, b))]
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(own[0]), pa.int64())] * 2, *own, pa.array(np.full(len(own[0]), shift > 1))], schema=_MET)
-        more = np.concatenate([np.zeros(0, np.int64), *[x + _partnered(n[x:y], [low[x:y], high[x:y]]) for x, y in zip(start.tolist(), (start + size).tolist()) if y - x > NEXT + 1]])
+        more, own_lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in zip(start.tolist(), (start + size).tolist()):
+            if y - x > NEXT + 1:
+                here, tree = _trees(n[x:y], [b[x:y] for b in bits])
+                if len(here):
+                    more.append(x + here)
+                    own_lists.append(own_tokens(node[x + here], tree))
+        more, own_lists = np.concatenate(more), np.concatenate(own_lists)
         for k in range(0, len(more), 65536):
             at = more[k : k + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(node[at]), *[pa.nulls(len(at), pa.int64())] * 2, pa.nulls(len(at), pa.bool_())], schema=_MET)
+            yield pa.RecordBatch.from_arrays([pa.array(own_lists[k : k + 65536]), pa.array(node[at]), *[pa.nulls(len(at), pa.int64())] * 2, pa.nulls(len(at), pa.bool_())], schema=_MET)
 
 
 def _across(all_pairs: bool):
@@ -320,14 +354,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("best")
     same = each.groupBy("digest").agg(best, *[F.first(c).alias(c) for c in ("n", "fp", *BITS, "wide", "prefix")])
     sets = cut(same.select(F.col("best._row").alias("node"), F.col("best._id").alias("_id"), "n", "fp", *BITS, "wide", "prefix"))
-    folded = [F.col(x).bitwiseXOR(F.col(y)).alias(c) for x, y, c in (("b0", "b2", "low"), ("b1", "b3", "high"))]
-    postings = sets.select("node", "n", *folded, "prefix").mapInArrow(_postings, "token long, node long, n long, low long, high long")
-    met = cut(postings.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(_meet, "token long, node long, a long, b long, later boolean"))
+    postings = sets.select("node", "prefix").mapInArrow(_postings, "token long, node long").repartition(n, "token").sortWithinPartitions("token").mapInArrow(in_company, "token long, node long")
+    told = postings.join(sets.select("node", "n", *BITS), "node").select("token", "node", "n", *BITS)
+    met = cut(told.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(_meet, "token long, node long, a long, b long, later boolean"))
     links = _verified(_candidates(_fingerprinted(sets), sets), rows, words)
     first = _apart_so_far(met.where("NOT later").select("a", "b").distinct(), components(links))
     links = links.unionByName(_verified(_candidates(first, sets), rows, words))
     so_far = components(links)
-    posted = met.where("token IS NOT NULL").select("token", "node")
+    posted = gathered(met.where("token IS NOT NULL").select("token", "node").distinct())[0]
 
     def meet(posted: DataFrame, so_far: DataFrame, barred: DataFrame | None, all_pairs: bool) -> DataFrame:
         none = F.lit(-1).cast("long").alias("bar")
