@@ -42,9 +42,10 @@ from pyspark.sql.types import StructType
 
 from .common import small_batches
 
-NBEST = 2
+#: Segmentations of each text; the units searched beyond their best are one fewer.
+NBEST = 8
 SPACE = "▁"
-#: Units whose segmentations a task remembers before it begins anew.
+#: Units whose segmentations a task remembers before it begins anew: so many with two each, fewer with more.
 REMEMBERED = 250_000
 #: Longer units are worked on one by one.
 LONG = 256
@@ -387,7 +388,7 @@ class Segmenter:
         if found is None:
             found = self.nbest_of(unit)[1:]
             if len(unit) <= LONG:
-                if len(self.rest) >= REMEMBERED:
+                if len(self.rest) * self.n >= 2 * REMEMBERED:
                     self.rest.clear()
                 self.rest[unit] = found
         return found
@@ -572,15 +573,19 @@ def decoded(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> D
     return rows.select(F.col(ids_col), *keep).mapInArrow(_decoded(path or default_model(), [*keep, "text"]), schema)
 
 
-def piece_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def piece_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, others: bool = False) -> DataFrame:
     """One row per row of docs: id, pieces of the best segmentation, its score, how far the second falls behind, the
-    best's ids as a hash, and whether they decode to the text."""
+    best's ids as a hash, and whether they decode to the text; with others, how many segmentations were found and how far
+    the last of them falls behind."""
     out = encoded(docs, text_col, [id_col], path)
+    behind = lambda k: F.round(F.col("score") - F.try_element_at("others", F.lit(k))["score"], 3)
+    more = [(F.size("others") + 1).cast("long").alias("n_best"), behind(-1).alias("last_margin")] if others else []
     return out.select(
         id_col,
         F.size("ids").cast("long").alias("n_pieces"),
         F.round("score", 3).alias("score"),
-        F.round(F.col("score") - F.try_element_at("others", F.lit(1))["score"], 3).alias("margin"),
+        behind(1).alias("margin"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         "decoded",
+        *more,
     )
